@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import _common as C
-from codeloom.llm import mixing, packing, quality_model, quality_rules, simhash, token_blocks, warc
+from codeloom.llm import mixing, packing, pii, quality_model, quality_rules, simhash, token_blocks, warc
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,12 @@ def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(C.table(spark, sf_dir, "documents"), keep=["doc_id"])
+    counts = [F.size(F.filter("base_spans", lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.written(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack_documents(C.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -56,7 +62,7 @@ FROM d LEFT JOIN g ON gd = payload_digest
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_warc, op3_quality_rules, op4_token_blocks, op5_quality_model, op8_packing, op9_simhash)}
+    return {f.__name__: f for f in (op1_mixing, op2_warc, op3_quality_rules, op4_token_blocks, op5_quality_model, op6_pii, op8_packing, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
