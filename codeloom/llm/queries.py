@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import _common as C
-from codeloom.llm import mixing, packing, pii, quality_model, quality_rules, simhash, token_blocks, warc
+from codeloom.llm import embeddings, mixing, packing, pii, quality_model, quality_rules, simhash, token_blocks, warc
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.written(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(C.table(spark, sf_dir, "embeddings"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack_documents(C.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -61,9 +65,23 @@ FROM d LEFT JOIN g ON gd = payload_digest
 """
 
 
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+  ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT vec_id, CAST(count(l.b) AS BIGINT) AS n_links FROM embeddings LEFT JOIN l ON vec_id = l.a GROUP BY vec_id),
+m AS (SELECT vec_id, least(vec_id, coalesce(min(r.b), vec_id)) AS component_id FROM embeddings LEFT JOIN r ON vec_id = r.a GROUP BY vec_id)
+SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM c JOIN m USING (vec_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_warc, op3_quality_rules, op4_token_blocks, op5_quality_model, op6_pii, op8_packing, op9_simhash)}
+    return {f.__name__: f for f in (op1_mixing, op2_warc, op3_quality_rules, op4_token_blocks, op5_quality_model, op6_pii, op7_embeddings, op8_packing, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL}
+    return {"op2_warc": OP2_SQL, "op7_embeddings": OP7_SQL}
