@@ -264,3 +264,12 @@ def redact(text: Column, spans: Column) -> Column:
     by_place = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     end = lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text)))
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(by_place, zero, step, end))
+
+
+def cleaned(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """docs with personal data replaced in the text, and the length column set anew where the text changed."""
+    found = find(docs, text_col)
+    found = found.withColumn(text_col, redact(F.col(text_col), F.col("spans")))
+    if length_col:
+        found = found.withColumn(length_col, F.when(F.size("spans") > 0, F.length(text_col).cast("long")).otherwise(F.col(length_col)))
+    return found.select(*docs.columns)

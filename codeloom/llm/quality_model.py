@@ -174,6 +174,18 @@ def sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIVE_ROWS, u
     return good.withColumn("positive", F.lit(True)).unionByName(rest.withColumn("positive", F.lit(False)))
 
 
+def learn(docs: DataFrame, labels: DataFrame) -> Network | None:
+    """The model of a table of doc_id and text; None without positives or without other rows to fit on."""
+    chosen = F.broadcast(sample(docs, labels).withColumnRenamed("doc_id", "s_id"))
+    got = feature_rows(docs.join(chosen, docs["doc_id"] == F.col("s_id")).select("positive", "text"), "positive").collect()
+    x = [np.array([np.frombuffer(r.x, np.float32) for r in got if r.positive == kind]) for kind in (True, False)]
+    for part in x:
+        if len(part):
+            part[:] = part[np.lexsort(part.T[:12])]
+            np.random.default_rng(SEED).shuffle(part)
+    return fit(*x)[0] if all(map(len, x)) else None
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
@@ -182,14 +194,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     features only (at most POSITIVE_ROWS + UNLABELLED_ROWS rows).
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    chosen = F.broadcast(sample(docs, labels).withColumnRenamed("doc_id", "s_id"))
-    got = feature_rows(docs.join(chosen, docs["doc_id"] == F.col("s_id")).select("positive", "text"), "positive").collect()
-    x = [np.array([np.frombuffer(r.x, np.float32) for r in got if r.positive == kind]) for kind in (True, False)]
-    for part in x:
-        if len(part):
-            part[:] = part[np.lexsort(part.T[:12])]
-            np.random.default_rng(SEED).shuffle(part)
-    model = docs.sparkSession.sparkContext.broadcast(fit(*x)[0] if all(map(len, x)) else None)
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
     shift = float(np.log(BOUNDARY / (1 - BOUNDARY)))
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
 
@@ -202,3 +207,20 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(score, f"doc_id {kind}, held_out boolean, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that the classifier predicts to be of good quality; without a model, all rows."""
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs.select("doc_id", F.col(text_col).alias("text")), labels))
+    shift = float(np.log(BOUNDARY / (1 - BOUNDARY)))
+
+    def good(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = model.value
+        for batch in C.batches(parts, 4 << 20):
+            if net is None:
+                yield batch
+                continue
+            f = features(*C.flat(batch.column(batch.schema.get_field_index(text_col))))
+            yield batch.filter(pa.array(_sigmoid(net.margin(f).astype(np.float64) + shift) >= BOUNDARY))
+
+    return docs.mapInArrow(good, docs.schema)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import _common as C
-from codeloom.llm import embeddings, mixing, packing, pii, quality_model, quality_rules, simhash, token_blocks, warc
+from codeloom.llm import embeddings, mixing, packing, pii, quality_model, quality_rules, simhash, substrings, token_blocks, warc
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_copies(C.table(spark, sf_dir, "documents"))
+    pairs = F.sequence(F.lit(0), F.size("removed") - 2, F.lit(2))
+    size = F.aggregate(F.when(F.size("removed") > 0, pairs).otherwise(F.array().cast("array<int>")), F.lit(0).cast("long"), lambda a, i: a + F.get("removed", i + 1) - F.get("removed", i))
+    return out.select("doc_id", "n_bytes", size.alias("n_removed"), (F.size("removed") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 OP2_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha256(b) AS payload_digest FROM p),
@@ -80,7 +87,7 @@ SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM c JOIN
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_warc, op3_quality_rules, op4_token_blocks, op5_quality_model, op6_pii, op7_embeddings, op8_packing, op9_simhash)}
+    return {f.__name__: f for f in (op1_mixing, op2_warc, op3_quality_rules, op4_token_blocks, op5_quality_model, op6_pii, op7_embeddings, op8_packing, op9_simhash, op10_substrings)}
 
 
 def oracle_sql() -> dict[str, str]:

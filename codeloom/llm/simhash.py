@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codeloom.llm import _common as C
 from codeloom.llm.graph import components
@@ -44,15 +45,24 @@ def fingerprint(text: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, fingerprint long) of every whole text; null and empty texts have fingerprint 0."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return with_fingerprints(rows, "text", size, seed).select("doc_id", "fingerprint")
+
+
+def with_fingerprints(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, seed: int = SEED, keep_text: bool = False) -> DataFrame:
+    """docs with the column fingerprint; the text itself is null unless keep_text."""
     C.small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
+    rows = docs.drop("fingerprint")
+    place = rows.columns.index(text_col)
 
     def hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.batches(parts):
-            made = [fingerprint(x, size, seed) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(made, np.uint64).view(np.int64))], ["doc_id", "fingerprint"])
+            made = [fingerprint((x or "").encode(), size, seed) for x in batch.column(place).to_pylist()]
+            if not keep_text:
+                batch = batch.set_column(place, batch.schema.field(place), pa.nulls(batch.num_rows, batch.schema.field(place).type))
+            yield batch.append_column("fingerprint", pa.array(np.array(made, np.uint64).view(np.int64)))
 
-    return rows.mapInArrow(hashed, "doc_id long, fingerprint long")
+    return rows.mapInArrow(hashed, T.StructType([*rows.schema.fields, T.StructField("fingerprint", T.LongType())]))
 
 
 class Planes:
@@ -206,6 +216,30 @@ def _links(group: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarr
     return linked, label[linked]
 
 
+def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fingerprint, root, component_id) of each distinct fingerprint: the smallest fingerprint and the smallest
+    doc_id that links reach."""
+    distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
+    linked = components(near_links(distinct, radius))
+    nodes = distinct.join(linked.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
+    nodes = nodes.withColumn("root", F.coalesce("component", "fingerprint"))
+    first = nodes.where("component is not null").groupBy("root").agg(F.min("least").alias("first"))
+    component = F.when(F.col("component").isNotNull(), F.col("first")).otherwise(F.col("least"))
+    return nodes.join(first, "root", "left").select("fingerprint", "root", component.alias("component_id"), "least")
+
+
+def one_of_each(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
+    """The rows of docs, all columns, one for each group of near duplicates: the one with the smallest doc_id (of a
+    group of null ids one with the smallest fingerprint; of repeated rows one)."""
+    marked = C.cut(with_fingerprints(docs, text_col, size, seed, keep_text=True), "with-fingerprints")
+    nodes = groups(marked.select("fingerprint", "doc_id"), radius)
+    stay = nodes.where(F.col("least").eqNullSafe(F.col("component_id")))
+    stay = stay.groupBy("root").agg(F.min("fingerprint").alias("fingerprint"), F.first("least").alias("least"))
+    same = (F.col("d.fingerprint") == F.col("s.fingerprint")) & F.col("d.doc_id").eqNullSafe(F.col("s.least"))
+    kept = marked.alias("d").join(stay.alias("s"), same, "left_semi").dropDuplicates(["fingerprint", "doc_id"])
+    return kept.select(*[f"d.{c}" for c in docs.columns])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (long) and component_id, the smallest doc_id that links reach.
 
@@ -215,10 +249,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their fingerprint's component.
     """
     prints = C.cut(fingerprints(docs, id_col, text_col, size, seed), "fingerprints")
-    distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    linked = components(near_links(distinct, radius))
-    nodes = distinct.join(linked.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
-    nodes = nodes.withColumn("root", F.coalesce("component", "fingerprint"))
-    first = nodes.where("component is not null").groupBy("root").agg(F.min("least").alias("first"))
-    nodes = nodes.join(first, "root", "left").select("fingerprint", F.when(F.col("component").isNotNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
+    nodes = groups(prints.select("fingerprint", "doc_id"), radius).select("fingerprint", "component_id")
     return prints.join(nodes, "fingerprint").select("doc_id", "fingerprint", "component_id")
