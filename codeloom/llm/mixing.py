@@ -46,9 +46,9 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIG
 
 
 def fit(lengths: list[int], counts: list[int], budget: int, dp_budget: int = DP_BUDGET) -> list[int]:
-    """How many documents of each length to take so that their words come as near to the budget from below as can be
-    found. A proportional share of every length comes first, then long lengths fill up greedily to within
-    dp_budget, then a bounded-knapsack programme over reachable sums fits the rest exactly where it can."""
+    """How many documents of each length to take so that their words come as near to the budget as can be found. A proportional share of every length comes first, then long lengths fill up greedily to within
+    dp_budget, then a bounded-knapsack programme over reachable sums fits the rest exactly where it can, else to the
+    nearest sum, the smaller of two."""
     total = sum(a * b for a, b in zip(lengths, counts))
     if not total or budget <= 0:
         return [0] * len(lengths)
@@ -64,9 +64,10 @@ def fit(lengths: list[int], counts: list[int], budget: int, dp_budget: int = DP_
             left -= more * lengths[i]
     if left <= 0 or left > dp_budget:
         return took
-    mask, reach, steps = (1 << (left + 1)) - 1, 1, []
+    most = left + max(lengths)
+    mask, reach, steps = (1 << (most + 1)) - 1, 1, []
     for i in order:
-        n, size = min(counts[i] - took[i], left // lengths[i]), 1
+        n, size = min(counts[i] - took[i], most // lengths[i]), 1
         while n > 0:
             size = min(size, n)
             steps.append((i, size, reach))
@@ -74,7 +75,11 @@ def fit(lengths: list[int], counts: list[int], budget: int, dp_budget: int = DP_
             n, size = n - size, 2 * size
         if reach >> left & 1:
             break
-    best = reach.bit_length() - 1
+    best = (reach & ((1 << (left + 1)) - 1)).bit_length() - 1
+    above = reach >> (left + 1)
+    if above:
+        over = left + (above & -above).bit_length()
+        best = over if over - left < left - best else best
     for i, size, before in reversed(steps):
         if not before >> best & 1:
             took[i] += size

@@ -46,7 +46,7 @@ def test_fit_is_exact_where_a_sum_exists():
         for n, c in zip(lengths, counts):
             had = c * budget // sum(a * b for a, b in zip(lengths, counts))
             free = {s + k * n for s in free for k in range(c - had + 1)}
-        assert total == max(s for s in free if s <= budget)
+        assert abs(total - budget) == min(abs(s - budget) for s in free)
 
 
 def test_targets_share_the_excess():
