@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -23,12 +25,13 @@ _loaded: dict[str, PieceCache] = {}
 class PieceCache:
     """Encodes texts piece by piece.
 
-    A text is cut before a single space (kind "byte": the space opens the next piece) or at spaces and line ends
+    A text is cut before a single space and around line ends (kind "byte": the space opens the next piece) or at spaces and line ends
     (kind "word": the tokenizer drops white space). No pre-token of either tokenizer crosses such a cut, so the
     ids of the pieces in a row are the ids of the text. A text with two white-space characters in a row, or one
     at its end, is encoded whole for kind "byte", since there a run of white space is one pre-token.
 
-    New pieces are encoded many at a time as one string and told apart by the bytes that each id stands for; where
+    A new piece that is a single pre-token (letters, and a space before them for kind "byte") goes straight to the
+    tokenizer's model, and a full stop or comma after it is a pre-token of its own. Other new pieces are encoded many at a time as one string and told apart by the bytes that each id stands for; where
     these don't add up (special tokens), they are encoded one by one.
     """
 
@@ -45,6 +48,11 @@ class PieceCache:
             self.id_bytes[i] = len(token.removesuffix(suffix) if suffix else token)
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.marks = dict(zip(".,", self._encode([".", ","]), strict=True))
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printed]
+        #: The byte-level alphabet; line ends stay, to part words.
+        self.letters = {b: (b if b in printed else 256 + others.index(b)) for b in range(256)} | {10: 10}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -67,7 +75,42 @@ class PieceCache:
         raw, at = ids.tobytes(), [0, *(cuts * 4).tolist()]
         return [raw[a:b] for a, b in zip(at, at[1:])]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of single pre-tokens, as the tokenizer's pre-tokenizer would hand them to its model."""
+        tokenize, shape = self.tokenizer.model.tokenize, "\n".join(words).encode().decode("latin-1").translate(self.letters)
+        return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in shape.split("\n")] if words else []
+
+    def _simple(self, piece: str) -> str | None:
+        """The pre-token that a piece is, in the tokenizer's normal form; None if it is anything else."""
+        if self.bytes_kind:
+            return piece if (piece[1:] if piece[:1] == " " else piece).isalpha() else None
+        if not piece.isalpha() or not (piece.isascii() or unicodedata.is_normalized("NFC", piece) and "Σ" not in piece):
+            return None
+        low = piece.lower()
+        return low if low.isalpha() else None
+
     def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of new pieces."""
+        plain, marked, rest = {}, {}, []
+        for piece in pieces:
+            core = piece[:-1] if piece[-1:] in self.marks else piece
+            word = self._simple(core)
+            if word is None:
+                rest.append(piece)
+                continue
+            plain[core] = word
+            if core is not piece:
+                marked[piece] = core
+        known, old = self.known, self.old
+        have = {c: known.get(c) or old.get(c) for c in plain}
+        new = [c for c, x in have.items() if x is None]
+        have.update(zip(new, self._words([plain[c] for c in new]), strict=True))
+        out = self._others(rest)
+        out.update(have)
+        out.update((piece, have[core] + self.marks[piece[-1]]) for piece, core in marked.items())
+        return out
+
+    def _others(self, pieces: list[str]) -> dict[str, bytes]:
         if self.bytes_kind:
             easy = [p for p in pieces if p[:1] == " " and len(p) > 1]
             hard = [p for p in pieces if not (p[:1] == " " and len(p) > 1)]
@@ -92,7 +135,7 @@ class PieceCache:
                 cut.append(None)
                 whole.append(i)
             else:
-                cut.append(text.replace(" ", "\0 ").split("\0"))
+                cut.append(text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"))
         distinct = set()
         for pieces in cut:
             if pieces:
