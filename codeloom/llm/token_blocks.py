@@ -37,40 +37,57 @@ _DOC = np.dtype([("null", "u1"), ("id", "<i8"), ("n", "<u8")])
 
 def pack_blocks(ids: np.ndarray, percentile: int = PERCENTILE) -> list[bytes]:
     """Whole blocks as bytes. len(ids) is a multiple of BLOCK."""
-    values = ids.reshape(-1, BLOCK).astype(np.uint64)
+    values = ids.reshape(-1, BLOCK).astype("<u4")
     low = values.min(axis=1)
     values -= low[:, None]
-    widths = np.frexp(values.astype(np.float64))[1]
+    # The percentile of the values' widths is the width of their percentile.
     k = min(BLOCK - 1, BLOCK * percentile // 100)
-    width = np.partition(widths, k, axis=1)[:, k]
+    width = np.frexp(np.partition(values, k, axis=1)[:, k].astype(np.float64))[1]
     out: list[bytes] = [b""] * len(values)
-    for w in np.unique(width):
+    for w in np.unique(width).tolist():
         at = np.flatnonzero(width == w)
-        block, over = values[at].astype(np.uint32), widths[at] > w
-        plain = np.where(over, 0, block).astype(np.uint32)
-        bits = ((plain[:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
-        packed = np.packbits(bits.reshape(len(at), BLOCK * w), axis=1, bitorder="little") if w else np.zeros((len(at), 0), np.uint8)
-        for i, b in enumerate(at):
-            where = np.flatnonzero(over[i])
-            out[b] = b"".join((_HEAD.pack(int(low[b]), int(w), len(where)), packed[i].tobytes(), where.astype("<u2").tobytes(), block[i, where].astype("<u4").tobytes()))
+        block = values[at]
+        over = block > np.uint32((1 << w) - 1)
+        packed = _pack(np.where(over, 0, block).astype("<u4"), w)
+        several = over.any(axis=1)
+        for i, b in enumerate(at.tolist()):
+            where = np.flatnonzero(over[i]) if several[i] else _NONE
+            out[b] = b"".join((_HEAD.pack(int(low[b]), w, len(where)), packed[i].tobytes(), where.astype("<u2").tobytes(), block[i, where].tobytes()))
     return out
 
 
+_NONE = np.zeros(0, np.int64)
+
+
+def _pack(block: np.ndarray, w: int) -> np.ndarray:
+    """The low w bits of each value of each block, low bits first."""
+    n = len(block)
+    if w in (8, 16):
+        return block.astype(f"<u{w // 8}").view(np.uint8).reshape(n, -1)
+    bits = np.unpackbits(block.view(np.uint8).reshape(n, BLOCK, 4), axis=2, bitorder="little")
+    return np.packbits(bits[:, :, :w].reshape(n, BLOCK * w), axis=1, bitorder="little")
+
+
+def _unpack(packed: np.ndarray, w: int) -> np.ndarray:
+    n = len(packed)
+    if w in (8, 16):
+        return packed.view(f"<u{w // 8}").astype(np.uint32)
+    bits = np.zeros((n, BLOCK, 32), np.uint8)
+    bits[:, :, :w] = np.unpackbits(packed, axis=1, bitorder="little").reshape(n, BLOCK, w)
+    return np.packbits(bits, axis=2, bitorder="little").reshape(n, BLOCK * 4).view("<u4")
+
+
 def unpack_blocks(raw: bytes, starts: np.ndarray) -> np.ndarray:
     """The ids of the blocks that begin at `starts` in raw."""
     heads = [_HEAD.unpack_from(raw, s) for s in starts.tolist()]
     out = np.zeros((len(heads), BLOCK), np.uint32)
     width = np.array([h[1] for h in heads], np.int64)
-    for w in np.unique(width):
+    for w in np.unique(width).tolist():
         at = np.flatnonzero(width == w)
-        size = BLOCK * int(w) // 8
+        size = BLOCK * w // 8
         if w:
             packed = np.frombuffer(b"".join(raw[s + _HEAD.size : s + _HEAD.size + size] for s in starts[at].tolist()), np.uint8)
-            bits = np.unpackbits(packed.reshape(len(at), size), axis=1, bitorder="little").reshape(len(at), BLOCK, w)
-            total = np.zeros((len(at), BLOCK), np.uint32)
-            for i in range(int(w)):
-                total |= bits[:, :, i].astype(np.uint32) << np.uint32(i)
-            out[at] = total
+            out[at] = _unpack(packed.reshape(len(at), size), w)
     for b, (low, w, n) in enumerate(heads):
         if n:
             place = int(starts[b]) + _HEAD.size + BLOCK * w // 8
