@@ -366,9 +366,9 @@ def q54_batch_conflicts(spark, d):
     return C.overlaps(P.changes(spark, d)).where("a_seq % 10 <> b_seq % 10").groupBy("file").agg(F.count("*").alias("conflicts"))
 
 
-@query("WITH l AS (SELECT user_id AS path, event_type AS op, ts, event_id, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 60000000 THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY path ORDER BY ts, event_id) AS session FROM l) SELECT path, min(ts) AS session_start, max(ts) AS session_end, count(*) AS events, arg_max(op, (ts, event_id)) AS last_op FROM s GROUP BY path, session")
+@query("WITH l AS (SELECT user_id AS path, ts, event_id, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts, event_id) <= 60000000 THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, CAST(sum(new) OVER (ORDER BY ts, event_id) AS BIGINT) AS session FROM l) SELECT session, min(ts) AS session_start, max(ts) AS session_end, count(*) AS events, count(DISTINCT path) AS paths FROM s GROUP BY session")
 def q55_debounce_sessions(spark, d):
-    return W.sessions(P.file_events(spark, d))
+    return W.debounced(P.file_events(spark, d))
 
 
 @query("SELECT user_id AS path, arg_max(event_type, (ts, event_id)) AS op, max(ts) AS ts FROM events GROUP BY user_id")
