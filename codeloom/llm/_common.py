@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -27,7 +28,27 @@ def small_batches(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder under spark.checkpoint.dir, which the driver and all executors reach."""
     root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
-    return f"{root.rstrip('/')}/codeloom/{name}-{uuid.uuid4().hex}"
+    FOLDERS.append(f"{root.rstrip('/')}/codeloom/{name}-{uuid.uuid4().hex}")
+    return FOLDERS[-1]
+
+
+#: Folders that shared_folder() has named in this process, oldest first.
+FOLDERS: list[str] = []
+
+
+def delete_folders(spark: SparkSession, folders: list[str]) -> None:
+    """Delete shared folders that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more; else they stay on the
+    executors' disks until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -41,11 +62,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a table made by cut(), once nothing reads it any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    delete_folders(df.sparkSession, sorted({f.rpartition("/")[0] for f in df.inputFiles()}))
 
 
 def open_shared(folder: str):

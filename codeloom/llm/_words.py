@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Bytes of texts handled at once: some ten arrays of eight bytes for each are alive at a time.
+BATCH = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 WORD = ~SPACE

@@ -87,10 +87,14 @@ def fit(lengths: list[int], counts: list[int], budget: int, dp_budget: int = DP_
     return took
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, most: int = MOST, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: list[str] | None = None) -> DataFrame:
+def row_hash(seed: int, id_col: str, text_col: str, source_col: str) -> Column:
+    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col), F.col(source_col))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, most: int = MOST, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How often the mix takes each document.
 
-    Returns one row per row of docs: doc_id, source, size, source_size, target, copies, taken (= copies * size), and with carry the struct `row` of those columns. A
+    Returns one row per row of docs: doc_id, source, size, source_size, target, copies, taken (= copies * size), hash (of id, text and source). A
     source with target T and size S takes each of its documents floor(T / S) times; the rest of T is fitted on its
     histogram of lengths, and of each length the documents with the smallest seeded hashes are taken once more.
     Null and empty texts have size 0 and are taken once; a null source is a source of its own, ordered last; repeated
@@ -100,7 +104,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = S
     number is bounded by the distinct lengths, and documents are ranked in RANGES hash ranges per source and length.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("hash"), *([F.struct(*carry).alias("row")] if carry else []))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), row_hash(seed, id_col, text_col, source_col).alias("hash"))
     rows = C.cut(rows.withColumn("part", F.pmod("hash", F.lit(RANGES)).cast("int")), "sizes")
     totals = rows.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(totals) > MOST_SOURCES:
@@ -134,10 +138,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = S
     rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("hash", "doc_id"))
     out = rows.withColumn("rank", rank).join(cuts, same)
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("repeats") + (F.col("rank") <= F.col("more")).cast("long")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(["row"] if carry else []))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "hash")
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs as often as the mix takes them."""
-    out = mix(docs, carry=docs.columns, **options).where("copies > 0")
-    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+def mixed(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs as often as the mix takes them. Equal rows are taken together: one of them stands for all."""
+    out = mix(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col)
+    taken = out.groupBy("hash", F.col("doc_id").alias("i")).agg(F.sum("copies").alias("n")).where("n > 0")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), row_hash(seed, id_col, text_col, source_col).alias("hash"), F.col(id_col).alias("id"))
+    # Dealt by the hash alone, so that dropping repeated rows needs no second exchange of the texts.
+    met = rows.join(taken, "hash").where(F.col("id").eqNullSafe(F.col("i"))).dropDuplicates(["hash", "id"])
+    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")

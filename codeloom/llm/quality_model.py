@@ -73,7 +73,7 @@ def feature_rows(docs: DataFrame, keep: str) -> DataFrame:
     C.small_batches(docs.sparkSession)
 
     def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.batches(parts, 4 << 20):
+        for batch in C.batches(parts, W.BATCH):
             x = features(*C.flat(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], [keep, "x"])
 
@@ -200,7 +200,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = model.value
-        for batch in C.batches(parts, 4 << 20):
+        for batch in C.batches(parts, W.BATCH):
             f = features(*C.flat(batch.column(1)))
             s = _sigmoid(net.margin(f).astype(np.float64) + shift) if net is not None else np.full(len(f), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= BOUNDARY).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
@@ -216,7 +216,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Dat
 
     def good(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = model.value
-        for batch in C.batches(parts, 4 << 20):
+        for batch in C.batches(parts, W.BATCH):
             if net is None:
                 yield batch
                 continue

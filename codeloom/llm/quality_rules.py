@@ -111,7 +111,7 @@ def gram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = (np.zeros(1 << BUCKET_BITS, np.int64) for _ in range(2))
-        for batch in C.batches(parts, 4 << 20):
+        for batch in C.batches(parts, W.BATCH):
             row, bucket = grams(*C.flat(batch.column(0)))
             raw += np.bincount(bucket, minlength=len(raw))
             flag = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
@@ -145,7 +145,7 @@ def judge(docs: DataFrame, labels: DataFrame, least_ratio: float = LEAST_RATIO,
 
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = table.value
-        for batch in C.batches(parts, 4 << 20):
+        for batch in C.batches(parts, W.BATCH):
             data, offsets = C.flat(batch.column(1))
             counts = rule_counts(data, offsets)
             row, bucket = grams(data, offsets)

@@ -49,8 +49,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return with_fingerprints(rows, "text", size, seed).select("doc_id", "fingerprint")
 
 
-def with_fingerprints(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, seed: int = SEED, keep_text: bool = False) -> DataFrame:
-    """docs with the column fingerprint; the text itself is null unless keep_text."""
+def with_fingerprints(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """docs with the column fingerprint; the text itself becomes null."""
     C.small_batches(docs.sparkSession)
     rows = docs.drop("fingerprint")
     place = rows.columns.index(text_col)
@@ -58,8 +58,7 @@ def with_fingerprints(docs: DataFrame, text_col: str = "text", size: int = SHING
     def hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.batches(parts):
             made = [fingerprint((x or "").encode(), size, seed) for x in batch.column(place).to_pylist()]
-            if not keep_text:
-                batch = batch.set_column(place, batch.schema.field(place), pa.nulls(batch.num_rows, batch.schema.field(place).type))
+            batch = batch.set_column(place, batch.schema.field(place), pa.nulls(batch.num_rows, batch.schema.field(place).type))
             yield batch.append_column("fingerprint", pa.array(np.array(made, np.uint64).view(np.int64)))
 
     return rows.mapInArrow(hashed, T.StructType([*rows.schema.fields, T.StructField("fingerprint", T.LongType())]))
@@ -231,13 +230,17 @@ def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 def one_of_each(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
     """The rows of docs, all columns, one for each group of near duplicates: the one with the smallest doc_id (of a
     group of null ids one with the smallest fingerprint; of repeated rows one)."""
-    marked = C.cut(with_fingerprints(docs, text_col, size, seed, keep_text=True), "with-fingerprints")
+    narrow = docs.select("doc_id", F.col(text_col).alias("text"), F.xxhash64("doc_id", text_col).alias("key"))
+    marked = C.cut(with_fingerprints(narrow, "text", size, seed).select("doc_id", "key", "fingerprint"), "fingerprints")
     nodes = groups(marked.select("fingerprint", "doc_id"), radius)
     stay = nodes.where(F.col("least").eqNullSafe(F.col("component_id")))
     stay = stay.groupBy("root").agg(F.min("fingerprint").alias("fingerprint"), F.first("least").alias("least"))
-    same = (F.col("d.fingerprint") == F.col("s.fingerprint")) & F.col("d.doc_id").eqNullSafe(F.col("s.least"))
-    kept = marked.alias("d").join(stay.alias("s"), same, "left_semi").dropDuplicates(["fingerprint", "doc_id"])
-    return kept.select(*[f"d.{c}" for c in docs.columns])
+    met = marked.join(stay.select("fingerprint", "least"), "fingerprint").where(F.col("doc_id").eqNullSafe(F.col("least")))
+    keys = met.groupBy("fingerprint").agg(F.min("key").alias("key"), F.first("least").alias("least")).select("key", "least")
+    # Dealt by a hash of id and text, which no group makes hot, and the texts only once.
+    rows = docs.withColumn("__key", F.xxhash64("doc_id", text_col))
+    kept = rows.join(keys, rows["__key"] == keys["key"]).where(F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["__key", "doc_id"])
+    return kept.select(*docs.columns)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:

@@ -12,7 +12,7 @@ in the corpus settles all strings around it.
     4. strings  by gram: order all strings around equal anchors; all but the first of equal ones are copies
     5. texts    by document: join what is copied and cut it out
 
-Between the steps travel packed arrays, dealt to buckets by gram or document. Grams and strings are compared by 64-bit
+Between the steps travel packed arrays, dealt to buckets by gram or document, one bucket for each shuffle partition. Grams and strings are compared by 64-bit
 hashes.
 """
 
@@ -34,8 +34,8 @@ GRAM = 32
 REACH = LENGTH - GRAM + 1
 #: Longest stretch of a text handled at once; the next begins where it ends and shares LENGTH - 1 bytes.
 SEGMENT = 4 << 20
-#: Buckets for each partition of a shuffle.
-BUCKETS = 4
+#: Bytes of strings that step 4 orders at once; a bucket with more is ordered in slices by gram.
+SLICE = 4 << 20
 
 _PLACE = np.uint64((1 << 24) - 1)
 ANCHOR = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("off", "u1"), ("n", "u1")])
@@ -311,12 +311,22 @@ def copies(rows: np.ndarray, data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sliced(rows: np.ndarray, data: np.ndarray) -> Iterator[np.ndarray]:
+    slices = 1 + len(data) // SLICE
+    size = rows["n"].astype(np.int64) + LENGTH - 1
+    begin = np.cumsum(size) - size
+    part = (rows["gram"] >> np.uint64(40)) % np.uint64(slices)
+    for i in range(slices):
+        at = np.flatnonzero(part == i)
+        yield copies(rows[at], _gather(data, begin[at], size[at])[0])
+
+
 def compare(buckets: int):
     """Step 4."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in _grouped(parts):
-            spans = np.concatenate([copies(*_unpack(held.get(STRINGS, b""))), np.frombuffer(held.get(SPANS, b""), SPAN)])
+            spans = np.concatenate([*_sliced(*_unpack(held.get(STRINGS, b""))), np.frombuffer(held.get(SPANS, b""), SPAN)])
             yield _batch(list(_packed(SPANS, doc_bucket(spans["doc"], buckets), spans)))
 
     return run
@@ -353,7 +363,7 @@ def remove_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = docs.sparkSession
     C.small_batches(spark)
-    buckets = max(64, BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d")).first()
     if total.n == total.d:
@@ -366,12 +376,16 @@ def remove_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         joined = left.join(right, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.k") == F.col("b.k")))
         back = joined.select(F.col("a.doc_id").alias("doc_id"), "doc")
         texts = joined.select("doc", "text").dropDuplicates(["doc"])
-    in_bucket = lambda df: df.repartition("bucket").sortWithinPartitions("bucket", "kind")
+    in_bucket = lambda df: df.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind")
     bodies = texts.select(F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("int").alias("bucket"), F.lit(TEXT).alias("kind"), "doc", F.encode("text", "UTF-8").alias("body"))
     found = texts.select("doc", "text").mapInArrow(scan(buckets, segment), ROW)
     found = C.cut(in_bucket(found).mapInArrow(keep_recurring(buckets), ROW), "anchors")
+    C.release(spark)
     around = in_bucket(found.unionByName(bodies)).mapInArrow(surroundings(buckets), ROW)
     spans = C.cut(in_bucket(around).mapInArrow(compare(buckets), ROW), "spans")
+    del around
+    C.drop_table(found)
+    C.release(spark)
     out = in_bucket(spans.unionByName(bodies)).mapInArrow(cut_out, "doc long, n_bytes long, removed array<long>, kept binary")
     if back is None:
         return out.withColumnRenamed("doc", "doc_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,7 +36,26 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("quality classifier", quality), ("SimHash near-dedup", near_dedup), ("PII", personal_data), ("mixing", mix), ("packing", pack)]
+_left: list[str] = []
+
+
+def _tidy(stage: Callable[..., DataFrame], first: bool) -> Callable[..., DataFrame]:
+    """The stage, which begins by deleting what the stage before it left in the shared folder: that stage's result has
+    been written by then, as the contract between stages says. The last stage's tables stay, as its result reads them."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not first:
+            C.delete_folders(spark, _left)
+        _left.clear()
+        known = len(C.FOLDERS)
+        out = stage(spark, docs, sf_dir)
+        _left.extend(C.FOLDERS[known:])
+        return out
+
+    return run
+
+
+STAGES = [(name, _tidy(stage, stage is quality)) for name, stage in (("quality classifier", quality), ("SimHash near-dedup", near_dedup), ("PII", personal_data), ("mixing", mix), ("packing", pack))]
 #: No SQL: the classifier and the tokenizer have none.
 ORACLE_SQL = None
 

@@ -108,5 +108,7 @@ def test_packing_stage(stages):
 def test_run_equals_the_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
-        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema) if stage is not corpus_pipeline.pack else stage(spark, docs, SF)
-    assert Counter(map(tuple, corpus_pipeline.run(spark, SF).collect())) == Counter(map(tuple, docs.collect()))
+        out = stage(spark, docs, SF)
+        rows = out.collect()
+        docs = spark.createDataFrame(rows, out.schema)
+    assert Counter(map(tuple, corpus_pipeline.run(spark, SF).collect())) == Counter(map(tuple, rows))
