@@ -12,8 +12,8 @@ in the corpus settles all strings around it.
     4. strings  by gram: order all strings around equal anchors; all but the first of equal ones are copies
     5. texts    by document: join what is copied and cut it out
 
-Between the steps travel packed arrays, dealt to buckets by gram or document, one bucket for each shuffle partition. Grams and strings are compared by 64-bit
-hashes.
+Between the steps travel packed arrays, dealt to buckets by gram or document, one bucket for each shuffle partition.
+Strings, the bulk of it, travel as Zstandard frames. Grams and strings are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ REACH = LENGTH - GRAM + 1
 SEGMENT = 4 << 20
 #: Bytes of strings that step 4 orders at once; a bucket with more is ordered in slices by gram.
 SLICE = 4 << 20
+#: Zstandard level of the strings between steps 3 and 4.
+LEVEL = 1
 
 _PLACE = np.uint64((1 << 24) - 1)
 ANCHOR = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("off", "u1"), ("n", "u1")])
@@ -170,14 +173,14 @@ def scan(buckets: int, segment: int = SEGMENT):
 
 def _grouped(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, bytes]]]:
     """(bucket, {kind: all its rows}) of rows sorted by bucket."""
-    now, held = None, {}
+    now, held, unpack = None, {}, zstandard.ZstdDecompressor().decompress
     for batch in parts:
         for bucket, kind, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()):
             if bucket != now:
                 if now is not None:
                     yield now, {k: b"".join(v) for k, v in held.items()}
                 now, held = bucket, {}
-            held.setdefault(kind, []).append(body)
+            held.setdefault(kind, []).append(unpack(body) if kind == STRINGS else body)
     if now is not None:
         yield now, {k: b"".join(v) for k, v in held.items()}
 
@@ -235,6 +238,7 @@ def surroundings(buckets: int):
     one batch, the first goes on and the others' bytes are copies."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=LEVEL).compress
         for rows, docs, texts in _with_texts(parts, AGAIN, ANCHOR):
             order = np.argsort(docs, kind="stable")
             docs, texts = docs[order], [texts[i] for i in order.tolist()]
@@ -265,7 +269,7 @@ def surroundings(buckets: int):
             cuts = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(rows))
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 head = np.array([b - a], "<u8").tobytes()
-                out.append((int(bucket[a]), STRINGS, 0, head + rows[a:b].tobytes() + bytes_[ends[a] : ends[b]].tobytes()))
+                out.append((int(bucket[a]), STRINGS, 0, pack(head + rows[a:b].tobytes() + bytes_[ends[a] : ends[b]].tobytes())))
             yield _batch(out)
 
     return run
