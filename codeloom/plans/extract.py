@@ -133,7 +133,8 @@ def extract_function(ws: Workspace, file: str, first_line: int, last_line: int,
     if not top or len({n["parent_id"] for n in top}) != 1:
         raise RefactorError(f"lines {first_line} to {last_line} are no statements of one block")
     start, end = top[0]["start"], top[-1]["end"]
-    if any(n["edge"] == "stmt" and n["parent_id"] == top[0]["parent_id"] and n["start"] < end and n["end"] > start and n not in top for n in body.nodes):
+    within_lines = lambda line: first_line <= line <= last_line
+    if any(n["edge"] == "stmt" and n not in chosen and (within_lines(n["line"]) or within_lines(n["end_line"])) for n in body.nodes):
         raise RefactorError("a statement is on these lines only in part")
     nodes = [k for n in top for k in body.below(n)]
     leaving = _own_returns(body, nodes)
