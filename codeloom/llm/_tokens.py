@@ -14,14 +14,28 @@ import numpy as np
 CACHE_PIECES = 500_000
 #: Longer pieces are encoded but not remembered.
 CACHE_CHARS = 48
-#: Pieces that go to the tokenizer as one string.
-JOINED = 4096
 
 _TWO_SPACES = re.compile(r"\s\s|\s\Z")
-_OTHER_SPACE = re.compile(r"\s")
 _loaded: dict[str, PieceCache] = {}
 
 
+class _Known(dict):
+    """Ids of pieces: those used since the last change of generations, and behind them the generation before."""
+
+    def __init__(self, made: Callable[[str], bytes], old: dict[str, bytes]):
+        super().__init__()
+        self.made, self.old = made, old
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.made(piece)
+            if len(piece) > CACHE_CHARS:
+                return ids
+        self[piece] = ids
+        return ids
+
+
 class PieceCache:
     """Encodes texts piece by piece.
 
@@ -31,8 +45,8 @@ class PieceCache:
     at its end, is encoded whole for kind "byte", since there a run of white space is one pre-token.
 
     A new piece that is a single pre-token (letters, and a space before them for kind "byte") goes straight to the
-    tokenizer's model, and a full stop or comma after it is a pre-token of its own. Other new pieces are encoded many at a time as one string and told apart by the bytes that each id stands for; where
-    these don't add up (special tokens), they are encoded one by one.
+    tokenizer's model, and a full stop or comma after it is a pre-token of its own. Any other new piece is encoded
+    as a text of its own.
     """
 
     def __init__(self, path: str):
@@ -40,129 +54,70 @@ class PieceCache:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
         self.bytes_kind = isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel)
-        suffix = self.tokenizer.model.end_of_word_suffix or ""
-        vocabulary = self.tokenizer.get_vocab()
-        self.id_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():
-            self.id_bytes[i] = len(token.removesuffix(suffix) if suffix else token)
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         self.marks = dict(zip(".,", self._encode([".", ","]), strict=True))
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printed]
-        #: The byte-level alphabet; line ends stay, to part words.
-        self.letters = {b: (b if b in printed else 256 + others.index(b)) for b in range(256)} | {10: 10}
+        #: The byte-level alphabet.
+        self.letters = {b: (b if b in printed else 256 + others.index(b)) for b in range(256)}
+        self.known = _Known(self._made, {})
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in out]
 
-    def _joined(self, pieces: list[str]) -> list[bytes]:
-        if self.bytes_kind:
-            text, plain = "".join(pieces), pieces
-        else:
-            text = " ".join(pieces)
-            plain = self.tokenizer.normalizer.normalize_str(text).split(" ")
-            if len(plain) != len(pieces):
-                return self._encode(pieces)
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.cumsum([len(x) for x in map(str.encode, plain)])
-        sums = np.cumsum(self.id_bytes[ids])
-        cuts = np.searchsorted(sums, ends, side="left") + 1
-        if not len(sums) or cuts[-1] != len(ids) or (sums[cuts - 1] != ends).any():
-            return self._encode(pieces)
-        raw, at = ids.tobytes(), [0, *(cuts * 4).tolist()]
-        return [raw[a:b] for a, b in zip(at, at[1:])]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """The ids of single pre-tokens, as the tokenizer's pre-tokenizer would hand them to its model."""
-        tokenize, shape = self.tokenizer.model.tokenize, "\n".join(words).encode().decode("latin-1").translate(self.letters)
-        return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in shape.split("\n")] if words else []
-
     def _simple(self, piece: str) -> str | None:
-        """The pre-token that a piece is, in the tokenizer's normal form; None if it is anything else."""
+        """The pre-token that a piece is, as the tokenizer's pre-tokenizer would hand it to its model; None if it is
+        anything else."""
         if self.bytes_kind:
-            return piece if (piece[1:] if piece[:1] == " " else piece).isalpha() else None
-        if not piece.isalpha() or not (piece.isascii() or unicodedata.is_normalized("NFC", piece) and "Σ" not in piece):
+            if piece[:1] == " ":
+                if not piece[1:].isalpha():
+                    return None
+                if piece.isascii():
+                    return chr(self.letters[32]) + piece[1:]
+            elif not piece.isalpha():
+                return None
+            return piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        if not piece.isalpha():
+            return None
+        if piece.isascii():
+            return piece.lower()
+        if "Σ" in piece or not unicodedata.is_normalized("NFC", piece):
             return None
         low = piece.lower()
-        return low if low.isalpha() else None
-
-    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """The ids of new pieces."""
-        plain, marked, rest = {}, {}, []
-        for piece in pieces:
-            core = piece[:-1] if piece[-1:] in self.marks else piece
-            word = self._simple(core)
-            if word is None:
-                rest.append(piece)
-                continue
-            plain[core] = word
-            if core is not piece:
-                marked[piece] = core
-        known, old = self.known, self.old
-        have = {c: known.get(c) or old.get(c) for c in plain}
-        new = [c for c, x in have.items() if x is None]
-        have.update(zip(new, self._words([plain[c] for c in new]), strict=True))
-        out = self._others(rest)
-        out.update(have)
-        out.update((piece, have[core] + self.marks[piece[-1]]) for piece, core in marked.items())
-        return out
-
-    def _others(self, pieces: list[str]) -> dict[str, bytes]:
-        if self.bytes_kind:
-            easy = [p for p in pieces if p[:1] == " " and len(p) > 1]
-            hard = [p for p in pieces if not (p[:1] == " " and len(p) > 1)]
-        else:
-            easy = [p for p in pieces if p and not _OTHER_SPACE.search(p)]
-            hard = [p for p in pieces if not p or _OTHER_SPACE.search(p)]
-        out = dict(zip(hard, self._encode(hard), strict=True))
-        for i in range(0, len(easy), JOINED):
-            part = easy[i : i + JOINED]
-            out.update(zip(part, self._joined(part), strict=True))
-        return out
+        return low.encode().decode("latin-1").translate(self.letters) if low.isalpha() else None
+
+    def _made(self, piece: str) -> bytes:
+        """The ids of a new piece."""
+        word = self._simple(piece)
+        if word is not None:
+            return array("I", [t.id for t in self.tokenize(word)]).tobytes()
+        mark = self.marks.get(piece[-1:])
+        if mark is not None and self._simple(piece[:-1]) is not None:
+            return self.known[piece[:-1]] + mark
+        return self._encode([piece])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) > CACHE_PIECES:
-            self.known, self.old = {}, self.known
-        known, whole, cut = self.known, [], []
+            last = self.known
+            last.old = {}
+            self.known = _Known(self._made, last)
+        get, out, whole = self.known.__getitem__, [], []
         for i, text in enumerate(texts):
             if not self.bytes_kind:
-                cut.append(text.replace("\n", " ").split(" "))
+                out.append(b"".join(map(get, text.replace("\n", " ").split(" "))))
             elif "\0" in text or _TWO_SPACES.search(text):
-                cut.append(None)
+                out.append(b"")
                 whole.append(i)
             else:
-                cut.append(text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"))
-        distinct = set()
-        for pieces in cut:
-            if pieces:
-                distinct.update(pieces)
-        old = self.old
-        new = [p for p in distinct if p not in known]
-        known.update((p, old[p]) for p in new if p in old)
-        here = self._pieces([p for p in new if p not in old])
-        known.update((p, x) for p, x in here.items() if len(p) <= CACHE_CHARS)
-        get = _Both(known, here).__getitem__ if any(len(p) > CACHE_CHARS for p in here) else known.__getitem__
-        out = [b"".join(map(get, pieces)) if pieces is not None else b"" for pieces in cut]
+                out.append(b"".join(map(get, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"))))
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
 
 
-class _Both(dict):
-    """Remembered pieces, and where those miss, the batch's own."""
-
-    def __init__(self, known: dict[str, bytes], own: dict[str, bytes]):
-        super().__init__(own)
-        self.known = known
-
-    def __missing__(self, key: str) -> bytes:
-        return self.known[key]
-
-
 def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """This worker's encoder for a tokenizer file."""
     if path not in _loaded:
