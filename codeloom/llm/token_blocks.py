@@ -59,22 +59,28 @@ def pack_blocks(ids: np.ndarray, percentile: int = PERCENTILE) -> list[bytes]:
 _NONE = np.zeros(0, np.int64)
 
 
+def _lane(w: int) -> int:
+    """Bytes of the smallest integer that holds w bits."""
+    return 1 if w <= 8 else 2 if w <= 16 else 4
+
+
 def _pack(block: np.ndarray, w: int) -> np.ndarray:
     """The low w bits of each value of each block, low bits first."""
-    n = len(block)
-    if w in (8, 16):
-        return block.astype(f"<u{w // 8}").view(np.uint8).reshape(n, -1)
-    bits = np.unpackbits(block.view(np.uint8).reshape(n, BLOCK, 4), axis=2, bitorder="little")
+    n, lane = len(block), _lane(w)
+    raw = block.astype(f"<u{lane}").view(np.uint8)
+    if w == 8 * lane:
+        return raw.reshape(n, -1)
+    bits = np.unpackbits(raw.reshape(n, BLOCK, lane), axis=2, bitorder="little")
     return np.packbits(bits[:, :, :w].reshape(n, BLOCK * w), axis=1, bitorder="little")
 
 
 def _unpack(packed: np.ndarray, w: int) -> np.ndarray:
-    n = len(packed)
-    if w in (8, 16):
-        return packed.view(f"<u{w // 8}").astype(np.uint32)
-    bits = np.zeros((n, BLOCK, 32), np.uint8)
-    bits[:, :, :w] = np.unpackbits(packed, axis=1, bitorder="little").reshape(n, BLOCK, w)
-    return np.packbits(bits, axis=2, bitorder="little").reshape(n, BLOCK * 4).view("<u4")
+    n, lane = len(packed), _lane(w)
+    if w < 8 * lane:
+        bits = np.zeros((n, BLOCK, 8 * lane), np.uint8)
+        bits[:, :, :w] = np.unpackbits(packed, axis=1, bitorder="little").reshape(n, BLOCK, w)
+        packed = np.packbits(bits.reshape(n, -1), axis=1, bitorder="little")
+    return packed.view(f"<u{lane}").astype(np.uint32)
 
 
 def unpack_blocks(raw: bytes, starts: np.ndarray) -> np.ndarray:
