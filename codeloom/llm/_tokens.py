@@ -16,9 +16,19 @@ CACHE_PIECES = 500_000
 CACHE_CHARS = 48
 
 _TWO_SPACES = re.compile(r"\s\s|\s\Z")
+#: White space other than the space and the line end.
+_RARE_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 _loaded: dict[str, PieceCache] = {}
 
 
+def _spaced(text: str) -> bool:
+    """Whether two white-space characters stand in a row or one at the end: the pattern, for which most texts need
+    only a look for single characters and pairs."""
+    if any(c in text for c in _RARE_SPACE):
+        return _TWO_SPACES.search(text) is not None
+    return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1:] in (" ", "\n")
+
+
 class _Known(dict):
     """Ids of pieces: those used since the last change of generations, and behind them the generation before."""
 
@@ -108,7 +118,7 @@ class PieceCache:
         for i, text in enumerate(texts):
             if not self.bytes_kind:
                 out.append(b"".join(map(get, text.replace("\n", " ").split(" "))))
-            elif "\0" in text or _TWO_SPACES.search(text):
+            elif "\0" in text or _spaced(text):
                 out.append(b"")
                 whole.append(i)
             else:
