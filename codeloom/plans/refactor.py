@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -254,13 +255,13 @@ def fix_error_wrapping(ws: Workspace, severity: str = "critical") -> DataFrame:
 OPERATIONS = {f.__name__: f for f in (rename_symbol, rename_package, move_package, move_symbol, safe_delete, add_context_parameter, add_parameter, clean_aliases, standardise_imports, organise_imports, extract_constant, extract_interface, inline_variable, create_facade, fix_if_init, fix_error_wrapping)}
 
 
-def batch(ws: Workspace, steps: list[tuple[str, dict]]) -> DataFrame:
+def batch(ws: Workspace, steps: list[tuple[str, dict]], operations: dict[str, Callable[..., DataFrame]] = OPERATIONS) -> DataFrame:
     """The changes of several operations against one state of the workspace, with the step that each comes from."""
     out = None
     for i, (name, arguments) in enumerate(steps):
-        if name not in OPERATIONS:
+        if name not in operations:
             raise RefactorError(f"no operation {name}")
-        plan = OPERATIONS[name](ws, **arguments).withColumn("step", F.lit(i))
+        plan = operations[name](ws, **arguments).withColumn("step", F.lit(i))
         out = plan if out is None else out.unionByName(plan)
     if out is None:
         raise RefactorError("no steps")

@@ -1,5 +1,6 @@
 import pytest
 
+from codeloom import tools
 from codeloom.golang import resolve
 from codeloom.golang.parser import rows
 from codeloom.plans import apply, extract, wide
@@ -148,3 +149,12 @@ def test_resolution(ws):
     breaks = resolve.layer_breaks(ws, [("api", 0), ("lib", 1)])
     assert [tuple(r) for r in breaks.collect()] == [("api", "lib", 0, 1)]
     assert "- `api` (tier 0) imports `lib` (tier 1)" in wide.layer_report(breaks).first().report
+
+
+def test_tools(ws):
+    assert not set(tools.REPORTS) & set(tools.OPERATIONS)
+    plan = tools.batch(ws, [("inline_function", {"package": ".", "name": "twice"}), ("remove_parameter", {"package": "lib", "name": "Size", "param": "h"})])
+    assert {r.step for r in plan.select("step").distinct().collect()} == {0, 1}
+    assert tools.run(ws, "unused_imports").count() == 0
+    with pytest.raises(RefactorError):
+        tools.run(ws, "nothing")
