@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm import _common as C
-from codeloom.llm import mixing, packing, pii, quality_model, simhash
+from codeloom.llm import mixing, near_copies, packing, pii, quality_model
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,8 +17,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies: five-word shingles, Jaccard similarity 0.8 or more."""
+    return near_copies.one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def _tidy(stage: Callable[..., DataFrame], first: bool) -> Callable[..., DataFra
     return run
 
 
-STAGES = [(name, _tidy(stage, stage is quality)) for name, stage in (("quality classifier", quality), ("SimHash near-dedup", near_dedup), ("PII", personal_data), ("mixing", mix), ("packing", pack))]
+STAGES = [(name, _tidy(stage, stage is quality)) for name, stage in (("quality classifier", quality), ("near-dedup", near_dedup), ("PII", personal_data), ("mixing", mix), ("packing", pack))]
 #: No SQL: the classifier and the tokenizer have none.
 ORACLE_SQL = None
 
