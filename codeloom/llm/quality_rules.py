@@ -24,9 +24,6 @@ LEAST_RATIO = -0.25
 LEAST_WORDS = 10
 MOST_REPEATED = 20
 REPEAT_WINDOW = 5
-#: Trusted documents that the target is estimated on: those with the smallest seeded hashes.
-TRUSTED_ROWS = 20_000
-SEED = 5
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -96,17 +93,16 @@ def rule_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS, seed: int = SEED) -> DataFrame:
-    """Ids of at most `rows` documents labelled as of good quality, in the order of a seeded hash."""
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(rows)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all documents labelled as of good quality, each once."""
+    return labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
 
 
 def gram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(bucket, raw, target): counts over all documents and over the trusted ones. `trusted` has at most TRUSTED_ROWS
-    ids, so it is broadcast; each task sends one row per bucket."""
+    """(bucket, raw, target): counts over all documents and over the trusted ones. Each task sends one row per bucket.
+    Ids and texts are both dealt by id at every size: the number of trusted ids grows with the corpus."""
     C.small_batches(docs.sparkSession)
-    ids = F.broadcast(trusted.select(F.col("doc_id").alias("t_id"), F.lit(True).alias("t")))
+    ids = trusted.select(F.col("doc_id").alias("t_id"), F.lit(True).alias("t")).hint("merge")
     rows = docs.join(ids, docs["doc_id"] == F.col("t_id"), "left").select("text", F.col("t").isNotNull().alias("t"))
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +131,7 @@ def ratios(counts: DataFrame) -> np.ndarray:
 def judge(docs: DataFrame, labels: DataFrame, least_ratio: float = LEAST_RATIO, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio, kept.
 
-    Raw counts cover all documents; the target is estimated on at most TRUSTED_ROWS trusted ones. A null text has no
+    Raw counts cover all documents, target counts all trusted ones. A null text has no
     words; a text of fewer than four bytes has ratio 0; without any trusted document the target is flat. Equal texts
     get equal verdicts; repeated rows stay; an empty table gives no rows.
     """
