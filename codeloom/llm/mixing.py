@@ -62,7 +62,12 @@ def fit(lengths: list[int], counts: list[int], budget: int, dp_budget: int = DP_
             more = min(counts[i] - took[i], -(-(left - dp_budget) // lengths[i]), left // lengths[i])
             took[i] += more
             left -= more * lengths[i]
-    if left <= 0 or left > dp_budget:
+    if left <= 0:
+        return took
+    if left > dp_budget:
+        # Every document that remains is longer than what is left: the shortest one or none is nearest.
+        i = min((i for i in order if took[i] < counts[i]), key=lambda i: lengths[i])
+        took[i] += lengths[i] - left < left
         return took
     most = left + max(lengths)
     mask, reach, steps = (1 << (most + 1)) - 1, 1, []
