@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ RULES = {
 }
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,63}(?: ?(?:[(\[]dot[)\]]|\.) ?[A-Za-z0-9-]{1,63}){1,8}",
-    "phone": r"(?<![0-9+.-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-])",
+    "phone": r"(?:\+[0-9]{1,3}[ .-]?|(?<![0-9+.-]))(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-])",
 }
 _BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])?"
 _ADDRESS = rf"^(?=[0-9]){_BYTE}(?:\.(?=[0-9]){_BYTE}){{3}}$"
@@ -51,6 +52,9 @@ ROUNDS = 60
 #: Share of true spans that estimation starts from, and probability from which a candidate is reported.
 START = 0.5
 LEAST = 0.9
+#: Items that running results are collected in at a time, and characters of a slab that pieces of text are taken from.
+BLOCK = 256
+SLAB = 4096
 
 
 def luhn(digits: Column) -> Column:
@@ -61,20 +65,59 @@ def luhn(digits: Column) -> Column:
     return F.when(F.length(digits) > 0, total % 10 == 0).otherwise(F.lit(False))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(items: Column, kind: str, step: Callable[[Column, Column], Column], start: Column) -> Column:
+    """What step gives over each item and those before it, as an array of `kind`. Results are collected in blocks of
+    BLOCK and the blocks' ends among themselves, so that the cost doesn't grow with the square of a long array."""
+    empty = F.array().cast(f"array<{kind}>")
+    zero = F.struct(start.cast(kind).alias("at"), empty.alias("out"))
+
+    def grow(a: Column, x: Column) -> Column:
+        return _let(step(a["at"], x).cast(kind), lambda at: F.struct(at.alias("at"), F.concat(a["out"], F.array(at)).alias("out")))
+
+    def sums(part: Column) -> Column:
+        return F.aggregate(part, zero, grow, lambda a: a["out"])
+
+    def blocked(all_: Column) -> Column:
+        last = F.floor((F.size(all_) - 1) / BLOCK).cast("int")
+        block = lambda i: F.transform(F.sequence(i * BLOCK, F.least((i + 1) * BLOCK, F.size(all_)) - 1), lambda j: F.get(all_, j))
+        return _let(F.transform(F.sequence(F.lit(0), last), lambda i: sums(block(i))), joined)
+
+    def joined(blocks: Column) -> Column:
+        ends = sums(F.transform(blocks, lambda x: F.element_at(x, -1)))
+        return _let(ends, lambda e: F.flatten(F.transform(blocks, lambda x, i: F.when(i == 0, x).otherwise(F.transform(x, lambda v: step(F.get(e, i - 1), v).cast(kind))))))
+
+    return F.when(F.size(items) > 0, _let(items, blocked)).otherwise(empty)
+
+
+def _add(a: Column, x: Column) -> Column:
+    return a + x
+
+
 def located(text: Column, pattern: str) -> Column:
-    """Array of (start, end, m) of the leftmost matches that don't overlap, in code points: the pieces between the
-    matches and the matches themselves add up to their places."""
-    pair = F.arrays_zip(F.split(text, pattern, -1).alias("s"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
-    kind = "struct<at:int,out:array<struct<start:int,end:int,m:string>>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string>>").alias("out")).cast(kind)
+    """Array of (start, end, m, before, after) of the leftmost matches that don't overlap: places in code points, and
+    the text's last NEAR characters before the match and the first one after it, as far as the neighbouring matches
+    leave them (where two matches touch, the last and the first character of the other). The pieces between the
+    matches and the matches themselves add up to their places, so nothing looks for a place in the whole text."""
+    found = F.arrays_zip(F.split(text, pattern, -1).alias("s"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+
+    def spans(pieces: Column) -> Column:
+        ends = running(F.transform(pieces, lambda x: F.length(x["s"]) + F.coalesce(F.length(x["m"]), F.lit(0))), "int", _add, F.lit(0))
+
+        def span(x: Column, i: Column, e: Column) -> Column:
+            behind, ahead = F.get(pieces, i - 1), F.get(pieces, i + 1)
+            before = F.when(x["s"] != "", F.right(x["s"], F.lit(NEAR))).otherwise(F.coalesce(F.right(behind["m"], F.lit(1)), F.lit("")))
+            after = F.when(ahead["s"] != "", F.left(ahead["s"], F.lit(1))).otherwise(F.coalesce(F.left(ahead["m"], F.lit(1)), F.lit("")))
+            return F.struct((F.get(e, i) - F.length(x["m"])).alias("start"), F.get(e, i).alias("end"), x["m"].alias("m"), before.alias("before"), after.alias("after"))
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["s"])
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"))
-        return F.struct(end.alias("at"), F.when(x["m"].isNotNull(), F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
+        made = _let(ends, lambda e: F.transform(pieces, lambda x, i: span(x, i, e)))
+        return F.filter(made, lambda x: x["m"].isNotNull())
 
-    return F.aggregate(pair, zero, step, lambda a: a["out"])
+    return _let(found, spans)
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -109,13 +152,11 @@ def _votes(kind: str, rule: Column, m: Column, before: Column) -> list[Column]:
 
 def _candidates(text: Column, kind: str, place: int) -> Column:
     """Array of candidates of one kind; `base` marks the spans of the rule."""
-    after = lambda x: F.substring(text, x["end"] + 1, F.lit(1))
 
     def candidate(x: Column, base: Column, rule: Column) -> Column:
-        begin = F.greatest(x["start"] - NEAR, F.lit(0))
-        before = F.substring(text, begin + 1, x["start"] - begin)
+        before = x["before"]
         votes = [v.cast("int").alias(f"v{i}") for i, v in enumerate(_votes(kind, rule, x["m"], before))]
-        joined = before.rlike(r"[\p{L}\p{N}]$").cast("int") + 2 * after(x).rlike(r"^[\p{L}\p{N}]").cast("int")
+        joined = before.rlike(r"[\p{L}\p{N}]$").cast("int") + 2 * x["after"].rlike(r"^[\p{L}\p{N}]").cast("int")
         quoted = before.rlike(r"[\"'=/#]\s?$").cast("int")
         return F.struct(F.lit(place).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), base.alias("base"), *votes, joined.alias("joined"), quoted.alias("quoted"))
 
@@ -232,16 +273,35 @@ def find(docs: DataFrame, text_col: str = "text", least: float = LEAST, keep: li
 
     base_spans are the rules' spans; spans adds what the classifier finds with probability `least` or more and what
     overlaps no base span. Places are code points of the whole text, ends exclusive. A null or empty text has no
-    spans; repeated rows stay; an empty table gives no rows. Columns of docs of the same names are replaced.
+    spans; repeated rows stay; an empty table gives no rows. Columns of docs called base_spans, spans, __pii or __more are replaced.
     """
-    found = candidates(docs.drop("base_spans", "spans", "__pii"), text_col, keep)
+    found = candidates(docs.drop("base_spans", "spans", "__pii", "__more"), text_col, keep)
     weights = learn(found)
-    base = F.filter("__pii", lambda x: x["base"])
-    clear = lambda x: ~F.exists("base_spans", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    more = F.filter("__pii", lambda x: ~x["base"] & (probability(x, weights) >= least) & clear(x)) if weights else F.filter("__pii", lambda x: F.lit(False))
     bare = lambda a: F.transform(a, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    found = found.withColumn("base_spans", F.array_sort(bare(base)))
-    return found.withColumn("spans", F.array_sort(F.array_union("base_spans", bare(more)))).drop("__pii")
+    base = F.array_sort(bare(F.filter("__pii", lambda x: x["base"])))
+    more = F.filter("__pii", lambda x: ~x["base"] & (probability(x, weights) >= least)) if weights else F.filter("__pii", lambda x: F.lit(False))
+    found = found.select(*[F.col(c) for c in found.columns if c != "__pii"], base.alias("base_spans"), F.array_sort(bare(more)).alias("__more"))
+    spans = F.when(F.size("__more") == 0, F.col("base_spans")).otherwise(F.array_sort(F.concat("base_spans", _clear(F.col("__more"), F.col("base_spans")))))
+    return found.withColumn("spans", spans).drop("__more")
+
+
+SPAN = "array<struct<kind:int,start:int,end:int>>"
+
+
+def _clear(more: Column, base: Column) -> Column:
+    """The spans of `more`, each once, that overlap none of `base`: by one look from the left at how far base spans
+    reach and one from the right at where the next begins."""
+    placed = lambda a, own: F.transform(a, lambda x: F.struct(x["start"].alias("start"), F.lit(own).alias("more"), x["end"].alias("end"), x["kind"].alias("kind")))
+    far = F.lit(2**31 - 1)
+
+    def kept(both: Column) -> Column:
+        reach = running(F.transform(both, lambda x: F.when(x["more"], 0).otherwise(x["end"])), "int", F.greatest, F.lit(0))
+        ahead = F.reverse(running(F.reverse(F.transform(both, lambda x: F.when(x["more"], far).otherwise(x["start"]))), "int", F.least, far))
+        free = lambda x, i, r, n: x["more"] & (F.get(r, i) <= x["start"]) & (F.get(n, i) >= x["end"]) & ~F.coalesce(F.get(both, i - 1) == x, F.lit(False))
+        return _let(reach, lambda r: _let(ahead, lambda n: F.filter(both, lambda x, i: free(x, i, r, n))))
+
+    out = _let(F.array_sort(F.concat(placed(more, True), placed(base, False))), kept)
+    return F.transform(out, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).cast(SPAN)
 
 
 def written(spans: Column) -> Column:
@@ -251,25 +311,37 @@ def written(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with each stretch covered by spans replaced by its first span's kind in brackets."""
+    """The text with each stretch covered by spans replaced by its first span's kind in brackets. The text is cut into
+    slabs once, and each piece that stays is taken out of its slabs."""
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
-    kind = "struct<at:int,out:array<string>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(kind)
 
-    def step(a: Column, x: Column) -> Column:
-        start = F.greatest(x["start"], a["at"])
-        piece = F.concat(F.substring(text, a["at"] + 1, start - a["at"]), F.when(x["start"] >= a["at"], F.get(names, x["kind"])).otherwise(F.lit("")))
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.concat(a["out"], F.array(piece)).alias("out"))
+    def between(slabs: Column, a: Column, b: Column) -> Column:
+        first, last = F.floor(a / SLAB).cast("int"), F.floor((b - 1) / SLAB).cast("int")
+        inner = F.substring(F.get(slabs, first), a % SLAB + 1, b - a)
+        wide = F.concat(F.substring(F.get(slabs, first), a % SLAB + 1, F.lit(SLAB)), F.array_join(F.slice(slabs, first + 2, last - first - 1), ""), F.substring(F.get(slabs, last), F.lit(1), (b - 1) % SLAB + 1))
+        return F.when(b <= a, "").when(first == last, inner).otherwise(wide)
+
+    def pieces(slabs: Column, order: Column, reach: Column) -> Column:
+        from_ = lambda i: F.when(i == 0, 0).otherwise(F.get(reach, i - 1))
+        mark = lambda x, i: F.when(x["start"] >= from_(i), F.get(names, x["kind"])).otherwise("")
+        kept = F.transform(order, lambda x, i: F.concat(between(slabs, from_(i), x["start"]), mark(x, i)))
+        return F.concat(F.array_join(kept, ""), between(slabs, F.element_at(reach, -1), F.length(text)))
 
     by_place = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    end = lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(by_place, zero, step, end))
+    reach = lambda order: running(F.transform(order, lambda x: x["end"]), "int", F.greatest, F.lit(0))
+    slabs = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{SLAB}}}"), F.lit(0))
+    new = _let(slabs, lambda s: _let(by_place, lambda o: _let(reach(o), lambda r: pieces(s, o, r))))
+    return F.when(F.size(spans) == 0, text).otherwise(new)
 
 
 def cleaned(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """docs with personal data replaced in the text, and the length column set anew where the text changed."""
-    found = find(docs, text_col)
-    found = found.withColumn(text_col, redact(F.col(text_col), F.col("spans")))
+    """docs with personal data replaced in the text, and the length column set anew where the text changed. All other
+    columns, whatever their names, come back as they were."""
+    others = [c for c in docs.columns if c not in (text_col, length_col)]
+    rows = docs.select(F.col(text_col).alias("text"), *([F.col(length_col).alias("n")] if length_col else []), F.struct(*others).alias("row") if others else F.lit(None).alias("row"))
+    found = find(rows, "text")
+    found = found.withColumn("new", redact(F.col("text"), F.col("spans")))
+    back = {c: F.col("row")[c] for c in others} | {text_col: F.col("new")}
     if length_col:
-        found = found.withColumn(length_col, F.when(F.size("spans") > 0, F.length(text_col).cast("long")).otherwise(F.col(length_col)))
-    return found.select(*docs.columns)
+        back[length_col] = F.when(F.size("spans") > 0, F.length("new").cast("long")).otherwise(F.col("n"))
+    return found.select(*[back[c].alias(c) for c in docs.columns])

@@ -36,7 +36,8 @@ def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(C.table(spark, sf_dir, "documents"), keep=["doc_id"])
-    counts = [F.size(F.filter("base_spans", lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    of = lambda i: F.filter("base_spans", lambda x: x["kind"] == i)
+    counts = [F.size(of(i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(pii.written(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
 
 

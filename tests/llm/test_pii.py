@@ -1,11 +1,14 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
+from itertools import accumulate
 
+import pytest
 from pyspark.sql import functions as F
 
-from codeloom.llm import pii
+from codeloom.llm import pii, queries
 
 ORIGINAL = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
@@ -87,3 +90,55 @@ def test_no_python_in_the_plan(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert hashlib.sha256(b"").hexdigest() == docs.select(F.sha2(F.lit("").cast("binary"), 256)).first()[0]
+
+
+def test_spans_of_a_long_text_in_time(spark):
+    n = 200_000
+    docs = spark.createDataFrame([(1, "ab@cd.ef or 10.2.3.4 " * n, "user's", n)], "doc_id long, text string, spans string, n_chars long")
+    began = time.monotonic()
+    (r,) = pii.cleaned(docs).selectExpr("doc_id", "spans", "n_chars", "text = repeat('<EMAIL> or <IP> ', 200000) same").collect()
+    assert (r.doc_id, r.spans, r.n_chars, r.same) == (1, "user's", 16 * n, True)
+    assert time.monotonic() - began < 60
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 255, 256, 257, 700])
+def test_running(spark, n):
+    rng = random.Random(n)
+    items = [rng.randrange(100) for _ in range(n)]
+    df = spark.createDataFrame([(items,)], "a array<int>")
+    sums, most = df.select(pii.running(F.col("a"), "int", pii._add, F.lit(0)), pii.running(F.col("a"), "int", F.greatest, F.lit(0))).first()
+    assert sums == list(accumulate(items)) and most == list(accumulate(items, max))
+
+
+def test_clear_spans(spark):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(200):
+        made = lambda k: sorted({(rng.randrange(4), a, a + rng.randrange(1, 9)) for a in rng.sample(range(60), k)})
+        rows.append((made(rng.randrange(1, 9)) * rng.choice([1, 2]), made(rng.randrange(0, 9))))
+    df = spark.createDataFrame(rows, f"more {pii.SPAN}, base {pii.SPAN}")
+    for r in df.withColumn("out", pii._clear(F.col("more"), F.col("base"))).collect():
+        want = {m for m in map(tuple, r.more) if not any(b.start < m[2] and m[1] < b.end for b in r.base)}
+        assert sorted(map(tuple, r.out)) == sorted(want)
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    rows = [(i, t, f"n{i}", "x") for i, t in enumerate(texts())] + [(7, texts()[40], "a", "b"), (None, "a@b.c", None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_email string, spans string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op6_pii(spark, str(tmp_path)).collect()
+    want = Counter()
+    for i, t, *_ in rows:
+        found = brute(t)
+        digest = hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in found).encode()).hexdigest()
+        want[(i, *(sum(k == x for x, *_ in found) for k in pii.KINDS), digest)] += 1
+    assert Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in out) == want
+    assert any(r.n_card != r.n_ip for r in out)
+
+
+def test_the_method_finds_what_a_rule_swallows(spark):
+    rng = random.Random(4)
+    number = lambda: f"+1 ({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}"
+    rows = [(i, f"so {number()} it is") for i in range(100)] + [(500, f"so {number()} 190.137.223.204 it is")]
+    out = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(s.kind, s.start, s.end) for s in out[500].spans] == [(1, 21, 36), (3, 3, 20)]
+    assert all(r.spans == r.base_spans for i, r in out.items() if i < 500)
