@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,8 +16,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = Fraction(3, 2)
 MOST = 2
 SEED = 17
-#: Largest remaining budget that the dynamic programme covers: bits of one integer per length tried.
-DP_BUDGET = 1 << 16
+#: Sums that the dynamic programme covers: five bytes each, whatever the budget.
+DP_CELLS = 1 << 21
 #: Hash ranges that a group of equally long documents is ranked in, so that no group is ranked in one task.
 RANGES = 512
 #: Most sources whose totals the driver gathers; beyond it the call fails and nothing is dropped.
@@ -45,51 +46,64 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIG
     return out
 
 
-def fit(lengths: list[int], counts: list[int], budget: int, dp_budget: int = DP_BUDGET) -> list[int]:
-    """How many documents of each length to take so that their words come as near to the budget as can be found. A proportional share of every length comes first, then long lengths fill up greedily to within
-    dp_budget, then a bounded-knapsack programme over reachable sums fits the rest exactly where it can, else to the
-    nearest sum, the smaller of two."""
+def fit(lengths: list[int], counts: list[int], budget: int, cells: int = DP_CELLS) -> list[int]:
+    """How many documents of each length to take so that their words come near to the budget.
+
+    A proportional share of every length comes first. A bounded-knapsack programme over reachable sums then fits what
+    is left of the budget to the nearest sum, the smaller of two. Its table has `cells` cells whatever the budget: where
+    twice the rest needs more, lengths are counted in units, rounded up, and what the rounding leaves is fitted again,
+    in smaller units, until a unit is one word.
+    """
     total = sum(a * b for a, b in zip(lengths, counts))
     if not total or budget <= 0:
         return [0] * len(lengths)
     if budget >= total:
         return list(counts)
     took = [c * budget // total for c in counts]
-    left = budget - sum(a * b for a, b in zip(lengths, took))
-    order = sorted((i for i, n in enumerate(lengths) if n), key=lambda i: -lengths[i])
-    for i in order:
-        if left > dp_budget:
-            more = min(counts[i] - took[i], -(-(left - dp_budget) // lengths[i]), left // lengths[i])
-            took[i] += more
-            left -= more * lengths[i]
-    if left <= 0:
-        return took
-    if left > dp_budget:
-        # Every document that remains is longer than what is left: the shortest one or none is nearest.
-        i = min((i for i in order if took[i] < counts[i]), key=lambda i: lengths[i])
-        took[i] += lengths[i] - left < left
-        return took
-    most = left + max(lengths)
+    while (left := budget - sum(a * b for a, b in zip(lengths, took))) > 0:
+        unit = -(-2 * left // cells)
+        more = nearest(lengths, [c - t for c, t in zip(counts, took)], left, unit)
+        took = [a + b for a, b in zip(took, more)]
+        if unit == 1 or not any(more):
+            break
+    return took
+
+
+def nearest(lengths: list[int], counts: list[int], budget: int, unit: int = 1) -> list[int]:
+    """How many of each length have the sum nearest to the budget, lengths and budget counted in units. A sum beyond
+    twice the budget is further off than none, so sums up to there are enough. `first` holds the step that first reached
+    each sum; going back from a sum, each step is followed by an earlier one."""
+    sizes = [-(-n // unit) for n in lengths]
+    target = -(-budget // unit)
+    most = 2 * target
+    order = sorted((i for i, n in enumerate(sizes) if unit <= lengths[i] and n <= most and counts[i]), key=lambda i: -sizes[i])
     mask, reach, steps = (1 << (most + 1)) - 1, 1, []
+    first = np.zeros(most + 1, np.int32)
     for i in order:
-        n, size = min(counts[i] - took[i], most // lengths[i]), 1
-        while n > 0:
-            size = min(size, n)
-            steps.append((i, size, reach))
-            reach |= (reach << (size * lengths[i])) & mask
-            n, size = n - size, 2 * size
-        if reach >> left & 1:
-            break
-    best = (reach & ((1 << (left + 1)) - 1)).bit_length() - 1
-    above = reach >> (left + 1)
+        n, step = min(counts[i], most // sizes[i]), 1
+        while n > 0 and not reach >> target & 1:
+            step = min(step, n)
+            steps.append((i, step))
+            new = (reach << (step * sizes[i])) & mask & ~reach
+            if new:
+                raw = np.frombuffer(new.to_bytes(most // 8 + 1, "little"), np.uint8)
+                at = np.flatnonzero(raw)
+                bits = np.unpackbits(raw[at], bitorder="little").reshape(-1, 8)
+                row, bit = np.nonzero(bits)
+                first[at[row] * 8 + bit] = len(steps)
+                reach |= new
+            n, step = n - step, 2 * step
+    best = (reach & ((1 << (target + 1)) - 1)).bit_length() - 1
+    above = reach >> (target + 1)
     if above:
-        over = left + (above & -above).bit_length()
-        best = over if over - left < left - best else best
-    for i, size, before in reversed(steps):
-        if not before >> best & 1:
-            took[i] += size
-            best -= size * lengths[i]
-    return took
+        over = target + (above & -above).bit_length()
+        best = over if over - target < target - best else best
+    out = [0] * len(lengths)
+    while best:
+        i, step = steps[first[best] - 1]
+        out[i] += step
+        best -= step * sizes[i]
+    return out
 
 
 def row_hash(seed: int, id_col: str, text_col: str, source_col: str) -> Column:

@@ -1,3 +1,5 @@
+import random
+import tracemalloc
 from itertools import product
 
 import pytest
@@ -12,3 +14,31 @@ def test_nearest_sum_of_long_documents(lengths, counts, budget):
     total = lambda t: sum(a * b for a, b in zip(lengths, t))
     want = min((abs(total(t) - budget), total(t)) for t in product(*(range(c + 1) for c in counts)))
     assert (abs(total(took) - budget), total(took)) == want
+
+
+def test_any_budget_in_bounded_memory():
+    assert mixing.fit([1_000_000], [10], 700_000) == [1]
+    assert mixing.fit([60_000, 100_000], [1, 1], 95_000) == [0, 1]
+    rng = random.Random(2)
+    lengths = sorted({rng.randrange(1, 40_000) for _ in range(15_000)} | {30_000_000})
+    counts = [rng.randrange(1, 4) for _ in lengths]
+    total = sum(a * b for a, b in zip(lengths, counts))
+    tracemalloc.start()
+    for budget in (total // 2, total // 3 + 7, 29_000_000, total - 5):
+        took = mixing.fit(lengths, counts, budget)
+        assert all(0 <= t <= c for t, c in zip(took, counts))
+        assert abs(sum(a * b for a, b in zip(lengths, took)) - budget) <= 5
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize("cells", [16, 64, 1000])
+def test_units_come_near(cells):
+    rng = random.Random(cells)
+    for _ in range(100):
+        lengths = sorted(rng.sample(range(1, 400), rng.randrange(1, 8)))
+        counts = [rng.randrange(1, 5) for _ in lengths]
+        budget = rng.randrange(1, sum(a * b for a, b in zip(lengths, counts)) + 1)
+        took = mixing.fit(lengths, counts, budget, cells)
+        assert all(0 <= t <= c for t, c in zip(took, counts))
+        assert abs(sum(a * b for a, b in zip(lengths, took)) - budget) <= max(lengths)
