@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -10,14 +11,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no spark.checkpoint.dir (single-machine tests).
-LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
-#: Rows in an Arrow batch handed to a Python worker: a few MB of ordinary documents.
-BATCH_ROWS = 1024
+from codeloom.sources import tables
+from codeloom.sources.tables import drop as drop_table
+from codeloom.sources.tables import table
 
+__all__ = ["batches", "cut", "delete_folders", "drop_table", "flat", "folders", "open_shared", "read_shared", "release", "shared_folder", "small_batches", "table", "write_shared"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Rows in an Arrow batch handed to a Python worker: a few MB of ordinary documents.
+BATCH_ROWS = 1024
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -25,23 +26,26 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, which the driver and all executors reach."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
-    FOLDERS.append(f"{root.rstrip('/')}/codeloom/{name}-{uuid.uuid4().hex}")
-    return FOLDERS[-1]
+_made = threading.local()
 
 
-#: Folders that shared_folder() has named in this process, oldest first.
-FOLDERS: list[str] = []
+def folders() -> list[str]:
+    """The shared folders that this thread has made, oldest first."""
+    if not hasattr(_made, "folders"):
+        _made.folders = []
+    return _made.folders
 
 
-def delete_folders(spark: SparkSession, folders: list[str]) -> None:
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder under spark.checkpoint.dir, which the driver and all executors reach; it goes at the session's end."""
+    folders().append(tables.shared_folder(spark, name))
+    return folders()[-1]
+
+
+def delete_folders(spark: SparkSession, named: list[str]) -> None:
     """Delete shared folders that nothing reads any more."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    for folder in named:
+        tables.delete_folder(spark, folder)
 
 
 def release(spark: SparkSession) -> None:
@@ -54,15 +58,9 @@ def release(spark: SparkSession) -> None:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here, and a lost executor costs only
     the stage that reads it."""
-    spark = df.sparkSession
-    path = shared_folder(spark, name)
+    path = f"{shared_folder(df.sparkSession, name)}/table"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table made by cut(), once nothing reads it any more."""
-    delete_folders(df.sparkSession, sorted({f.rpartition("/")[0] for f in df.inputFiles()}))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def open_shared(folder: str):

@@ -18,9 +18,10 @@ def components(edges: DataFrame) -> DataFrame:
     by key, so no component meets in one task; each round's edges are written to the shared folder.
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null")
-    loops = pairs.where("u = v")
-    pairs = C.cut(pairs.where("u > v").distinct(), "edges")
-    for _ in range(MOST_ROUNDS):
+    # Written once, so that whatever finds the edges runs once.
+    given = C.cut(pairs.distinct(), "edges")
+    loops, pairs = given.where("u = v"), given.where("u > v")
+    for n in range(MOST_ROUNDS):
         if star(pairs):
             break
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -29,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs, last = C.cut(small.unionByName(least.toDF("u", "v")).distinct(), "edges"), pairs
-        C.drop_table(last)
+        if n:
+            C.drop_table(last)
     else:
         raise RuntimeError("components did not settle")
     roots = pairs.select("v").union(loops.select("v")).distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))

@@ -1,4 +1,7 @@
-"""Near copies by exact Jaccard similarity of word shingles: a prefix-filtered set join, verification and groups.
+"""The similarity that operator 9's pipeline stage stands for: exact Jaccard of five-word shingles.
+
+SimHash finds pairs within its radius; what lies further apart is met here by a prefix-filtered set join, and every
+pair that either way meets is verified.
 
 Two sets of similarity 0.8 or more share a member among the rarest of each: the first n - ceil(0.8 n) + 1 of its n
 shingles, ordered by the number of sets that hold them. So no pair is missed, whatever the order, and every pair that
@@ -17,7 +20,6 @@ from pyspark.sql import types as T
 
 from codeloom.llm import _common as C
 from codeloom.llm import _words as W
-from codeloom.llm.graph import components
 
 SHINGLE = 5
 #: Least similarity, as a fraction: numerator and denominator.
@@ -59,16 +61,31 @@ def set_ids(row: np.ndarray, hashes: np.ndarray, rows: int) -> tuple[np.ndarray,
     return W.mix(sums[ends[1:]] - sums[ends[:-1]]), np.diff(ends)
 
 
+def set_prints(row: np.ndarray, hashes: np.ndarray, rows: int) -> np.ndarray:
+    """The 64-bit SimHash of each row's set of shingles: a bit is 1 if set in over half of its hashes."""
+    out = np.zeros(rows, np.uint64)
+    some, start = np.unique(row, return_index=True)
+    if len(some):
+        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts = np.add.reduceat(bits, start, axis=0, dtype=np.int32)
+        n = np.diff(np.append(start, len(row)))
+        out[some] = np.packbits(2 * counts > n[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
 def with_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, s, n) of rows (doc_id, key, text): id and size of the text's set of shingles."""
+    """(doc_id, key, s, n, fingerprint) of rows (doc_id, key, text): id, size and SimHash of the text's set of shingles."""
     C.small_batches(docs.sparkSession)
 
     def made(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.batches(parts, W.BATCH):
-            ids, n = set_ids(*shingles(*C.flat(batch.column(2))), batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids.view(np.int64)), pa.array(n.astype(np.int64))], ["doc_id", "key", "s", "n"])
+            row, h = shingles(*C.flat(batch.column(2)))
+            ids, n = set_ids(row, h, batch.num_rows)
+            made_ = [ids.view(np.int64), n.astype(np.int64), set_prints(row, h, batch.num_rows).view(np.int64)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, made_)], names)
 
-    kinds = [docs.schema["doc_id"], docs.schema["key"], T.StructField("s", T.LongType()), T.StructField("n", T.LongType())]
+    names = ["doc_id", "key", "s", "n", "fingerprint"]
+    kinds = [docs.schema["doc_id"], docs.schema["key"], *(T.StructField(c, T.LongType()) for c in names[2:])]
     return docs.select("doc_id", "key", "text").mapInArrow(made, T.StructType(kinds))
 
 
@@ -123,8 +140,8 @@ def prefix(n):
     return n - (a * n + b - 1) // b + 1
 
 
-def candidates(docs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(node, component): sets that shared prefix shingles join. `sizes` has (s, n) of each distinct set."""
+def rare_links(docs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Links (a, b) between sets that share a prefix shingle. `sizes` has (s, n) of each distinct set."""
     shared = C.cut(shared_shingles(docs), "shingles")
     C.release(docs.sparkSession)
     a, b = LEAST
@@ -135,7 +152,7 @@ def candidates(docs: DataFrame, sizes: DataFrame) -> DataFrame:
     mine = shared.join(few, "s").groupBy("s", "room").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("found"))
     met = C.cut(mine.select("s", F.explode(F.slice("found", F.lit(1), F.col("room"))).alias("x")).select("s", F.col("x.h").alias("h")), "prefixes")
     least = met.groupBy("h").agg(F.min("s").alias("a"), F.count("*").alias("k")).where("k > 1").select("h", "a")
-    return components(met.join(least, "h").where("s <> a").select("a", F.col("s").alias("b")).distinct())
+    return met.join(least, "h").where("s <> a").select("a", F.col("s").alias("b"))
 
 
 def verified(sets: DataFrame) -> DataFrame:
@@ -195,24 +212,3 @@ def links(owner: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
             index.setdefault(x, []).append(i)
     pairs = np.array(out, np.int64).reshape(-1, 2)
     return pairs[:, 0], pairs[:, 1]
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, one for each group that pairs of similarity LEAST or more join: the one with the
-    smallest doc_id (of a group of null ids one with the smallest set id; of repeated rows one). Texts without words
-    are one group."""
-    narrow = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    marked = C.cut(with_sets(narrow), "sets")
-    distinct = C.cut(marked.groupBy("s").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.min("key").alias("key")), "distinct")
-    near = C.cut(candidates(narrow, distinct.select("s", "n")), "candidates")
-    chosen = distinct.select("s", "key").join(near.withColumnRenamed("node", "s"), "s")
-    texts = C.cut(narrow.select("key", "text").join(chosen, "key").dropDuplicates(["s"]).select("s", "component", "text"), "candidate-texts")
-    linked = components(C.cut(verified(texts), "links"))
-    nodes = distinct.join(linked.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("component", "s"))
-    stay = nodes.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "s")).alias("m")).select("m.s", "m.least")
-    met = marked.join(stay, "s").where(F.col("doc_id").eqNullSafe(F.col("least")))
-    keys = met.groupBy("s").agg(F.min("key").alias("key"), F.first("least").alias("least")).select("key", "least")
-    # Dealt by a hash of id and text, which no group makes hot, and the texts only once.
-    rows = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    kept = rows.join(keys, rows["__key"] == keys["key"]).where(F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["__key", "doc_id"])
-    return kept.select(*docs.columns)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeloom.llm import _common as C
+from codeloom.llm import near_copies as N
 from codeloom.llm.graph import components
 
 SHINGLE = 3
@@ -19,8 +20,9 @@ RADIUS = 2
 SEED = 42
 #: Buckets with more fingerprints are cut into chunks, and each two chunks are compared by a task's group of their own.
 CHUNK = 4096
-#: Buckets up to this size are compared pair by pair, without building bit planes.
-SMALL = 32
+#: Words of members that queries are compared with at a time.
+TASKS = 1 << 16
+_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -65,48 +67,75 @@ def with_fingerprints(docs: DataFrame, text_col: str = "text", size: int = SHING
 
 
 class Planes:
-    """A block of fingerprints stored as bit planes: plane b holds bit b of 64 fingerprints in each word."""
+    """Fingerprints stored as bit planes: plane b holds bit b of 64 fingerprints in each word."""
 
     def __init__(self, prints: np.ndarray):
         self.n = len(prints)
+        self.prints = prints
         padded = np.zeros(-(-self.n // 64) * 64, np.uint64)
         padded[: self.n] = prints
         bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         self.planes = np.packbits(bits.T.copy(), axis=1, bitorder="little").view("<u8")
-        self.outside = np.zeros(len(padded), np.uint8)
-        self.outside[self.n :] = 1
-        self.outside = np.packbits(self.outside, bitorder="little").view("<u8")
 
-    def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, member) of all pairs at most `radius` bits apart.
+    def near(self, queries: np.ndarray, word: np.ndarray, lanes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place in queries, member) of all pairs at most `radius` bits apart: each query against one word of members,
+        of which those in the mask `lanes` count.
 
         Each plane is compared with one bit of each query; the differing bits go into carry-save counters, one bit of
-        the count to a word, and into a mask of members that are over the radius. Every few planes, queries for which
-        the whole block is over are abandoned.
+        the count to a word, and into a mask of members that are over the radius. Every few planes, words whose
+        members are all over are abandoned.
         """
-        active = np.arange(len(queries))
+        active = np.flatnonzero(lanes)
+        over = ~lanes[active]
         depth = (radius + 1).bit_length()
-        counters = np.zeros((depth, len(queries), self.planes.shape[1]), np.uint64)
-        over = np.tile(self.outside, (len(queries), 1))
-        full = np.uint64(0xFFFFFFFFFFFFFFFF)
+        counters = np.zeros((depth, len(active)), np.uint64)
         for b in range(64):
-            flip = np.where(queries[active] >> np.uint64(b) & np.uint64(1), full, np.uint64(0))
-            carry = (self.planes[b][None, :] ^ flip[:, None]) & ~over
+            flip = np.where(queries[active] >> np.uint64(b) & np.uint64(1), _FULL, np.uint64(0))
+            carry = (self.planes[b][word[active]] ^ flip) & ~over
             for level in range(depth):
                 counters[level], carry = counters[level] ^ carry, counters[level] & carry
-            beyond = carry
+            reached = carry
             for level in range(depth):
-                same = full if (radius + 1) >> level & 1 else np.uint64(0)
-                reached = ~(counters[level] ^ same) if not level else reached & ~(counters[level] ^ same)
-            over |= beyond | reached
+                same = _FULL if (radius + 1) >> level & 1 else np.uint64(0)
+                equal = ~(counters[level] ^ same) if not level else equal & ~(counters[level] ^ same)
+            over |= reached | equal
             if b % 6 == 5:
-                alive = (over != full).any(axis=1)
+                alive = over != _FULL
                 if not alive.all():
                     active, over, counters = active[alive], over[alive], counters[:, alive]
                     if not len(active):
                         break
-        q, member = np.nonzero(np.unpackbits(np.ascontiguousarray(~over).view(np.uint8), axis=1, bitorder="little")) if len(active) else (np.zeros(0, int), np.zeros(0, int))
-        return active[q], member
+        at, lane = np.nonzero(np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        return active[at], word[active[at]] * 64 + lane
+
+    def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, member) of all pairs at most `radius` bits apart."""
+        words = self.planes.shape[1]
+        q, word = np.repeat(np.arange(len(queries)), words), np.tile(np.arange(words), len(queries))
+        at, member = self.near(queries[q], word, _lanes(0, self.n - 64 * word), radius)
+        return q[at], member
+
+    def pairs(self, end: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (a, b) at most `radius` bits apart with a < b < end[a]: the members of a's group behind it. Groups
+        follow one another in the same planes, so a word may hold several, and large ones fill many words."""
+        row = np.arange(self.n)
+        words = (end - 1) // 64 - row // 64 + 1
+        last = np.cumsum(words)
+        at = 0
+        while at < self.n:
+            to = max(at + 1, int(np.searchsorted(last, (last[at - 1] if at else 0) + TASKS, side="right")))
+            q = np.repeat(row[at:to], words[at:to])
+            word = q // 64 + np.arange(len(q)) - np.repeat(np.cumsum(words[at:to]) - words[at:to], words[at:to])
+            found, b = self.near(self.prints[q], word, _lanes(q + 1 - 64 * word, end[q] - 64 * word), radius)
+            if len(found):
+                yield q[found], b
+            at = to
+
+
+def _lanes(start, end) -> np.ndarray:
+    """Masks with the bits from start up to end, both of which may lie outside 0..64."""
+    below = lambda n: np.where(n >= 64, _FULL, (np.uint64(1) << np.clip(n, 0, 63).astype(np.uint64)) - np.uint64(1))
+    return below(np.asarray(end)) & ~below(np.broadcast_to(start, np.shape(end)))
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -126,24 +155,6 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def links_of_bucket(prints: np.ndarray, radius: int) -> np.ndarray:
-    """Labels of a bucket's fingerprints: the smallest index among those that links join, at most CHUNK at a time."""
-    n = len(prints)
-    found = []
-    for start in range(0, n, CHUNK):
-        block = Planes(prints[start : start + CHUNK])
-        for q in range(start, n, 256):
-            a, b = block.within(prints[q : q + 256], radius)
-            found.append(_star_links(a + q, b + start))
-    a, b = (np.concatenate(x) for x in zip(*found))
-    return forest(n, a, b)
-
-
-def _star_links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keep = a != b
-    return a[keep], b[keep]
-
-
 def masks(radius: int, blocks: int) -> list[int]:
     """Bit masks such that two codes within the radius agree on at least one: all choices of blocks - radius blocks."""
     size = 64 // blocks
@@ -194,23 +205,11 @@ def _whole_groups(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
 
 
 def _links(group: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (member, smallest member) of the links within each group."""
+    """A spanning forest (member, smallest member) of the links within each group of adjacent rows."""
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(group)]]))
-    label = np.arange(len(group))
-    in_small = np.repeat(sizes <= SMALL, sizes)
-    a, b = [], []
-    for d in range(1, SMALL):
-        i = np.flatnonzero((group[:-d] == group[d:]) & in_small[:-d])
-        if not len(i):
-            break
-        i = i[np.bitwise_count(prints[i] ^ prints[i + d]) <= radius]
-        a.append(i)
-        b.append(i + d)
-    if a:
-        label = forest(len(group), np.concatenate(a), np.concatenate(b))
-    for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-        label[s : s + n] = s + links_of_bucket(prints[s : s + n], radius)
+    found = list(Planes(prints).pairs(np.repeat(starts + sizes, sizes), radius))
+    label = forest(len(group), *(np.concatenate(x) for x in zip(*found))) if found else np.arange(len(group))
     linked = np.flatnonzero(label != np.arange(len(group)))
     return linked, label[linked]
 
@@ -227,20 +226,38 @@ def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return nodes.join(first, "root", "left").select("fingerprint", "root", component.alias("component_id"), "least")
 
 
-def one_of_each(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
-    """The rows of docs, all columns, one for each group of near duplicates: the one with the smallest doc_id (of a
-    group of null ids one with the smallest fingerprint; of repeated rows one)."""
-    narrow = docs.select("doc_id", F.col(text_col).alias("text"), F.xxhash64("doc_id", text_col).alias("key"))
-    marked = C.cut(with_fingerprints(narrow, "text", size, seed).select("doc_id", "key", "fingerprint"), "fingerprints")
-    nodes = groups(marked.select("fingerprint", "doc_id"), radius)
-    stay = nodes.where(F.col("least").eqNullSafe(F.col("component_id")))
-    stay = stay.groupBy("root").agg(F.min("fingerprint").alias("fingerprint"), F.first("least").alias("least"))
-    met = marked.join(stay.select("fingerprint", "least"), "fingerprint").where(F.col("doc_id").eqNullSafe(F.col("least")))
-    keys = met.groupBy("fingerprint").agg(F.min("key").alias("key"), F.first("least").alias("least")).select("key", "least")
+def one_of_each(docs: DataFrame, text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows of docs, all columns, one for each group of near copies: pairs of a five-word Jaccard similarity of 0.8
+    or more are near, and groups are what such pairs join. The one with the smallest doc_id stays (of a group of null
+    ids one with the smallest set of shingles by hash; of repeated rows one). Texts without words are one group; an
+    empty table gives no rows; columns of docs may have any other names.
+
+    SimHash links sets whose fingerprints lie within the radius. Any radius leaves some pairs of that similarity apart,
+    so sets that share one of their rarest shingles are linked as well, which misses none. All that is linked is
+    verified on whole sets.
+    """
+    key = F.xxhash64("doc_id", text_col)
+    narrow = docs.select("doc_id", F.col(text_col).alias("text"), key.alias("key"))
+    marked = C.cut(N.with_sets(narrow), "sets")
+    distinct = marked.groupBy("s").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.min("key").alias("key"), F.first("fingerprint").alias("fingerprint"))
+    distinct = C.cut(distinct, "distinct")
+    prints = distinct.groupBy("fingerprint").agg(F.min("s").alias("a"), F.count("*").alias("k"))
+    equal = distinct.join(prints.where("k > 1"), "fingerprint").where("s <> a").select("a", F.col("s").alias("b"))
+    close = near_links(prints.select("fingerprint"), radius)
+    of = lambda end: prints.select(F.col("fingerprint").alias(end), F.col("a").alias(f"s_{end}"))
+    close = close.distinct().join(of("a"), "a").join(of("b"), "b").select(F.col("s_a").alias("a"), F.col("s_b").alias("b"))
+    near = C.cut(components(N.rare_links(narrow, distinct.select("s", "n")).unionByName(equal).unionByName(close)), "candidates")
+    chosen = distinct.select("s", "key").join(near.withColumnRenamed("node", "s"), "s")
+    texts = C.cut(narrow.select("key", "text").join(chosen, "key").dropDuplicates(["s"]).select("s", "component", "text"), "candidate-texts")
+    linked = components(N.verified(texts))
+    nodes = distinct.join(linked.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("component", "s"))
+    stay = nodes.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "s")).alias("m")).select("m.s", "m.least")
+    met = marked.join(stay, "s").where(F.col("doc_id").eqNullSafe(F.col("least")))
+    keys = met.groupBy("s").agg(F.min("key").alias("key"), F.first("least").alias("least")).select("key", "least")
     # Dealt by a hash of id and text, which no group makes hot, and the texts only once.
-    rows = docs.withColumn("__key", F.xxhash64("doc_id", text_col))
-    kept = rows.join(keys, rows["__key"] == keys["key"]).where(F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["__key", "doc_id"])
-    return kept.select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), key.alias("key"))
+    kept = rows.join(keys, "key").where(F.col("id").eqNullSafe(F.col("least"))).dropDuplicates(["key", "id"])
+    return kept.select("row.*")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -58,3 +59,19 @@ def test_stage_on_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert Counter(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == brute(rows)
+
+
+def test_stage_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f g", "k1", 7, "x", 3, 9), (2, "A b c d e f g", "k2", 8, "y", 4, 9), (3, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, least int, __key string, fingerprint int, row int")
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [rows[0], rows[2]]
+
+
+def test_prints_of_sets():
+    data, offsets = near_copies.C.flat(pa.array(["a b c d e f g h", "", "x", "a b c d e f g h i"]))
+    row, h = near_copies.shingles(data, offsets)
+    got = near_copies.set_prints(row, h, 4).tolist()
+    for i, p in enumerate(got):
+        mine = [int(x) for x in h[row == i]]
+        assert p == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in mine) > len(mine))

@@ -181,3 +181,15 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == label
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("sizes", [[1, 2, 3, 1, 70, 5], [200], [64, 64, 1], [1] * 130, [33, 31, 2, 500]])
+def test_groups_side_by_side_in_the_planes(monkeypatch, sizes):
+    monkeypatch.setattr(simhash, "TASKS", 50)
+    rng = np.random.default_rng(len(sizes))
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    prints = rng.integers(0, 4, len(group), dtype=np.uint64) << np.uint64(3) ^ (np.uint64(1) << rng.integers(0, 12, len(group)).astype(np.uint64))
+    end = np.cumsum(sizes)[group]
+    got = [(int(a), int(b)) for x, y in simhash.Planes(prints).pairs(end, 2) for a, b in zip(x, y)]
+    want = {(i, j) for i in range(len(group)) for j in range(i + 1, int(end[i])) if int(prints[i] ^ prints[j]).bit_count() <= 2}
+    assert sorted(got) == sorted(want)
