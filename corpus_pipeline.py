@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm import _common as C
-from codeloom.llm import mixing, near_copies, packing, pii, quality_model
+from codeloom.llm import mixing, packing, pii, quality_model, simhash
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, Jaccard similarity 0.8 or more."""
-    return near_copies.one_of_each(docs)
+    return simhash.one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,26 +37,26 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-_left: list[str] = []
+_thread = threading.local()
 
 
 def _tidy(stage: Callable[..., DataFrame], first: bool) -> Callable[..., DataFrame]:
-    """The stage, which begins by deleting what the stage before it left in the shared folder: that stage's result has
-    been written by then, as the contract between stages says. The last stage's tables stay, as its result reads them."""
+    """The stage, which begins by deleting what the stage before it in this thread left in the shared folder: that
+    stage's result has been written by then, as the contract between stages says. The last stage's tables stay, as its
+    result reads them."""
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         if not first:
-            C.delete_folders(spark, _left)
-        _left.clear()
-        known = len(C.FOLDERS)
+            C.delete_folders(spark, getattr(_thread, "left", []))
+        known = len(C.folders())
         out = stage(spark, docs, sf_dir)
-        _left.extend(C.FOLDERS[known:])
+        _thread.left = C.folders()[known:]
         return out
 
     return run
 
 
-STAGES = [(name, _tidy(stage, stage is quality)) for name, stage in (("quality classifier", quality), ("near-dedup", near_dedup), ("PII", personal_data), ("mixing", mix), ("packing", pack))]
+STAGES = [(name, _tidy(stage, stage is quality)) for name, stage in (("quality classifier", quality), ("SimHash near-dedup", near_dedup), ("PII", personal_data), ("mixing", mix), ("packing", pack))]
 #: No SQL: the classifier and the tokenizer have none.
 ORACLE_SQL = None
 
