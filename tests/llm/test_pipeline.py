@@ -5,8 +5,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from test_near_copies import brute as brute_groups
 from test_pii import brute as brute_spans
-from test_quality_and_simhash import brute_components, brute_fingerprint
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -49,12 +49,7 @@ def test_classifier_stage(spark, stages):
 
 def test_dedup_stage(stages):
     rows = stages[1]
-    label = brute_components([brute_fingerprint(r.text) for r in rows])
-    groups = defaultdict(list)
-    for i, r in enumerate(rows):
-        groups[label[i]].append(r.doc_id)
-    want = Counter(min((x for x in g if x is not None), default=None) for g in groups.values())
-    assert Counter(r.doc_id for r in stages[2]) == want and len(stages[2]) < len(rows)
+    assert Counter(r.doc_id for r in stages[2]) == brute_groups([(r.doc_id, r.text) for r in rows]) and len(stages[2]) < len(rows)
 
 
 def test_personal_data_stage(spark, stages):
