@@ -3,7 +3,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from codeloom.llm import embeddings
+from codeloom.llm import embeddings, queries
 
 
 def vectors():
@@ -72,3 +72,44 @@ def test_recall_of_the_tables():
         met |= np.bitwise_count(x >> np.uint64(16 * t) & np.uint64(0xFFFF)) <= 2
     print("recall", met.mean())
     assert met.mean() > 0.99
+
+
+def test_query_finds_links_end_to_end(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((600, 64))
+    rows = [base]
+    for n, cos in ((300, 0.952), (300, 0.97), (300, 0.99)):
+        b = base[rng.integers(0, 600, n)]
+        noise = rng.standard_normal(b.shape)
+        noise -= (noise * b).sum(axis=1)[:, None] / (b * b).sum(axis=1)[:, None] * b
+        noise *= (np.linalg.norm(b, axis=1) / np.linalg.norm(noise, axis=1))[:, None]
+        rows.append(cos * b + np.sqrt(1 - cos**2) * noise)
+    rows += [base[:5]] * 40
+    v = np.concatenate(rows).astype(np.float32)
+    given = [(i, list(map(float, x)), 0) for i, x in enumerate(v)]
+    spark.createDataFrame(given, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r for r in queries.op7_embeddings(spark, str(tmp_path)).collect()}
+    u = v.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    links = (u @ u.T >= 0.95).sum(axis=1) - 1
+    found = np.array([got[i].n_links for i in range(len(v))])
+    assert (found <= links).all() and links.sum() > 8000
+    print("recall", found.sum() / links.sum(), (found[links > 0] > 0).mean())
+    assert found.sum() >= 0.98 * links.sum() and (found[links > 0] > 0).mean() > 0.98
+    assert all(got[i].component_id <= i and got[i].kept == (got[i].component_id == i) for i in got)
+
+
+def test_many_copies_of_one_vector(spark):
+    n = 30_000
+    df = spark.range(n).selectExpr("id vec_id", "array(1d, 2d, 3d) embedding")
+    out = embeddings.near_vectors(df).selectExpr("min(n_links) a", "max(n_links) b", "max(component_id) c", "count_if(kept) k").first()
+    assert (out.a, out.b, out.c, out.k) == (n - 1, n - 1, 0, 1)
+
+
+def test_hot_buckets_are_split(monkeypatch, spark):
+    monkeypatch.setattr(embeddings, "CHUNK", 16)
+    rng = np.random.default_rng(3)
+    codes = np.unique(rng.integers(0, 2**9, 400, dtype=np.uint64) << np.uint64(20))
+    book = spark.createDataFrame([(3, int(c), 1) for c in codes], "d int, code long, k long").repartition(3)
+    got = sorted((r.a, r.b) for r in embeddings.near_codes(book).collect())
+    assert got == [(int(a), int(b)) for i, a in enumerate(codes) for b in codes[i + 1 :]]
