@@ -12,8 +12,14 @@ in the corpus settles all strings around it.
     4. strings  by gram: order all strings around equal anchors; all but the first of equal ones are copies
     5. texts    by document: join what is copied and cut it out
 
-Between the steps travel packed arrays, dealt to buckets by gram or document, one bucket for each shuffle partition.
-Strings, the bulk of it, travel as Zstandard frames. Grams and strings are compared by 64-bit hashes.
+Between the steps travel packed arrays, dealt to buckets by gram or document; there are as many buckets as shuffle
+partitions, or more where these would get over BUCKET_BYTES of text each. Strings, the bulk of it, travel as Zstandard
+frames. Grams are compared by 64-bit hashes, which at worst makes strings meet in vain; strings whose hashes are equal
+are compared byte by byte.
+
+A gram that occurs more than HOT times doesn't meet in one bucket: of the strings around it, those that begin at least
+SIDE bytes before it are dealt by the gram and the SIDE bytes before it, the others by the gram and the SIDE bytes behind
+it, which each of them holds. Equal strings still meet.
 """
 
 from __future__ import annotations
@@ -37,14 +43,24 @@ REACH = LENGTH - GRAM + 1
 SEGMENT = 4 << 20
 #: Bytes of strings that step 4 orders at once; a bucket with more is ordered in slices by gram.
 SLICE = 4 << 20
+#: Bytes of a bucket's strings that step 4 holds at once; of a larger bucket it goes through the frames again.
+HOLD = 64 << 20
+#: Bytes of text that a bucket stands for, about.
+BUCKET_BYTES = 64 << 20
+#: Occurrences from which a gram's strings are dealt by what stands around it, the bytes looked at on each side, and the
+#: most such grams, the most frequent ones: eight bytes for each go to every task.
+HOT = 20_000
+SIDE = (REACH - 1) // 2
+MOST_HOT = 1_000_000
 #: Zstandard level of the strings between steps 3 and 4.
 LEVEL = 1
 
 _PLACE = np.uint64((1 << 24) - 1)
 ANCHOR = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("off", "u1"), ("n", "u1")])
 SPAN = np.dtype([("doc", "<i8"), ("start", "<u4"), ("end", "<u4")])
-#: What a row of packed data holds: anchors seen once in their batch, anchors known to recur, spans.
-ONCE, AGAIN, STRINGS, SPANS, TEXT = range(5)
+#: What a row of packed data holds: anchors seen once in their batch, anchors known to recur, strings, spans, a text,
+#: a frequent gram (with its count in place of a document).
+ONCE, AGAIN, STRINGS, SPANS, TEXT, FREQUENT = range(6)
 ROW = "bucket int, kind int, doc long, body binary"
 
 
@@ -150,7 +166,8 @@ def _segments(ids: list[int], texts: pa.Array, most: int) -> Iterator[tuple[np.n
 
 
 def scan(buckets: int, segment: int = SEGMENT):
-    """Step 1. An anchor that recurs in its batch goes on as known to recur, with a mark (n = 0) for its gram."""
+    """Step 1. An anchor that recurs in its batch goes on as known to recur, with a mark for its gram: n is 0, and start
+    how often it occurs there."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.batches(parts, segment):
@@ -160,8 +177,9 @@ def scan(buckets: int, segment: int = SEGMENT):
                 twice = recurring(found["gram"])
                 marks = np.zeros(0, ANCHOR)
                 if twice.any():
-                    marks = np.zeros(len(grams := np.unique(found["gram"][twice])), ANCHOR)
-                    marks["gram"] = grams
+                    grams, count = np.unique(found["gram"][twice], return_counts=True)
+                    marks = np.zeros(len(grams), ANCHOR)
+                    marks["gram"], marks["start"] = grams, count
                 once = np.concatenate([found[~twice], marks])
                 out += _packed(ONCE, gram_bucket(once["gram"], buckets), once)
                 known = found[twice]
@@ -171,33 +189,32 @@ def scan(buckets: int, segment: int = SEGMENT):
     return run
 
 
-def _grouped(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, bytes]]]:
-    """(bucket, {kind: all its rows}) of rows sorted by bucket."""
-    now, held, unpack = None, {}, zstandard.ZstdDecompressor().decompress
+def _grouped(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[bytes]]]]:
+    """(bucket, {kind: its rows}) of rows sorted by bucket."""
+    now, held = None, {}
     for batch in parts:
         for bucket, kind, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()):
             if bucket != now:
                 if now is not None:
-                    yield now, {k: b"".join(v) for k, v in held.items()}
+                    yield now, held
                 now, held = bucket, {}
-            held.setdefault(kind, []).append(unpack(body) if kind == STRINGS else body)
+            held.setdefault(kind, []).append(body)
     if now is not None:
-        yield now, {k: b"".join(v) for k, v in held.items()}
+        yield now, held
 
 
-def keep_recurring(buckets: int):
-    """Step 2. Anchors whose gram occurs twice, by document."""
+def keep_recurring(buckets: int, hot: int = HOT):
+    """Step 2. Anchors whose gram occurs twice, by document, and the grams that occur more than `hot` times."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in _grouped(parts):
-            once = np.frombuffer(held.get(ONCE, b""), ANCHOR)
-            twice = recurring(once["gram"])
-            grams = np.unique(once["gram"][once["n"] == 0])
-            if len(grams):
-                at = np.minimum(np.searchsorted(grams, once["gram"]), len(grams) - 1)
-                twice |= grams[at] == once["gram"]
-            found = np.concatenate([once[twice & (once["n"] > 0)], np.frombuffer(held.get(AGAIN, b""), ANCHOR)])
-            yield _batch(list(_packed(AGAIN, doc_bucket(found["doc"], buckets), found)))
+            once = np.frombuffer(b"".join(held.get(ONCE, [])), ANCHOR)
+            grams, at = np.unique(once["gram"], return_inverse=True)
+            mark = once["n"] == 0
+            count = np.bincount(at, np.where(mark, once["start"], 1), len(grams))
+            found = np.concatenate([once[(count[at] > 1) & ~mark], np.frombuffer(b"".join(held.get(AGAIN, [])), ANCHOR)])
+            often = [(0, FREQUENT, int(n), g.tobytes()) for g, n in zip(grams[count > hot], count[count > hot])]
+            yield _batch(list(_packed(AGAIN, doc_bucket(found["doc"], buckets), found)) + often)
 
     return run
 
@@ -233,7 +250,57 @@ def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.n
     return data[np.arange(int(size.sum())) + np.repeat(start - begin, size)], begin
 
 
-def surroundings(buckets: int):
+def _slabs(size: np.ndarray, most: int = SEGMENT) -> Iterator[slice]:
+    """Stretches of rows that hold about `most` bytes or a single row."""
+    ends, at = np.cumsum(size), 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield slice(at, to)
+        at = to
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The hash of each stretch of data."""
+    out = np.zeros(len(start), np.uint64)
+    for at in _slabs(size):
+        bytes_, begin = _gather(data, start[at], size[at])
+        out[at] = W.Prefix(bytes_).span(begin, begin + size[at])
+    return out
+
+
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the stretches of data at a and b hold the same bytes."""
+    out = np.ones(len(a), bool)
+    for at in _slabs(size):
+        x, begin = _gather(data, a[at], size[at])
+        y, _ = _gather(data, b[at], size[at])
+        if len(x):
+            out[at] = np.logical_and.reduceat(x == y, begin)
+    return out
+
+
+def _split(rows: np.ndarray, start: np.ndarray, data: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows and their starts in data, those of hot grams in two parts with what stands around in place of the gram."""
+    at = np.minimum(np.searchsorted(hot, rows["gram"]), max(len(hot) - 1, 0))
+    often = hot[at] == rows["gram"] if len(hot) else np.zeros(len(rows), bool)
+    if not often.any():
+        return rows, start
+    wide, s = rows[often], start[often]
+    off, n = wide["off"].astype(np.int64), wide["n"].astype(np.int64)
+    before = np.clip(off - SIDE + 1, 0, n)
+    left, right = wide.copy(), wide.copy()
+    left["n"] = before
+    right["start"], right["off"], right["n"] = right["start"] + before, off - np.minimum(before, off), n - before
+    size = np.full(len(wide), GRAM + SIDE)
+    left["gram"], right["gram"] = wide["gram"], wide["gram"]
+    some = before > 0
+    left["gram"][some] = W.mix(wide["gram"][some] ^ _hashes(data, (s + off - SIDE)[some], size[some]))
+    rest = n > before
+    right["gram"][rest] = W.mix(wide["gram"][rest] + _hashes(data, (s + off)[rest], size[rest]))
+    return np.concatenate([rows[~often], left[some], right[rest]]), np.concatenate([start[~often], s[some], (s + before)[rest]])
+
+
+def surroundings(buckets: int, hot: np.ndarray):
     """Step 3. The bytes of all strings around each recurring anchor, by gram. Of anchors with equal surroundings in
     one batch, the first goes on and the others' bytes are copies."""
 
@@ -248,45 +315,41 @@ def surroundings(buckets: int):
             if not len(rows):
                 continue
             data = np.frombuffer(b"".join(texts), np.uint8)
-            offsets = np.cumsum([0, *map(len, texts)])
-            start = offsets[at] + rows["start"]
+            start = np.cumsum([0, *map(len, texts)])[at] + rows["start"]
             size = rows["n"].astype(np.int64) + LENGTH - 1
-            whole = W.Prefix(data).span(start, start + size) ^ W.mix(rows["gram"] + rows["off"])
+            whole = _hashes(data, start, size) ^ W.mix(rows["gram"] + rows["off"])
             # Rows are in order of document and start, so the first of equal ones is the earliest.
-            _, first = np.unique(whole, return_index=True)
-            copy = np.ones(len(rows), bool)
-            copy[first] = False
-            spans = np.zeros(copy.sum(), SPAN)
+            _, first, back = np.unique(whole, return_index=True, return_inverse=True)
+            copy = np.flatnonzero(first[back] != np.arange(len(rows)))
+            of = first[back][copy]
+            copy = copy[(size[of] == size[copy]) & _equal(data, start[copy], start[of], np.minimum(size[copy], size[of]))]
+            spans = np.zeros(len(copy), SPAN)
             spans["doc"], spans["start"] = rows["doc"][copy], rows["start"][copy]
             spans["end"] = rows["start"][copy] + size[copy]
             out = list(_packed(SPANS, doc_bucket(spans["doc"], buckets), spans))
-            rows, start, size = rows[~copy], start[~copy], size[~copy]
+            left = np.ones(len(rows), bool)
+            left[copy] = False
+            rows, start = _split(rows[left], start[left], data, hot)
             bucket = gram_bucket(rows["gram"], buckets)
-            order = np.lexsort((whole[~copy], bucket))
-            rows, start, size, bucket = rows[order], start[order], size[order], bucket[order]
-            bytes_, begin = _gather(data, start, size)
-            ends = np.append(begin, len(bytes_))
-            cuts = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(rows))
+            order = np.lexsort((rows["gram"], bucket))
+            rows, start, bucket = rows[order], start[order], bucket[order]
+            size = rows["n"].astype(np.int64) + LENGTH - 1
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(rows)) if len(rows) else np.zeros(1, np.int64)
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                head = np.array([b - a], "<u8").tobytes()
-                out.append((int(bucket[a]), STRINGS, 0, pack(head + rows[a:b].tobytes() + bytes_[ends[a] : ends[b]].tobytes())))
+                for part in _slabs(size[a:b]):
+                    lo, hi = a + part.start, a + part.stop
+                    head = np.array([hi - lo], "<u8").tobytes()
+                    out.append((int(bucket[a]), STRINGS, 0, pack(head + rows[lo:hi].tobytes() + _gather(data, start[lo:hi], size[lo:hi])[0].tobytes())))
             yield _batch(out)
 
     return run
 
 
-def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """All anchors of concatenated STRINGS rows and their bytes in a row."""
-    rows, data, at = [], [], 0
-    while at < len(raw):
-        n = int(np.frombuffer(raw, "<u8", 1, at)[0])
-        part = np.frombuffer(raw, ANCHOR, n, at + 8)
-        at += 8 + n * ANCHOR.itemsize
-        size = int(part["n"].sum()) + n * (LENGTH - 1)
-        rows.append(part)
-        data.append(np.frombuffer(raw, np.uint8, size, at))
-        at += size
-    return (np.concatenate(rows), np.concatenate(data)) if rows else (np.zeros(0, ANCHOR), np.zeros(0, np.uint8))
+def _unpacked(frame: bytes, unpack) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors of a STRINGS row and their bytes in a row."""
+    raw = unpack(frame)
+    n = int(np.frombuffer(raw, "<u8", 1)[0])
+    return np.frombuffer(raw, ANCHOR, n, 8), np.frombuffer(raw, np.uint8, -1, 8 + n * ANCHOR.itemsize)
 
 
 def copies(rows: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -305,6 +368,10 @@ def copies(rows: np.ndarray, data: np.ndarray) -> np.ndarray:
     by_key = np.argsort(keys, kind="stable")
     again = np.zeros(len(keys), bool)
     again[by_key[1:]] = keys[by_key[1:]] == keys[by_key[:-1]]
+    before = np.zeros(len(keys), np.int64)
+    before[by_key[1:]] = by_key[:-1]
+    if not _as_hashed(data, at, owner, again, before):
+        again = _by_bytes(data, at)
     open_ = again & ~np.concatenate([[False], again[:-1] & (owner[1:] == owner[:-1])])
     shut = again & ~np.concatenate([again[1:] & (owner[1:] == owner[:-1]), [False]])
     a, b = np.flatnonzero(open_), np.flatnonzero(shut)
@@ -315,14 +382,52 @@ def copies(rows: np.ndarray, data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sliced(rows: np.ndarray, data: np.ndarray) -> Iterator[np.ndarray]:
-    slices = 1 + len(data) // SLICE
-    size = rows["n"].astype(np.int64) + LENGTH - 1
-    begin = np.cumsum(size) - size
-    part = (rows["gram"] >> np.uint64(40)) % np.uint64(slices)
-    for i in range(slices):
-        at = np.flatnonzero(part == i)
-        yield copies(rows[at], _gather(data, begin[at], size[at])[0])
+def _as_hashed(data: np.ndarray, at: np.ndarray, owner: np.ndarray, again: np.ndarray, before: np.ndarray) -> bool:
+    """Whether every string that has the hash of the one before it holds its bytes too. Neighbouring strings that have
+    neighbouring ones before them are compared as one stretch."""
+    t = np.flatnonzero(again)
+    if not len(t):
+        return True
+    p = before[t]
+    on = (t[1:] == t[:-1] + 1) & (p[1:] == p[:-1] + 1) & (owner[t[1:]] == owner[t[:-1]]) & (owner[p[1:]] == owner[p[:-1]])
+    heads = np.flatnonzero(np.concatenate([[True], ~on]))
+    size = np.diff(np.append(heads, len(t))) + LENGTH - 1
+    return bool(_equal(data, at[t[heads]], at[p[heads]], size).all())
+
+
+def _by_bytes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which strings occur before: by their bytes, for the case that two hashes clash."""
+    raw, seen, out = data.tobytes(), set(), np.zeros(len(at), bool)
+    for i, a in enumerate(at.tolist()):
+        string = raw[a : a + LENGTH]
+        out[i] = string in seen
+        seen.add(string)
+    return out
+
+
+def _sliced(frames: list[bytes]) -> Iterator[np.ndarray]:
+    """Copies among the strings of a bucket, some grams at a time. A bucket of more than HOLD bytes is gone through
+    several times, and only the strings of some grams are kept each time."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    total = sum(map(zstandard.frame_content_size, frames))
+    rounds = 1 + total // HOLD
+    slices = 1 + total // rounds // SLICE
+    for turn in range(rounds):
+        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(slices)]
+        for frame in frames:
+            rows, data = _unpacked(frame, unpack)
+            size = rows["n"].astype(np.int64) + LENGTH - 1
+            begin = np.cumsum(size) - size
+            part = (rows["gram"] >> np.uint64(40)) % np.uint64(rounds * slices)
+            for i in range(slices):
+                at = np.flatnonzero(part == turn * slices + i)
+                if len(at):
+                    held[i].append((rows[at], _gather(data, begin[at], size[at])[0]))
+        for i in range(slices):
+            if held[i]:
+                rows, data = (np.concatenate(x) for x in zip(*held[i]))
+                held[i] = []
+                yield copies(rows, data)
 
 
 def compare(buckets: int):
@@ -330,7 +435,7 @@ def compare(buckets: int):
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in _grouped(parts):
-            spans = np.concatenate([*_sliced(*_unpack(held.get(STRINGS, b""))), np.frombuffer(held.get(SPANS, b""), SPAN)])
+            spans = np.concatenate([*_sliced(held.get(STRINGS, [])), np.frombuffer(b"".join(held.get(SPANS, [])), SPAN)])
             yield _batch(list(_packed(SPANS, doc_bucket(spans["doc"], buckets), spans)))
 
     return run
@@ -358,18 +463,18 @@ def cut_out(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, ["doc", "n_bytes", "removed", "kept"])
 
 
-def remove_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
+def remove_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT, hot: int = HOT) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, removed (starts and ends of removed runs in bytes) and kept (bytes).
 
     A null text is empty. Rows that share id and text are one document and get the same result; rows that share an id
     alone are ordered by a hash of the text; null ids come after all others. Texts shorter than LENGTH bytes keep all.
-    An empty table gives no rows.
+    An empty table gives no rows. The driver gathers at most MOST_HOT frequent grams.
     """
     spark = docs.sparkSession
     C.small_batches(spark)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    total = rows.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d")).first()
+    total = rows.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d"), F.sum(F.octet_length("text").cast("long")).alias("b")).first()
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total.b or 0) // BUCKET_BYTES))
     if total.n == total.d:
         texts, back = rows.withColumnRenamed("doc_id", "doc"), None
     else:
@@ -383,9 +488,12 @@ def remove_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     in_bucket = lambda df: df.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind")
     bodies = texts.select(F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("int").alias("bucket"), F.lit(TEXT).alias("kind"), "doc", F.encode("text", "UTF-8").alias("body"))
     found = texts.select("doc", "text").mapInArrow(scan(buckets, segment), ROW)
-    found = C.cut(in_bucket(found).mapInArrow(keep_recurring(buckets), ROW), "anchors")
+    found = C.cut(in_bucket(found).mapInArrow(keep_recurring(buckets, hot), ROW), "anchors")
     C.release(spark)
-    around = in_bucket(found.unionByName(bodies)).mapInArrow(surroundings(buckets), ROW)
+    often = found.where(F.col("kind") == FREQUENT).orderBy(F.desc("doc"), "body").limit(MOST_HOT).select("body").collect()
+    grams = np.sort(np.frombuffer(b"".join(bytes(r.body) for r in often), np.uint64))
+    anchors_ = found.where(F.col("kind") == AGAIN)
+    around = in_bucket(anchors_.unionByName(bodies)).mapInArrow(surroundings(buckets, grams), ROW)
     spans = C.cut(in_bucket(around).mapInArrow(compare(buckets), ROW), "spans")
     del around
     C.drop_table(found)

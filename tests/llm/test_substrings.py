@@ -1,10 +1,11 @@
+import hashlib
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from codeloom.llm import substrings
+from codeloom.llm import queries, substrings
 
 
 def texts():
@@ -77,3 +78,39 @@ def test_sliding_min():
     x = np.random.default_rng(0).integers(0, 1000, 500).astype(np.uint64)
     for size in (1, 2, 7, 69):
         assert (substrings.sliding_min(x, size) == [x[i : i + size].min() for i in range(501 - size)]).all()
+
+
+def test_frequent_grams_are_split(spark, monkeypatch):
+    """Every recurring gram is dealt by what stands around it, and buckets are gone through several times."""
+    monkeypatch.setattr(substrings, "HOLD", 20_000)
+    monkeypatch.setattr(substrings, "SLICE", 5_000)
+    rows = list(enumerate(texts()))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    raws = [(t or "").encode() for _, t in rows]
+    want = Counter(wanted(i, raw, mask) for (i, _), raw, mask in zip(rows, raws, brute(raws)))
+    assert Counter(map(result, substrings.remove_copies(df, segment=3000, hot=1).collect())) == want
+
+
+def test_clashing_hashes_are_told_by_bytes(monkeypatch):
+    real = substrings.W.Prefix.span
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 99, 3000, dtype=np.uint8)
+    data[1500:1700] = data[100:300]
+    rows = np.zeros(20, substrings.ANCHOR)
+    rows["doc"], rows["n"] = np.arange(20) % 7, 51
+    rows["start"] = np.arange(20) * 1000
+    want = substrings.copies(rows, data)
+    monkeypatch.setattr(substrings.W.Prefix, "span", lambda self, a, b: real(self, a, b) % np.uint64(50))
+    assert (substrings.copies(rows, data) == want).all() and len(want)
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    rows = [(i, t, 1, b"x") for i, t in enumerate(texts())]
+    spark.createDataFrame(rows, "doc_id long, text string, n_bytes int, kept binary").write.parquet(f"{tmp_path}/documents.parquet")
+    raws = [(t or "").encode() for _, t, *_ in rows]
+    want = Counter()
+    for (i, *_), raw, mask in zip(rows, raws, brute(raws)):
+        kept = bytes(np.frombuffer(raw, np.uint8)[~mask])
+        runs = int((np.diff(np.concatenate([[0], mask.astype(int)])) > 0).sum())
+        want[(i, len(raw), int(mask.sum()), runs, hashlib.sha256(kept).hexdigest())] += 1
+    assert Counter(map(tuple, queries.op10_substrings(spark, str(tmp_path)).collect())) == want
