@@ -11,7 +11,9 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
+import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import numpy as np
 import pyarrow as pa
@@ -27,25 +29,34 @@ SEEKABLE = 0x8F92EAB1
 #: Plain bytes after which a frame is closed, and compressed bytes after which a bundle is.
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 256 << 20
+#: Records after which a bundle is closed in any case, as its index is held in memory.
+BUNDLE_RECORDS = 500_000
 #: Payloads below this size are never replaced by a revisit record.
 LEAST_REVISIT = 100
 LEVEL = 3
 
 
-def record(kind: str, page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record. A revisit has no block; its headers hold the size and digest of the full payload."""
-    block = payload if kind == "response" else b""
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {size}", "Content-Type: text/html; charset=utf-8"]
+HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
+#: Date of records whose writer is told none.
+EPOCH = "1970-01-01T00:00:00Z"
+
+
+def record(kind: str, page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, record_id: str | None = None, date: str = EPOCH) -> bytes:
+    """One WARC/1.1 record. A response's block is an HTTP response with the payload; a revisit has no block, its headers
+    hold the size and digest of the full payload and the page whose payload is the same."""
+    block = HTTP % len(payload) + payload if kind == "response" else b""
+    page = "null" if page_id is None else str(page_id)
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id or f'urn:page:{page}'}>", f"WARC-Date: {date}", f"X-Page-ID: {page}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {size}", "Content-Type: application/http;msgtype=response"]
     if url is not None:
         lines.append("WARC-Target-URI: " + "".join(c if " " < c < "\x7f" else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in url))
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
     lines.append(f"Content-Length: {len(block)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def parse(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
-    """(headers, block, place of the next record) of the record at `at`."""
+    """(headers, payload, place of the next record) of the record at `at`."""
     end = raw.index(b"\r\n\r\n", at)
     lines = raw[at:end].decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
@@ -53,7 +64,8 @@ def parse(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     headers = dict(x.split(": ", 1) for x in lines[1:])
     start = end + 4
     stop = start + int(headers["Content-Length"])
-    return headers, raw[start:stop], stop + 4
+    body = raw.index(b"\r\n\r\n", start) + 4 if stop > start else start
+    return headers, raw[body:stop], stop + 4
 
 
 class Bundle:
@@ -68,6 +80,7 @@ class Bundle:
         self.index: list[bytes] = []
 
     def add(self, key: str, raw: bytes) -> None:
+        """Add a record under its identifier, which must be new to the bundle."""
         self.index.append(json.dumps([key, len(self.frames), self.held, len(raw)]).encode())
         self.waiting.append(raw)
         self.held += len(raw)
@@ -124,25 +137,47 @@ class BundleFile:
         return {k: (f, o, n) for k, f, o, n in map(json.loads, raw.split(b"\n")) if raw} if raw else {}
 
     def read(self, key: str) -> tuple[dict[str, str], bytes]:
-        """(headers, block) of one record, decompressing its frame alone."""
+        """(headers, payload) of one record, decompressing its frame alone."""
         frame, offset, _ = self.index()[key]
         return parse(self.frame(frame), offset)[:2]
 
-
-def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
-    """Write a record for each row and return the manifest: path, records.
+    def records(self) -> Iterator[list[tuple[str, dict[str, str], bytes]]]:
+        """(record id, headers, payload) of all records by way of the index, a list for each frame; every frame is
+        decompressed once."""
+        by_frame: dict[int, list[tuple[int, int, str]]] = {}
+        for key, (frame, offset, size) in self.index().items():
+            by_frame.setdefault(frame, []).append((offset, size, key))
+        for frame, held in sorted(by_frame.items()):
+            raw, out, at = self.frame(frame), [], 0
+            for offset, size, key in sorted(held):
+                headers, payload, end = parse(raw, offset)
+                if offset != at or end != offset + size:
+                    raise ValueError(f"the index has {key} in another place")
+                out.append((key, headers, payload))
+                at = end
+            if at != len(raw):
+                raise ValueError(f"frame {frame} holds records that the index lacks")
+            yield out
+
+
+def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST_REVISIT, date: str | None = None) -> DataFrame:
+    """Write a record for each row and return the manifest: path, records. `date` is the records' date in UTC, the
+    time of the call if None.
 
     The payload is the text in UTF-8 (null: empty). Of rows with equal payloads of at least `least` bytes, those with
     the smallest id are responses and the others revisit that id; a null id is never the smallest, and where all ids
-    are null all are responses. Rows are dealt by payload digest; a hot payload's rows are split by the engine's
-    skew handling, since the other side of that join has one row for each digest.
+    are null all are responses. Repeated rows are records of their own: a record's identifier comes from its bundle's
+    name and its place there. Payloads stay where they were read: the digests that recur, one row each, are written
+    first, so that the engine knows their size and broadcasts them if they are few; else it deals both sides by digest,
+    where skew handling can split a hot payload's rows.
     """
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     C.small_batches(pages.sparkSession)
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     groups = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    groups = groups.where("n > 1 and first is not null").select("digest", "first")
+    groups = C.cut(groups.where("n > 1 and first is not null").select("digest", "first"), "recurring")
     rows = rows.join(groups, "digest", "left").select("page_id", "url", "digest", "payload", "first")
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,8 +188,9 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
                     path, stream = C.write_shared(folder, "pages")
                     bundle = Bundle(stream)
                 revisit = first is not None and page_id != first
-                bundle.add(str(page_id), record("revisit" if revisit else "response", page_id, url, body, len(body), digest, first))
-                if bundle.size >= BUNDLE_BYTES:
+                name = uuid.uuid5(uuid.NAMESPACE_URL, f"{path}#{bundle.records}").urn
+                bundle.add(name, record("revisit" if revisit else "response", page_id, url, body, len(body), digest, first, name, date))
+                if bundle.size >= BUNDLE_BYTES or bundle.records >= BUNDLE_RECORDS:
                     bundle.close()
                     done.append((path, bundle.records))
                     bundle = None
@@ -167,33 +203,29 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     return C.cut(rows.mapInArrow(write, "path string, records long"), "warc-manifest")
 
 
-_URN = "<urn:page:"
-
-
 def read_bundles(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """All records of the bundles: page_id, url, record_type, payload (null for revisits), payload_bytes,
-    payload_digest (checked against the payload of responses) and refers_to. The driver gathers one row a bundle."""
+    """All records of the bundles, found through their indexes: page_id, url, record_type, payload (null for revisits),
+    payload_bytes, payload_digest (checked against the payload of responses) and refers_to. The driver gathers one row a
+    bundle."""
     paths = [(r.path,) for r in manifest.select("path").orderBy("path").collect()]
     files = spark.createDataFrame(paths, "path string").repartition(max(1, len(paths)))
     names = ["page_id", "url", "record_type", "payload", "payload_bytes", "payload_digest", "refers_to"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
 
-    def number(urn: str | None) -> int | None:
-        x = urn[len(_URN) : -1] if urn else "null"
-        return None if x == "null" else int(x)
+    def number(x: str | None) -> int | None:
+        return None if x in (None, "null", "None") else int(x)
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             for path in batch.column("path").to_pylist():
                 with C.read_shared(path) as file:
-                    for raw in BundleFile(file).frames():
-                        out, at = [], 0
-                        while at < len(raw):
-                            head, block, at = parse(raw, at)
+                    for frame in BundleFile(file).records():
+                        out = []
+                        for key, head, payload in frame:
                             kind, digest = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha256:")
-                            if kind == "response" and (hashlib.sha256(block).hexdigest() != digest or len(block) != int(head["X-Payload-Length"])):
-                                raise ValueError(f"{path}: damaged record {head['WARC-Record-ID']}")
-                            out.append((number(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), kind, block if kind == "response" else None, int(head["X-Payload-Length"]), digest, number(head.get("WARC-Refers-To"))))
+                            if head["WARC-Record-ID"] != f"<{key}>" or kind == "response" and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != int(head["X-Payload-Length"])):
+                                raise ValueError(f"{path}: damaged record {key}")
+                            out.append((number(head["X-Page-ID"]), head.get("WARC-Target-URI"), kind, payload if kind == "response" else None, int(head["X-Payload-Length"]), digest, number(head.get("X-Refers-To-Page"))))
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
     schema = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
