@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import _common as C
@@ -95,21 +96,31 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int =
     return C.cut(rows.mapInArrow(pieces, "doc_id long, start long, length long, doc_tokens long, ids binary"), "pieces")
 
 
+KEYS = ("doc_id", "start", "length", "ids_crc32", "ids_hash")
+#: Copies of one piece that a row stands for while they are dealt.
+COPIES = 4096
+
+
 def assign_windows(pieces: DataFrame, window: int = WINDOW, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """Give each piece (doc_id, start, length, and any other columns) a sequence_id and an offset there.
 
-    Pieces are dealt by hash to shards of about shard_pieces; each is packed by best-fit decreasing. A shard
-    numbers its windows from its own number in steps of the number of shards, so ids never meet. Equal input gives
-    equal windows. Padding is what the last windows of each shard leave open.
+    Pieces are dealt by hash to shards of about shard_pieces; each is packed by best-fit decreasing. Equal pieces are
+    counted first and numbered, so that their copies spread over the shards like any others. A shard numbers its windows
+    from its own number in steps of the number of shards, so ids never meet. Equal input gives equal windows. Padding
+    is what the last windows of each shard leave open.
     """
-    n = pieces.count()
-    shards = max(1, -(-n // shard_pieces))
-    key = F.pmod(F.xxhash64(*[c for c in ("doc_id", "start", "length", "ids_crc32") if c in pieces.columns]), F.lit(shards))
-    dealt = pieces.withColumn("__shard", key.cast("long"))
-    others = [c for c in pieces.columns]
+    shards = max(1, -(-pieces.count() // shard_pieces))
+    others = list(pieces.columns)
+    count = pieces.groupBy(*others).agg(F.count("*").alias("__n"))
+    part = F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / COPIES))).alias("__part")
+    few = count.select(*others, "__n", part)
+    copy = F.sequence(F.col("__part") * COPIES, F.least(F.col("__n"), (F.col("__part") + 1) * COPIES) - 1)
+    copies = few.select(*others, F.explode(copy).alias("__copy"))
+    keys = [c for c in KEYS if c in others]
+    dealt = copies.select(*others, F.pmod(F.xxhash64(*keys, "__copy"), F.lit(shards)).cast("long").alias("__shard"))
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([c for c in ("doc_id", "start", "length", "ids_crc32") if c in part.columns], kind="stable")
+        part = part.sort_values(keys, kind="stable")
         place, offset = best_fit_decreasing(part["length"].to_numpy(), window)
         return part[others].assign(sequence_id=place * shards + part["__shard"].to_numpy(), offset=offset)
 
@@ -129,11 +140,29 @@ def sequences(packed: DataFrame, pad_id: int = 0, window: int = WINDOW) -> DataF
     return rows.select("sequence_id", F.concat(body, pad).alias("ids"))
 
 
+def _digests(pieces: DataFrame) -> DataFrame:
+    """Pieces without their ids: a digest of them that the result holds, and a hash that tells them apart."""
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), F.xxhash64("ids").alias("ids_hash"), "doc_tokens")
+
+
+def write_sequences(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, pad_id: int = 0, window: int = WINDOW, shard_pieces: int = SHARD_PIECES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write the padded sequences of all documents as Parquet files in a folder (sequence_id, ids) and return the
+    pieces with their place, as pack_documents() does. A piece's ids join it once its place is known."""
+    pieces = token_pieces(docs, tokenizer, end_id, window, id_col, text_col)
+    packed = C.cut(assign_windows(_digests(pieces), window, shard_pieces), "packed")
+    marked = pieces.select("ids", *[F.col(c).alias(f"p_{c}") for c in ("doc_id", "start", "length")], F.crc32("ids").alias("p_ids_crc32"), F.xxhash64("ids").alias("p_ids_hash"))
+    marked = marked.dropDuplicates([c for c in marked.columns if c != "ids"])
+    same = [F.col("p_doc_id").eqNullSafe(F.col("doc_id")), *(F.col(f"p_{c}") == F.col(c) for c in KEYS[1:])]
+    rows = packed.join(marked, reduce(Column.__and__, same)).select("sequence_id", "offset", "length", "ids")
+    sequences(rows, pad_id, window).write.parquet(folder)
+    return packed.drop("ids_hash")
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW, shard_pieces: int = SHARD_PIECES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces with their place: doc_id, start, length, doc_tokens, ids_crc32, sequence_id, offset.
 
-    The ids stay in the written pieces; only their digest, taken from them by Spark, travels to the packing.
+    The ids stay in the written pieces; only their digests, taken from them by Spark, travel to the packing. Null and
+    empty texts are one piece of end_id; repeated rows are documents of their own; an empty table gives no rows.
     """
     pieces = token_pieces(docs, tokenizer, end_id, window, id_col, text_col)
-    small = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return assign_windows(small, window, shard_pieces)
+    return assign_windows(_digests(pieces), window, shard_pieces).drop("ids_hash")

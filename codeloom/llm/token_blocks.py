@@ -30,6 +30,8 @@ from codeloom.llm._tokens import encoder
 MAGIC = b"PFR1"
 BLOCK = 512
 PERCENTILE = 90
+#: Ids after which a file is closed and the next begun: about a quarter of a GB.
+FILE_IDS = 1 << 27
 _FOOTER = struct.Struct("<QQQQ4s")
 _HEAD = struct.Struct("<IBH")
 _DOC = np.dtype([("null", "u1"), ("id", "<i8"), ("n", "<u8")])
@@ -188,12 +190,13 @@ class BlockReader:
             d, start = to, at
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, file_ids: int = FILE_IDS) -> DataFrame:
     """Encode every whole text (null: empty), append end_id, and write the ids in ascending document order.
 
-    Returns the manifest, one row per file: path, n_docs, n_ids, first_id, first_key (place in the order). Documents
-    are dealt by ranges of (id, hash of the text), so ties of an id share no task by force; null ids come first, ties
-    are ordered by the hash. Empty documents hold end_id alone; an empty table gives an empty manifest.
+    Returns the manifest, one row per file: path, n_docs, n_ids, first_id, first_key and nth (place in the order). A
+    file is closed once it holds file_ids ids. Documents are dealt by ranges of (id, hash of the text), so ties of an id
+    share no task by force; null ids come first, ties are ordered by the hash. Empty documents hold end_id alone; an
+    empty table gives an empty manifest.
     """
     C.small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -201,20 +204,26 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, id_col: str
     rows = rows.repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key")
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, writer, first = encoder(tokenizer), None, None
+        encode, writer, first, path, nth = encoder(tokenizer), None, (None, 0), "", 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in C.batches(parts):
-            ids = batch.column("doc_id").to_pylist()
-            if writer is None and ids:
-                path, stream = C.write_shared(folder, "tokens")
-                writer, first = BlockWriter(stream), (ids[0], batch.column("key")[0].as_py())
-            for doc_id, raw in zip(ids, encode(batch.column("text").to_pylist()), strict=True):
+            ids, keys = batch.column("doc_id").to_pylist(), batch.column("key").to_pylist()
+            for doc_id, key, raw in zip(ids, keys, encode(batch.column("text").to_pylist()), strict=True):
+                if writer is None:
+                    path, stream = C.write_shared(folder, "tokens")
+                    writer, first = BlockWriter(stream), (doc_id, key)
                 writer.add(doc_id, np.frombuffer(raw + end, "<u4"))
+                if writer.total >= file_ids:
+                    yield closed(writer, path, first, nth)
+                    writer, nth = None, nth + 1
         if writer is not None:
-            writer.close()
-            yield pa.RecordBatch.from_pydict({"path": [path], "n_docs": [len(writer.docs)], "n_ids": [writer.total], "first_id": pa.array([first[0]], pa.int64()), "first_key": [first[1]]})
+            yield closed(writer, path, first, nth)
 
-    return C.cut(rows.mapInArrow(write, "path string, n_docs long, n_ids long, first_id long, first_key long"), "token-manifest")
+    def closed(writer: BlockWriter, path: str, first: tuple, nth: int) -> pa.RecordBatch:
+        writer.close()
+        return pa.RecordBatch.from_pydict({"path": [path], "n_docs": [len(writer.docs)], "n_ids": [writer.total], "first_id": pa.array([first[0]], pa.int64()), "first_key": [first[1]], "nth": [nth]})
+
+    return C.cut(rows.mapInArrow(write, "path string, n_docs long, n_ids long, first_id long, first_key long, nth long"), "token-manifest")
 
 
 def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -223,7 +232,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     The driver gathers one row per file, to add up where each file starts.
     """
     C.small_batches(spark)
-    files = manifest.orderBy(F.asc_nulls_first("first_id"), "first_key").select("path", "n_ids").collect()
+    files = manifest.orderBy(F.asc_nulls_first("first_id"), "first_key", "nth").select("path", "n_ids").collect()
     bases = np.concatenate([[0], np.cumsum([f.n_ids for f in files])]).tolist()
     schema = "path string, base long"
     places = spark.createDataFrame([(f.path, b) for f, b in zip(files, bases)], schema)
@@ -250,8 +259,8 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
     """Write all documents as token files in the shared folder and return what reading them back gives."""
     spark = docs.sparkSession
-    manifest = write_token_files(docs, tokenizer, C.shared_folder(spark, "tokens"), id_col, text_col, end_id)
+    manifest = write_token_files(docs, tokenizer, C.shared_folder(spark, "tokens"), id_col, text_col, end_id, file_ids)
     return read_token_files(spark, manifest)

@@ -179,3 +179,66 @@ def test_sequences_hold_the_ids(spark, docs):
         assert n == 2048 or n & (n - 1) == 0
         total += (np.frombuffer(r.ids, "<u4") == 1).sum()
     assert total == len(rows())
+
+
+def test_repeated_pieces_spread_over_shards(spark):
+    rows = [(None, 0, 1, 7, 1)] * 5000 + [(i, 0, 900, i, 901) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    out = packing.assign_windows(df, shard_pieces=500).collect()
+    assert Counter(r[:5] for r in map(tuple, out)) == Counter(rows)
+    shards = Counter(r.sequence_id % 11 for r in out)
+    assert len(shards) == 11 and max(shards.values()) < 1000
+    again = packing.assign_windows(df.repartition(9), shard_pieces=500).collect()
+    assert Counter(map(tuple, out)) == Counter(map(tuple, again))
+
+
+def test_written_sequences(spark, docs, tmp_path):
+    name = public_tokenizers.path("word_bpe_49k.json")
+    packed = packing.write_sequences(docs, name, f"{tmp_path}/seq", pad_id=9, shard_pieces=100).collect()
+    held = {r.sequence_id: np.frombuffer(r.ids, "<u4") for r in spark.read.parquet(f"{tmp_path}/seq").collect()}
+    assert set(held) == {r.sequence_id for r in packed}
+    used = defaultdict(int)
+    for r in packed:
+        assert zlib.crc32(held[r.sequence_id][r.offset : r.offset + r.length].tobytes()) == r.ids_crc32
+        used[r.sequence_id] += r.length
+    for s, ids in held.items():
+        assert len(ids) == (used[s] if used[s] & (used[s] - 1) == 0 else 2048) and (ids[used[s] :] == 9).all()
+    assert Counter(map(tuple, packed)) == Counter(map(tuple, packing.pack_documents(docs, name, shard_pieces=100).collect()))
+
+
+def test_token_files_of_bounded_size(spark, docs):
+    name = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Counter(map(tuple, token_blocks.token_files(docs, name).collect()))
+    manifest = token_blocks.write_token_files(docs, name, C.shared_folder(spark, "t"), file_ids=300).collect()
+    assert len(manifest) > 20 and all(m.n_ids < 300 + 20_000 for m in manifest)
+    assert Counter(map(tuple, token_blocks.token_files(docs, name, file_ids=300).collect())) == whole
+
+
+def test_warc_headers_and_identifiers(spark):
+    df = spark.createDataFrame(pages(), "page_id long, url string, html string")
+    manifest = warc.write_bundles(df, C.shared_folder(spark, "w"), date="2024-05-06T07:08:09Z").collect()
+    seen, found = Counter(), []
+    for m in manifest:
+        with C.read_shared(m.path) as f:
+            file = warc.BundleFile(f)
+            for key in file.index():
+                head, payload = file.read(key)
+                seen[key] += 1
+                assert head["WARC-Record-ID"] == f"<{key}>" and head["WARC-Date"] == "2024-05-06T07:08:09Z" and head["Content-Type"].startswith("application/http")
+                found.append((head["X-Page-ID"], payload if head["WARC-Type"] == "response" else None))
+            raw = file.frame(0)
+            at = raw.index(b"\r\n\r\n") + 4
+            assert raw[:at].decode().startswith("WARC/1.1") and (b"WARC-Type: revisit" in raw[:at] or raw[at:].startswith(b"HTTP/1.1 200 OK"))
+    assert max(seen.values()) == 1 and sum(seen.values()) == len(pages())
+    assert Counter(i for i, _ in found) == Counter("null" if i is None else str(i) for i, *_ in pages())
+
+
+def test_an_index_that_lies_is_found(spark, tmp_path):
+    path = str(tmp_path / "b")
+    bundle = warc.Bundle(pa.OSFile(path, "wb"), frame_bytes=10_000)
+    for i in range(5):
+        bundle.add(f"urn:{i}", warc.record("response", i, None, b"x" * i, i, "d", None, f"urn:{i}"))
+    bundle.index[2] = bundle.index[2].replace(b"urn:2", b"urn:1")
+    bundle.close()
+    with pytest.raises(ValueError, match="place|lacks"):
+        list(warc.BundleFile(pa.OSFile(path, "rb")).records())
