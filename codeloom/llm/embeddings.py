@@ -33,8 +33,10 @@ LEAST = 0.95
 SAMPLE_ROWS = 4_000
 ITERATIONS = 40
 SEED = 23
-#: Buckets above this size, and codes of more vectors, are cut into chunks; each two chunks are compared apart.
+#: Buckets above this size are cut into chunks; each two chunks are compared apart.
 CHUNK = 1024
+#: The same for codes of more vectors than this, which are compared in full.
+UNIT = 256
 #: Most bits that reranked codes differ in. Pairs of cosine 0.95 differ in 6.5 of 64 on average, with a standard
 #: deviation of 2.4.
 FAR = 14
@@ -239,7 +241,7 @@ def near_codes(book: DataFrame) -> DataFrame:
 def units(book: DataFrame, near: DataFrame) -> DataFrame:
     """(u, side, d, code, chunk): what is reranked together: for each pair of codes, and for each code of several
     vectors with itself, each two chunks of their vectors."""
-    chunks = book.select("d", "code", F.ceil(F.col("k") / CHUNK).cast("int").alias("c"))
+    chunks = book.select("d", "code", F.ceil(F.col("k") / UNIT).cast("int").alias("c"))
     own = book.where("k > 1").select("d", F.col("code").alias("a"), F.col("code").alias("b"))
     of = lambda end: chunks.select("d", F.col("code").alias(end), F.col("c").alias(f"c_{end}"))
     rows = near.unionByName(own).join(of("a"), ["d", "a"]).join(of("b"), ["d", "b"])
@@ -323,7 +325,7 @@ def near_vectors(table: DataFrame, least: float = LEAST, id_col: str = "vec_id",
     distinct = C.cut(codes.groupBy("d", "h", "h2").agg(F.min("r").alias("rep"), F.count("*").alias("m"), F.first("code").alias("code")), "distinct-vectors")
     book = C.cut(distinct.groupBy("d", "code").agg(F.count("*").alias("k")), "codes")
     near = C.cut(near_codes(book), "near-codes")
-    chunk = F.pmod(F.xxhash64("rep"), F.ceil(F.col("k") / CHUNK)).cast("int").alias("chunk")
+    chunk = F.pmod(F.xxhash64("rep"), F.ceil(F.col("k") / UNIT)).cast("int").alias("chunk")
     members = distinct.join(book, ["d", "code"]).select("d", "code", chunk, F.col("rep").alias("r"), "m")
     wanted = units(book, near).join(members, ["d", "code", "chunk"]).select("u", "side", "r", "m")
     dealt = wanted.join(rows.select("r", "v"), "r").select("u", "side", "r", "m", "v").repartition("u").sortWithinPartitions("u", "side", "r")
