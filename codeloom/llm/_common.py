@@ -96,9 +96,14 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def batches(rows: Iterator[pa.RecordBatch], most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about `most` bytes of data or a single row."""
+    """Cut batches so that each holds at most `most` bytes of data or a single row."""
     for batch in rows:
-        size = max(1, batch.num_rows)
-        step = max(1, int(size * most / max(batch.nbytes, 1)))
-        for start in range(0, batch.num_rows, step):
-            yield batch.slice(start, step)
+        todo = [batch]
+        while todo:
+            part = todo.pop()
+            if part.num_rows < 2 or part.nbytes <= most:
+                if part.num_rows or not batch.num_rows:
+                    yield part
+                continue
+            step = min(-(-part.num_rows // 2), max(1, int(part.num_rows * most / part.nbytes)))
+            todo += [part.slice(start, step) for start in range(0, part.num_rows, step)][::-1]

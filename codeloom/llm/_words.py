@@ -17,6 +17,7 @@ CODE_POINT = np.ones(256, bool)
 CODE_POINT[0x80:0xC0] = False
 _VALUES = np.random.Generator(np.random.PCG64(20_240_601)).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
+_LENGTH = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = pow(_BASE, -1, 2**64)
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
@@ -56,7 +57,25 @@ class Prefix:
         return (self.sums[end] - self.sums[start]) * self.down[start]
 
     def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix(self.raw(start, end) + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return mix(self.raw(start, end) + (end - start).astype(np.uint64) * _LENGTH)
+
+
+def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, most: int = BATCH) -> np.ndarray:
+    """Prefix.span of runs that follow one another without overlap, with running sums of `most` bytes at a time: what a
+    long text holds in memory is its runs, not several numbers for each byte."""
+    if len(data) <= most:
+        return Prefix(data).span(start, end)
+    raw = np.zeros(len(start), np.uint64)
+    for a in range(0, len(data), most):
+        b = min(a + most, len(data))
+        lo, hi = int(np.searchsorted(end, a, "right")), int(np.searchsorted(start, b, "left"))
+        if lo >= hi:
+            continue
+        part = Prefix(data[a:b]).raw(np.maximum(start[lo:hi], a) - a, np.minimum(end[lo:hi], b) - a)
+        if start[lo] < a:
+            part[:1] *= np.uint64(pow(_BASE, a - int(start[lo]), 2**64))
+        raw[lo:hi] += part
+    return mix(raw + (end - start).astype(np.uint64) * _LENGTH)
 
 
 def bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,9 +98,9 @@ def bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many flags are set between each two offsets."""
-    sums = np.zeros(len(flags) + 1, np.int64)
+    sums = np.zeros(len(flags) + 1, np.int32 if len(flags) < 2**31 else np.int64)
     np.cumsum(flags, out=sums[1:])
-    return sums[offsets[1:]] - sums[offsets[:-1]]
+    return (sums[offsets[1:]] - sums[offsets[:-1]]).astype(np.int64)
 
 
 def windows(hashes: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

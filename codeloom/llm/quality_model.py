@@ -12,12 +12,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codeloom.llm import _common as C
 from codeloom.llm import _words as W
 from codeloom.llm.quality_rules import grams, repeated, rule_counts
 
-#: Rows that the model is fitted on, at most: the smallest seeded hashes among trusted positives and other rows.
+#: Rows that the model is fitted on, at most, unless a call names other bounds.
 POSITIVE_ROWS = 6_000
 UNLABELLED_ROWS = 12_000
 GRAM_BITS = 8
@@ -45,7 +46,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     rows, size = len(offsets) - 1, np.diff(offsets)
     counts = rule_counts(data, offsets)
     start, end, row = W.bounds(data, offsets)
-    hashes = W.Prefix(data).span(start, end)
+    hashes = W.run_hashes(data, start, end)
     words = np.maximum(counts["n_words"], 1)
     equal = np.flatnonzero((hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])) if len(row) > 1 else np.zeros(0, np.int64)
     twice = repeated(hashes ^ W.mix(row.astype(np.uint64) + np.uint64(1)))
@@ -62,22 +63,25 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         np.bincount(row[equal], minlength=rows) / words,
         np.bincount(row[twice], minlength=rows) / words,
     ]
-    r, b = grams(data, offsets, GRAM_BITS, 3)
-    hashed = np.bincount((r << GRAM_BITS) + b, minlength=rows << GRAM_BITS).reshape(rows, -1)
+    hashed = np.zeros(rows << GRAM_BITS, np.int64)
+    for r, b in grams(data, offsets, GRAM_BITS, 3):
+        hashed += np.bincount((r << GRAM_BITS) + b, minlength=len(hashed))
+    hashed = hashed.reshape(rows, -1)
     hashed = np.sqrt(hashed / np.maximum(hashed.sum(axis=1, keepdims=True), 1))
     return np.concatenate([np.stack(dense, axis=1), hashed], axis=1).astype(np.float32)
 
 
-def feature_rows(docs: DataFrame, keep: str) -> DataFrame:
-    """(keep, x): the features of each text as float32 bytes."""
+def feature_rows(docs: DataFrame, *keep: str) -> DataFrame:
+    """The columns `keep` and x, the features of each text as float32 bytes."""
     C.small_batches(docs.sparkSession)
+    docs = docs.select(*keep, "text")
 
     def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.batches(parts, W.BATCH):
-            x = features(*C.flat(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], [keep, "x"])
+            x = features(*C.flat(batch.column(len(keep))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([r.tobytes() for r in x], pa.binary())], [*keep, "x"])
 
-    return docs.select(keep, "text").mapInArrow(make, f"{keep} {docs.schema[keep].dataType.simpleString()}, x binary")
+    return docs.mapInArrow(make, T.StructType([*docs.schema.fields[: len(keep)], T.StructField("x", T.BinaryType())]))
 
 
 class Network:
@@ -174,10 +178,12 @@ def sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIVE_ROWS, u
     return good.withColumn("positive", F.lit(True)).unionByName(rest.withColumn("positive", F.lit(False)))
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> Network | None:
-    """The model of a table of doc_id and text; None without positives or without other rows to fit on."""
-    chosen = F.broadcast(sample(docs, labels).withColumnRenamed("doc_id", "s_id"))
-    got = feature_rows(docs.join(chosen, docs["doc_id"] == F.col("s_id")).select("positive", "text"), "positive").collect()
+def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVE_ROWS, unlabelled: int = UNLABELLED_ROWS) -> Network | None:
+    """The model of a table of doc_id and text; None without positives or without other rows to fit on. Of rows that
+    share a chosen id one is fitted on, so that the driver gets no more rows than ids were chosen."""
+    chosen = F.broadcast(sample(docs, labels, positives, unlabelled).withColumnRenamed("doc_id", "s_id"))
+    rows = feature_rows(docs.join(chosen, docs["doc_id"] == F.col("s_id")).select("s_id", "positive", "text"), "s_id", "positive")
+    got = rows.groupBy("s_id", "positive").agg(F.min("x").alias("x")).select("positive", "x").collect()
     x = [np.array([np.frombuffer(r.x, np.float32) for r in got if r.positive == kind]) for kind in (True, False)]
     for part in x:
         if len(part):
@@ -186,15 +192,16 @@ def learn(docs: DataFrame, labels: DataFrame) -> Network | None:
     return fit(*x)[0] if all(map(len, x)) else None
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", positives: int = POSITIVE_ROWS, unlabelled: int = UNLABELLED_ROWS) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
     A null text counts as empty and is scored; a null id is not held out and never fitted on; repeated rows stay; an
-    empty table gives no rows; without positives or other rows to fit on every score is 0.5. The driver holds the fitting sample's
-    features only (at most POSITIVE_ROWS + UNLABELLED_ROWS rows).
+    empty table gives no rows; without positives or other rows to fit on every score is 0.5. The model is fitted on at
+    most `positives` trusted rows and `unlabelled` others, those with the smallest seeded hashes, whose features are all
+    that the driver holds; every row is scored.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, positives, unlabelled))
     shift = float(np.log(BOUNDARY / (1 - BOUNDARY)))
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
 
@@ -209,9 +216,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return rows.mapInArrow(score, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", positives: int = POSITIVE_ROWS, unlabelled: int = UNLABELLED_ROWS) -> DataFrame:
     """The rows of docs, all columns, that the classifier predicts to be of good quality; without a model, all rows."""
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs.select("doc_id", F.col(text_col).alias("text")), labels))
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs.select("doc_id", F.col(text_col).alias("text")), labels, positives, unlabelled))
     shift = float(np.log(BOUNDARY / (1 - BOUNDARY)))
 
     def good(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

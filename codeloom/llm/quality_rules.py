@@ -30,19 +30,16 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 _CHAR_IN_WORD = W.WORD & W.CODE_POINT
 
 
-def grams(data: np.ndarray, offsets: np.ndarray, bits: int = BUCKET_BITS, size: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of each run of `size` bytes within one row."""
-    n = len(data) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    x = np.zeros(n, np.uint64)
-    for i in range(size):
-        x |= data[i : i + n].astype(np.uint64) << np.uint64(8 * i)
-    bucket = ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-    counts = np.maximum(np.diff(offsets) - size + 1, 0)
-    row = np.repeat(np.arange(len(counts)), counts)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(offsets[:-1], counts)
-    return row, bucket[at]
+def grams(data: np.ndarray, offsets: np.ndarray, bits: int = BUCKET_BITS, size: int = GRAM, most: int = W.BATCH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, bucket) of each run of `size` bytes within one row, at most `most` of them at a time."""
+    for a in range(0, len(data) - size + 1, most):
+        at = np.arange(a, min(a + most, len(data) - size + 1))
+        row = np.searchsorted(offsets, at, side="right") - 1
+        inside = at + size <= offsets[row + 1]
+        x = np.zeros(len(at), np.uint64)
+        for i in range(size):
+            x |= data[a + i : a + i + len(at)].astype(np.uint64) << np.uint64(8 * i)
+        yield row[inside], ((x[inside] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def repeated(keys: np.ndarray) -> np.ndarray:
@@ -61,8 +58,7 @@ def rule_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The base counts of each row: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     rows = len(offsets) - 1
     start, end, row = W.bounds(data, offsets)
-    prefix = W.Prefix(data)
-    hashes = prefix.span(start, end)
+    hashes = W.run_hashes(data, start, end)
     first, window = W.windows(hashes, row, REPEAT_WINDOW)
     again = first[repeated(window ^ W.mix(row[first].astype(np.uint64) + np.uint64(1)))]
     cover = np.zeros(len(row) + 1, np.int64)
@@ -81,7 +77,7 @@ def rule_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     line_start = np.minimum(line_start, line_end)
     has_word = np.searchsorted(start, line_end) > np.searchsorted(start, line_start)
     line_start, line_end, line_row = line_start[has_word], line_end[has_word], line_row[has_word]
-    keys = prefix.span(line_start, line_end) ^ W.mix(line_row.astype(np.uint64) + np.uint64(1))
+    keys = W.run_hashes(data, line_start, line_end) ^ W.mix(line_row.astype(np.uint64) + np.uint64(1))
     _, kept = np.unique(keys, return_index=True)
     lines = np.bincount(line_row, minlength=rows)
     return {
@@ -108,10 +104,10 @@ def gram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = (np.zeros(1 << BUCKET_BITS, np.int64) for _ in range(2))
         for batch in C.batches(parts, W.BATCH):
-            row, bucket = grams(*C.flat(batch.column(0)))
-            raw += np.bincount(bucket, minlength=len(raw))
             flag = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            target += np.bincount(bucket[flag[row]], minlength=len(raw))
+            for row, bucket in grams(*C.flat(batch.column(0))):
+                raw += np.bincount(bucket, minlength=len(raw))
+                target += np.bincount(bucket[flag[row]], minlength=len(raw))
         seen = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(raw[seen]), pa.array(target[seen])], ["bucket", "raw", "target"])
 
@@ -144,9 +140,10 @@ def judge(docs: DataFrame, labels: DataFrame, least_ratio: float = LEAST_RATIO,
         for batch in C.batches(parts, W.BATCH):
             data, offsets = C.flat(batch.column(1))
             counts = rule_counts(data, offsets)
-            row, bucket = grams(data, offsets)
-            n = np.bincount(row, minlength=batch.num_rows)
-            ratio = np.bincount(row, weights=weights[bucket], minlength=batch.num_rows) / np.maximum(n, 1)
+            total = np.zeros(batch.num_rows)
+            for row, bucket in grams(data, offsets):
+                total += np.bincount(row, weights=weights[bucket], minlength=batch.num_rows)
+            ratio = total / np.maximum(np.diff(offsets) - GRAM + 1, 1)
             failed = (counts["n_words"] < LEAST_WORDS) | (100 * counts["n_repeat_words"] > MOST_REPEATED * counts["n_words"])
             arrays = [batch.column(0), *(pa.array(counts[k].astype(np.int64)) for k in names), pa.array(failed), pa.array(ratio), pa.array(~failed & (ratio >= least_ratio))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *names, "base_failed", "ratio", "kept"])
