@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,12 +23,15 @@ def preview(text: Column, most: int = PREVIEW) -> Column:
     return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most - 3), F.lit("..."))).otherwise(flat)
 
 
-def inverted_index(lines: DataFrame) -> DataFrame:
-    """Identifiers with the number of their occurrences and files."""
-    tokens = lines.select("file", F.explode(F.regexp_extract_all("text", F.lit(f"({IDENTIFIER})"), F.lit(1))).alias("name"))
-    return tokens.groupBy("name").agg(F.count("*").alias("occurrences"), F.countDistinct("file").alias("files"))
+def inverted_index(files: DataFrame) -> DataFrame:
+    """Identifiers of files (file, content), with the number of their occurrences and of the files that have them. A
+    file's identifiers are sorted where it is read, so that one exchange of partial counts gives both numbers."""
+    found = files.select(F.sort_array(F.regexp_extract_all("content", F.lit(f"({IDENTIFIER})"), F.lit(1))).alias("t")).where("size(t) > 0")
+    first = F.transform("t", lambda x, i: F.struct(x.alias("name"), ((i == 0) | (F.get("t", i - 1) != x)).cast("long").alias("new")))
+    return found.select(F.inline(first)).groupBy("name").agg(F.count("*").alias("occurrences"), F.sum("new").alias("files"))
 
 
 def rename_token(text: Column, old: str, new: str) -> Column:
     """Replace an identifier where it stands alone."""
-    return F.regexp_replace(text, f"(?<![A-Za-z0-9_]){old}(?![A-Za-z0-9_])", new)
+    pattern = f"(?<![A-Za-z0-9_]){re.escape(old)}(?![A-Za-z0-9_])"
+    return F.regexp_replace(text, pattern, new.replace("\\", "\\\\").replace("$", "\\$"))

@@ -15,8 +15,11 @@ MAX_NESTING = 2
 MIN_ELSE_LINES = 3
 MIN_DEPTH = 1
 SEVERITIES = ("critical", "warning", "info")
-ENV_NAMES = ("isproduction", "isprod", "production", "prod", "isdevelopment", "isdev", "development", "dev", "isstaging", "staging", "istest", "testing", "islocal", "local", "debug")
-GENERIC = ("error", "failed", "failure", "err", "an error occurred", "something went wrong", "unexpected error", "operation failed")
+# Parameter names that stand for an environment, and messages that say nothing.
+ENV_NAMES = tuple("istest isprod isproduction isdev isdevelopment islocal isstaging isdebug testmode devmode debugmode prodmode production debug testing".split())
+GENERIC = ("", "error", "err", "failed", "failure", "fail", "something went wrong", "unexpected error")
+#: Nesting of conditions beyond which a file is refused rather than read in part.
+MOST_OPERATORS = 10_000
 
 
 def _in_code(ws: Workspace) -> DataFrame:
@@ -96,15 +99,9 @@ def boolean_branching(ws: Workspace, least: int = MIN_BRANCHES) -> DataFrame:
 
 
 def condition_names(nodes: DataFrame) -> DataFrame:
-    """(file_path, func_id, name) of identifiers that if-conditions mention through negation, operators and parentheses."""
-    step = nodes.where("edge in ('x', 'y')").select("file_path", F.col("parent_id").alias("at"), F.col("node_id").alias("next"), F.col("kind").alias("next_kind"), F.col("text").alias("next_text"))
-    front = nodes.join(nodes.where("kind = 'IfStmt'").select("file_path", F.col("node_id").alias("parent_id")), ["file_path", "parent_id"], "left_semi").where("edge = 'cond'").select("file_path", "func_id", F.col("node_id").alias("at"), "kind", "text")
-    found = front.where("kind = 'Ident'").select("file_path", "func_id", F.col("text").alias("name"))
-    for _ in range(8):
-        inner = front.where("kind in ('BinaryExpr', 'UnaryExpr', 'ParenExpr')")
-        front = inner.select("file_path", "func_id", "at").join(step, ["file_path", "at"]).select("file_path", "func_id", F.col("next").alias("at"), F.col("next_kind").alias("kind"), F.col("next_text").alias("text"))
-        found = found.union(front.where("kind = 'Ident'").select("file_path", "func_id", "text"))
-    return found.distinct()
+    """(file_path, func_id, name) of identifiers that if-conditions mention through negation, operators and parentheses,
+    however deep: the parser marks every node that a condition reaches that way with the condition's statement."""
+    return nodes.where("kind = 'Ident' and cond_id is not null").select("file_path", "func_id", F.col("text").alias("name")).distinct()
 
 
 def error_wrapping(ws: Workspace, severity: str = "critical") -> DataFrame:
@@ -113,7 +110,7 @@ def error_wrapping(ws: Workspace, severity: str = "critical") -> DataFrame:
     results = parameters(ws, "results").where("type_text = 'error'").select("file_path", F.col("func_node").alias("func_id")).distinct()
     ret = nodes.where("kind = 'ReturnStmt'").select("file_path", "node_id", "func_id", "line", "col").join(results, ["file_path", "func_id"], "left_semi")
     expr = children(ret, nodes, "result", "r")
-    err = lambda c: c.rlike("^err$|(err|error|Err|Error)$|^err")
+    err = lambda c: F.lower(c).rlike("(err|error)$|^err")
     bare = expr.where((F.col("r_kind") == "Ident") & err(F.col("r_text"))).select("file_path", "func_id", "line", "col", "r_start", "r_end", F.lit("bare_return").alias("violation_type"), F.lit("critical").alias("severity"))
     calls = expr.where("r_kind = 'CallExpr'").select("file_path", "func_id", "line", "col", "r_start", "r_end", F.col("r_node_id").alias("node_id"))
     fun = nodes.where("edge = 'fun' and kind = 'SelectorExpr'").select("file_path", F.col("parent_id").alias("node_id"), F.col("node_id").alias("sel_id"))
@@ -123,7 +120,7 @@ def error_wrapping(ws: Workspace, severity: str = "critical") -> DataFrame:
     form, last = F.element_at("a", 1), F.element_at("a", -1)
     calls = calls.where((form["kind"] == "BasicLit") & (form["tok"] == "string") & (last["kind"] == "Ident") & err(last["text"])).withColumn("f", form["text"])
     plain = F.rtrim(F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace("f", "^[\"`]|[\"`]$", ""), "%w", "")), "[: ]+$", ""))
-    kind = F.when(F.col("f").contains("%v") & ~F.col("f").contains("%w"), "format_verb_v_instead_of_w").when(F.col("f").contains("%w") & (F.lower(plain).isin(*GENERIC) | (plain == "")), "no_context")
+    kind = F.when(F.col("f").contains("%v") & ~F.col("f").contains("%w"), "format_verb_v_instead_of_w").when(F.col("f").contains("%w") & F.lower(plain).isin(*GENERIC), "no_context")
     worded = calls.withColumn("violation_type", kind).where("violation_type is not null").select("file_path", "func_id", "line", "col", "r_start", "r_end", "violation_type", F.when(F.col("violation_type") == "no_context", "warning").otherwise("critical").alias("severity"))
     rows = bare.unionByName(worded).where(F.col("severity").isin(*SEVERITIES[: SEVERITIES.index(severity) + 1]))
     rows = source_text(ws.files, rows, "r_start", "r_end", "current_code").join(_named(ws), ["file_path", "func_id"])

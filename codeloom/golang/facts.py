@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.sources.workspace import Workspace
 
 KIND_ORDER = ("Function", "Type", "Interface", "Variable", "Constant", "Method")
-BUILTIN_METHODS = ("Error", "String", "Read", "Write", "Close", "Len", "Less", "Swap", "ServeHTTP", "MarshalJSON", "UnmarshalJSON", "Scan", "Value", "Format")
+# Methods that well-known interfaces of the standard library ask for.
+BUILTIN_METHODS = tuple("String Error Read Write Close Len Less Swap MarshalJSON UnmarshalJSON MarshalBinary UnmarshalBinary ServeHTTP RoundTrip".split())
+
+
+def derived(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A fact that a workspace works out once for each choice of arguments."""
+
+    @wraps(f)
+    def run(ws: Workspace, *args) -> DataFrame:
+        return ws.once((f.__name__, *args), lambda: f(ws, *args))
+
+    return run
 
 
 def renamed(nodes: DataFrame, prefix: str, *columns: str) -> DataFrame:
@@ -32,6 +46,7 @@ def exported(name: Column) -> Column:
     return name.rlike(r"^\p{Lu}")
 
 
+@derived
 def imports(ws: Workspace) -> DataFrame:
     """file_path, ord, path, given (alias or null), alias (as used), start, end."""
     specs = ws.nodes.where("kind = 'ImportSpec'").select("file_path", "node_id", "start", "end")
@@ -43,6 +58,7 @@ def imports(ws: Workspace) -> DataFrame:
     return rows.select("file_path", place.alias("ord"), path.alias("path"), "given", F.coalesce("given", F.element_at(F.split(path, "/"), -1)).alias("alias"), "start", "end")
 
 
+@derived
 def receivers(ws: Workspace) -> DataFrame:
     """file_path, node_id (of the FuncDecl), recv: the receiver's type without pointer; null for generic ones."""
     lists = ws.nodes.where("edge = 'recv'").select("file_path", F.col("parent_id").alias("node_id"), F.col("node_id").alias("list_id"))
@@ -54,6 +70,7 @@ def receivers(ws: Workspace) -> DataFrame:
     return rows.select("file_path", "node_id", recv.alias("recv"))
 
 
+@derived
 def parameters(ws: Workspace, which: str = "params") -> DataFrame:
     """file_path, func_node, ord, name, type_text, type_start, type_end: one row per parameter (or result) of each
     declared function, unnamed ones with a null name."""
@@ -69,6 +86,7 @@ def parameters(ws: Workspace, which: str = "params") -> DataFrame:
     return rows.select("file_path", "func_node", place.alias("ord"), "name", "type_text", "type_start", "type_end", "name_line", "name_col")
 
 
+@derived
 def functions(ws: Workspace) -> DataFrame:
     """file_path, func_node, name, recv, start, end, line, col (of the name), body_line, body_end_line, params (names)."""
     decl = ws.nodes.where("kind = 'FuncDecl'").select("file_path", "node_id", "start", "end")
@@ -80,6 +98,7 @@ def functions(ws: Workspace) -> DataFrame:
     return rows.select("file_path", F.col("node_id").alias("func_node"), F.col("n_text").alias("name"), "recv", "start", "end", F.col("n_line").alias("line"), F.col("n_col").alias("col"), F.col("n_start").alias("name_start"), "body_line", "body_end_line", params.alias("params"))
 
 
+@derived
 def symbols(ws: Workspace) -> DataFrame:
     """dir, file_path, is_test, name, kind, recv, pos, end, line, col, exported, signature: one row per declared symbol,
     interface methods included; of equal names of a kind the one outside tests, then the last declared."""
@@ -102,6 +121,7 @@ def symbols(ws: Workspace) -> DataFrame:
     return rows.withColumn("n", last).where("n = 1").drop("n").withColumn("exported", exported(F.col("name")))
 
 
+@derived
 def occurrences(ws: Workspace) -> DataFrame:
     """file_path, node_id, name, pos, end, line, col, is_decl, is_selector, qualifier, is_call: every identifier, whether
     it is declared there, and what it is selected from."""
@@ -116,20 +136,78 @@ def occurrences(ws: Workspace) -> DataFrame:
     return rows.select("file_path", "node_id", F.col("text").alias("name"), F.col("start").alias("pos"), "end", "line", "col", declared.alias("is_decl"), selected.alias("is_selector"), F.when(selected, F.col("qualifier")).alias("qualifier"), called.alias("is_call"), "func_id")
 
 
-def references(ws: Workspace) -> DataFrame:
+@derived
+def variable_types(ws: Workspace) -> DataFrame:
+    """(file_path, func_id, name, type_dir, type): names in a function whose own declaration tells a type of the tree:
+    receivers, parameters and `var x T` of a named type or a pointer to one, `T{}`, `&T{}` and `new(T)`. A name that a
+    function declares with several types tells none."""
+    nodes = ws.nodes.where("func_id is not null")
+    up = lambda p: nodes.select("file_path", F.col("node_id").alias(f"{p}_id"), F.col("kind").alias(f"{p}_kind"), F.col("tok").alias(f"{p}_tok"), F.col("parent_id").alias(f"{p}_up"), F.col("start").alias(f"{p}_start"), F.col("end").alias(f"{p}_end"), F.col("edge").alias(f"{p}_edge"), F.col("ord").alias(f"{p}_ord"), F.col("text").alias(f"{p}_text"))
+    name = nodes.where("edge = 'name' and kind = 'Ident'").select("file_path", "func_id", F.col("parent_id").alias("holder"), F.col("text").alias("name"))
+    kind = up("t").where("t_edge = 'type'").withColumnRenamed("t_up", "holder")
+    given = name.join(kind, ["file_path", "holder"])
+    left = nodes.where("edge = 'lhs' and kind = 'Ident'").select("file_path", "func_id", F.col("parent_id").alias("stmt_id"), F.col("text").alias("name"), F.col("ord").alias("place"))
+    stmt = up("stmt").where("stmt_kind = 'AssignStmt' and stmt_tok = ':='").select("file_path", "stmt_id")
+    right = up("r").where("r_edge = 'rhs'").withColumnRenamed("r_up", "stmt_id")
+    sides = right.groupBy("file_path", "stmt_id").agg(F.count("*").alias("n"))
+    value = left.join(stmt, ["file_path", "stmt_id"]).join(sides, ["file_path", "stmt_id"]).join(right, ["file_path", "stmt_id"]).where("r_ord = place + n")
+    # &T{} is a level above T{}; new(T) names the type as its argument.
+    inner = up("x").where("x_edge in ('x', 'arg', 'type')")
+    pointed = value.where("r_kind = 'UnaryExpr' and r_tok = '&'").join(inner.where("x_edge = 'x' and x_kind = 'CompositeLit'").withColumnRenamed("x_up", "r_id"), ["file_path", "r_id"]).select("file_path", "func_id", "name", F.col("x_id").alias("lit_id"))
+    plain = value.where("r_kind = 'CompositeLit'").select("file_path", "func_id", "name", F.col("r_id").alias("lit_id"))
+    made = pointed.unionByName(plain).join(kind.withColumnRenamed("holder", "lit_id"), ["file_path", "lit_id"])
+    fun = up("f").where("f_edge = 'fun' and f_kind = 'Ident' and f_text = 'new'").select("file_path", F.col("f_up").alias("r_id"))
+    fresh = value.where("r_kind = 'CallExpr'").join(fun, ["file_path", "r_id"], "left_semi").join(up("t").where("t_edge = 'arg'").withColumnRenamed("t_up", "r_id"), ["file_path", "r_id"])
+    keep = ["file_path", "func_id", "name", "t_start", "t_end"]
+    rows = source_text(ws.files, given.select(*keep).unionByName(made.select(*keep)).unionByName(fresh.select(*keep)), "t_start", "t_end", "t")
+    rows = rows.withColumn("t", F.regexp_replace("t", r"^\*", "")).where(r"t rlike '^[\\p{L}_][\\p{L}\\p{Nd}_]*([.][\\p{L}_][\\p{L}\\p{Nd}_]*)?$'")
+    alone = rows.groupBy("file_path", "func_id", "name").agg(F.collect_set("t").alias("ts")).where("size(ts) = 1").select("file_path", "func_id", "name", F.col("ts")[0].alias("t"))
+    known = imports(ws).join(ws.packages.select(F.col("import_path").alias("path"), F.col("dir").alias("target")), "path").select("file_path", F.col("alias").alias("q"), "target")
+    alone = alone.withColumn("q", F.when(F.col("t").contains("."), F.split("t", "[.]")[0])).withColumn("type", F.element_at(F.split("t", "[.]"), -1))
+    rows = alone.join(known, ["file_path", "q"], "left").join(ws.files.select("file_path", "dir"), "file_path")
+    out = rows.select("file_path", "func_id", "name", F.when(F.col("q").isNull(), F.col("dir")).otherwise(F.col("target")).alias("type_dir"), "type").where("type_dir is not null")
+    named = ws.nodes.where("kind = 'TypeSpec'").select("file_path", F.col("node_id").alias("parent_id"))
+    types = ws.nodes.where("edge = 'name'").join(named, ["file_path", "parent_id"]).join(ws.files.select("file_path", "dir"), "file_path").select(F.col("dir").alias("type_dir"), F.col("text").alias("type")).distinct()
+    return out.join(types, ["type_dir", "type"], "left_semi")
+
+
+@derived
+def method_calls(ws: Workspace) -> DataFrame:
+    """(file_path, fun_end, pos, name, type_dir, type): selections of a method from a name whose type its function tells."""
+    occ = occurrences(ws).where("is_selector and qualifier is not null and func_id is not null").select("file_path", "func_id", "name", "pos", F.col("end").alias("fun_end"), "qualifier")
+    return occ.join(variable_types(ws).withColumnRenamed("name", "qualifier"), ["file_path", "func_id", "qualifier"]).select("file_path", "fun_end", "pos", "name", "type_dir", "type")
+
+
+def references(ws: Workspace, packages: list[str] | None = None) -> DataFrame:
+    """All references, or those that stand in the given folders."""
+    rows = _references(ws)
+    return rows if packages is None else rows.join(ws.files.where(F.col("dir").isin(packages)).select("file_path"), "file_path", "left_semi")
+
+
+@derived
+def _references(ws: Workspace) -> DataFrame:
     """Occurrences joined to the package symbols that they name: a bare name to its own package, a qualified one to the
-    package that the file imports under the qualifier, a method call to every method of that name."""
+    package that the file imports under the qualifier. A method call whose receiver's type the text tells goes to that
+    type's method, or where it has none (an interface's or an embedded type's) to every method of the name, as does a
+    call that doesn't tell."""
     sym = symbols(ws).select("dir", "name", "kind", "recv", F.col("file_path").alias("decl_file"), F.col("pos").alias("decl_pos"))
-    occ = occurrences(ws).where(~F.col("is_decl")).join(ws.files.select("file_path", F.col("dir").alias("own_dir")), "file_path")
-    known = imports(ws).join(ws.packages.select(F.col("import_path").alias("path"), F.col("dir").alias("target")), "path").select("file_path", F.col("alias").alias("qualifier"), "target")
-    alias = imports(ws).select("file_path", F.col("alias").alias("qualifier"), F.lit(True).alias("is_import")).distinct()
+    files = ws.files.select("file_path", F.col("dir").alias("own_dir"))
+    occ = occurrences(ws).where(~F.col("is_decl")).join(files, "file_path")
+    found = imports(ws)
+    known = found.join(ws.packages.select(F.col("import_path").alias("path"), F.col("dir").alias("target")), "path").select("file_path", F.col("alias").alias("qualifier"), "target")
+    alias = found.select("file_path", F.col("alias").alias("qualifier"), F.lit(True).alias("is_import")).distinct()
     occ = occ.join(known, ["file_path", "qualifier"], "left").join(alias, ["file_path", "qualifier"], "left")
     bare = occ.where(~F.col("is_selector")).withColumn("dir", F.col("own_dir"))
     through = occ.where("is_selector and target is not null").withColumn("dir", F.col("target"))
     plain = bare.unionByName(through).join(sym.where("kind <> 'Method'"), ["dir", "name"])
-    methods = occ.where("is_selector and is_import is null").join(sym.where("kind = 'Method'"), "name")
+    method = sym.where("kind = 'Method'")
+    told = method_calls(ws).select("file_path", "pos", "type_dir", "type").distinct()
+    owner = method.select(F.col("dir").alias("type_dir"), F.col("recv").alias("type"), "name").distinct().withColumn("has", F.lit(True))
+    picked = occ.where("is_selector and is_import is null").join(told, ["file_path", "pos"], "left").join(owner, ["type_dir", "type", "name"], "left")
+    exact = picked.where("has").join(method.withColumnRenamed("recv", "type").withColumnRenamed("dir", "type_dir"), ["type_dir", "type", "name"]).withColumnRenamed("type", "recv").withColumnRenamed("type_dir", "dir")
+    loose = picked.where("has is null").drop("type_dir", "type").join(method, "name")
     keep = ["dir", "name", "kind", "recv", "decl_file", "decl_pos", "file_path", "pos", "end", "line", "col"]
-    return plain.select(*keep).unionByName(methods.select(*keep)).distinct()
+    return plain.select(*keep).unionByName(exact.select(*keep)).unionByName(loose.select(*keep)).distinct()
 
 
 def unused(ws: Workspace, with_exported: bool = False) -> DataFrame:
@@ -143,9 +221,14 @@ def unused(ws: Workspace, with_exported: bool = False) -> DataFrame:
     rows = rows.where("kind <> 'Method'").unionByName(rows.where("kind = 'Method'").join(exempt, "name", "left_anti").select(*rows.columns))
     ref = references(ws).select("dir", "name", F.coalesce("recv", F.lit("")).alias("r")).distinct()
     free = rows.withColumn("r", F.coalesce("recv", F.lit(""))).join(ref, ["dir", "name", "r"], "left_anti")
-    return free.select("name", "kind", F.col("dir").alias("package"), F.col("file_path").alias("file"), "line", "exported", (~F.col("exported")).alias("safe_to_delete"), F.lit("No references found").alias("reason"))
+    # Whether the package declares the name once more, elsewhere than where this symbol stands.
+    declared = occurrences(ws).where("is_decl").join(ws.files.select("file_path", "dir"), "file_path").groupBy("dir", "name").agg(F.count("*").alias("declared"))
+    free = free.join(declared, ["dir", "name"], "left")
+    reason = F.when(F.col("declared") > 1, "Only referenced in declarations").otherwise("No references found")
+    return free.select("name", "kind", F.col("dir").alias("package"), F.col("file_path").alias("file"), "line", "exported", (~F.col("exported")).alias("safe_to_delete"), reason.alias("reason"))
 
 
+@derived
 def import_edges(ws: Workspace) -> DataFrame:
     """src, dst (folders of packages of this tree), is_test."""
     to = ws.packages.select(F.col("import_path").alias("path"), F.col("dir").alias("dst"))

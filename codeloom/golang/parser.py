@@ -637,15 +637,16 @@ class Parser:
 
 def rows(source: bytes) -> list[tuple]:
     """The flat nodes of a file: node_id, parent_id, edge, ord, kind, tok, start, end, line, col, end_line, func_id,
-    cx_depth, text. Ids follow the source; parents come first. cx_depth is the nesting that complexity counts, null
-    where it doesn't look: inside expressions and function literals."""
+    cx_depth, cond_id, text. Ids follow the source; parents come first. cx_depth is the nesting that complexity counts,
+    null where it doesn't look: inside expressions and function literals. cond_id is the if statement whose condition
+    reaches the node through operators and parentheses alone."""
     text = source.decode("latin-1")
     tree = Parser(text).file()
     breaks = [-1, *(i for i, c in enumerate(text) if c == "\n")]
     out: list[tuple] = []
-    stack: list[tuple[Node, int | None, str, int, int | None, int | None]] = [(tree, None, "", 0, None, None)]
+    stack: list[tuple[Node, int | None, str, int, int | None, int | None, int | None]] = [(tree, None, "", 0, None, None, None)]
     while stack:
-        node, parent, edge, place, func, depth = stack.pop()
+        node, parent, edge, place, func, depth, cond = stack.pop()
         me = len(out)
         if node.kind == "FuncDecl":
             func, depth = me, 0
@@ -653,13 +654,15 @@ def rows(source: bytes) -> list[tuple]:
         col = node.start - breaks[line - 1]
         end_line = bisect.bisect_left(breaks, max(node.end - 1, node.start))
         words = node.text.encode("latin-1").decode("utf-8", "replace") if node.text is not None else None
-        out.append((me, parent, edge, place, node.kind, node.tok, node.start, node.end, line, col, end_line, func, depth, words))
+        out.append((me, parent, edge, place, node.kind, node.tok, node.start, node.end, line, col, end_line, func, depth, cond, words))
         for k in range(len(node.children) - 1, -1, -1):
             e, child = node.children[k]
-            stack.append((child, me, e, k, func, _depth(node, e, child, depth)))
+            inner = me if node.kind == "IfStmt" and e == "cond" else cond if node.kind in _OPERATORS and e in ("x", "y") else None
+            stack.append((child, me, e, k, func, _depth(node, e, child, depth), inner))
     return out
 
 
+_OPERATORS = frozenset({"BinaryExpr", "UnaryExpr", "ParenExpr"})
 _STATEMENTS = frozenset({"stmt", "body", "else", "init", "decl", "call"})
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.golang import facts
 from codeloom.operators import graph
+from codeloom.operators import imports as imports_of
 from codeloom.operators.symbols import MOST_DISTANCE, MOST_SIMILAR
 from codeloom.sources.tables import cut
 from codeloom.sources.workspace import Workspace
@@ -43,6 +46,7 @@ def suggestions(ws: Workspace, name: str, most: int = MOST_DISTANCE, limit: int
     return rows.select("name", "kind", F.col("dir").alias("package"), "distance").distinct().orderBy("distance", "name", "package").limit(limit)
 
 
+@facts.derived
 def embeds(ws: Workspace) -> DataFrame:
     """dir, type, embedded: named types and interfaces without a field name inside a type, of the same package."""
     spec = ws.nodes.where("kind = 'TypeSpec'").select("file_path", "node_id")
@@ -60,10 +64,11 @@ def embeds(ws: Workspace) -> DataFrame:
     return kind.select("file_path", "type", base.alias("embedded")).where("embedded is not null").join(ws.files.select("file_path", "dir"), "file_path").select("dir", "type", "embedded").distinct()
 
 
+@facts.derived
 def method_sets(ws: Workspace) -> DataFrame:
     """dir, type, method, depth: own methods (depth 0) and those promoted from embedded types; the shallowest counts."""
     own = facts.symbols(ws).where("kind = 'Method' and recv is not null").select("dir", F.col("recv").alias("type"), F.col("name").alias("method"))
-    inner = cut(embeds(ws))
+    inner = embeds(ws)
     out = level = cut(own.distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, MOST_EMBEDDING + 1):
         up = inner.join(level.select("dir", F.col("type").alias("embedded"), "method"), ["dir", "embedded"]).select("dir", "type", "method").distinct()
@@ -74,11 +79,12 @@ def method_sets(ws: Workspace) -> DataFrame:
     raise ValueError(f"types embed each other more than {MOST_EMBEDDING} deep")
 
 
+@facts.derived
 def implementations(ws: Workspace) -> DataFrame:
     """interface_dir, interface, dir, type, missing: how each type meets each interface that it shares a method with.
     A type implements an interface where `missing` is empty; methods are matched by name. Interfaces without methods
     are left out, as every type has none of theirs missing."""
-    sets = cut(method_sets(ws))
+    sets = method_sets(ws)
     inter = facts.symbols(ws).where("kind = 'Interface'").select("dir", F.col("name").alias("type"))
     types = facts.symbols(ws).where("kind = 'Type'").select("dir", F.col("name").alias("type"))
     wanted = sets.join(inter, ["dir", "type"], "left_semi").select(F.col("dir").alias("interface_dir"), F.col("type").alias("interface"), "method")
@@ -135,3 +141,33 @@ def layer_breaks(ws: Workspace, layers: list[tuple[str, int]]) -> DataFrame:
 def cycle_report(ws: Workspace) -> DataFrame:
     """The import cycles of a tree: cycle, members, size."""
     return graph.cycles(facts.import_edges(ws).where(~F.col("is_test")).select("src", "dst"))
+
+
+def interfaces_for_method(ws: Workspace, package: str, recv: str, method: str) -> DataFrame:
+    """interface_dir, interface: interfaces that a type meets in full and that ask for one of its methods."""
+    met = implementations(ws).where((F.col("dir") == package) & (F.col("type") == recv) & (F.size("missing") == 0))
+    asks = method_sets(ws).where(F.col("method") == method).select(F.col("dir").alias("interface_dir"), F.col("type").alias("interface"))
+    return met.select("interface_dir", "interface").join(asks, ["interface_dir", "interface"], "left_semi")
+
+
+def identifier_type(ws: Workspace, file: str, offset: int) -> DataFrame:
+    """name, type_dir, type of the identifier at a place, where its function tells it."""
+    at = ws.nodes.where((F.col("file_path") == file) & (F.col("kind") == "Ident") & (F.col("start") <= offset) & (F.col("end") > offset)).select("file_path", "func_id", F.col("text").alias("name"))
+    return facts.variable_types(ws).join(at, ["file_path", "func_id", "name"], "left_semi").select("name", "type_dir", "type")
+
+
+def external_dependencies(ws: Workspace) -> DataFrame:
+    """path, importers: paths outside the tree with the number of files that import them."""
+    inside = ws.packages.select(F.col("import_path").alias("path"))
+    rows = facts.imports(ws).withColumnRenamed("file_path", "file").join(inside, "path", "left_anti")
+    return imports_of.external_dependencies(rows)
+
+
+def shortened(kind: Column, own: str, aliases: dict[str, str]) -> Column:
+    """Types written with whole import paths as a file would write them: without the path of its own package, with the
+    aliases of those that it imports, and with the last segment of all others. aliases: path to alias."""
+    quoted = lambda path: re.escape(path)
+    out = F.regexp_replace(kind, rf"(?<![\w./-]){quoted(own)}\.", "") if own else kind
+    for path, alias in sorted(aliases.items(), key=lambda x: -len(x[0])):
+        out = F.regexp_replace(out, rf"(?<![\w./-]){quoted(path)}\.", f"{alias}.")
+    return F.regexp_replace(out, r"(?<![\w./-])(?:[\w.~-]+/)+([\w-]+)\.", "$1.")

@@ -75,15 +75,44 @@ def method_set(own: DataFrame, embeds: DataFrame) -> DataFrame:
 
 
 def similar_names(names: DataFrame, most: int = MOST_DISTANCE, limit: int = MOST_SIMILAR) -> DataFrame:
-    """Nearest distinct names within an edit distance. Names within `most` edits have lengths that differ by no more,
-    so each name meets only those of near lengths."""
+    """Nearest distinct names within an edit distance. A name is cut into most + 1 parts; of these one stands whole, and
+    shifted by at most `most` places, in any name that near. So names meet by parts, and only those shorter than their
+    number of parts meet by length alone."""
     n = names.select("name").distinct().withColumn("size", F.length("name"))
-    other = n.select(F.col("name").alias("similar"), F.explode(F.sequence(F.col("size") - most, F.col("size") + most)).alias("size"))
-    near = n.join(other, "size").where("name <> similar").withColumn("distance", F.levenshtein("name", "similar").cast("long")).where(F.col("distance") <= most)
+    i = F.col("i")
+    begin, stop = F.floor(F.col("of") * i / (most + 1)).cast("int"), F.floor(F.col("of") * (i + 1) / (most + 1)).cast("int")
+    each = n.withColumn("of", F.col("size")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(most))))
+    parts = each.select(F.col("name").alias("similar"), "of", "i", F.substring("name", begin + 1, stop - begin).alias("part"))
+    probe = n.withColumn("of", F.explode(F.sequence(F.greatest(F.col("size") - most, F.lit(0)), F.col("size") + most))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(most))))
+    probe = probe.withColumn("b", begin).withColumn("w", stop - begin)
+    shift = F.sequence(F.greatest(F.col("b") - most, F.lit(0)), F.greatest(F.col("b") - most, F.lit(0), F.least(F.col("b") + most, F.col("size") - F.col("w"))))
+    probe = probe.withColumn("at", F.explode(shift)).select("name", "of", "i", F.substring("name", F.col("at") + 1, F.col("w")).alias("part")).distinct()
+    met = probe.join(parts, ["of", "i", "part"]).where("name <> similar").select("name", "similar").distinct()
+    near = met.withColumn("distance", F.levenshtein("name", "similar").cast("long")).where(F.col("distance") <= most)
     rank = F.row_number().over(Window.partitionBy("name").orderBy("distance", "similar"))
     return near.withColumn("rank", rank).where(F.col("rank") <= limit).select("name", "similar", "distance")
 
 
+def affected_by_move(symbols: DataFrame, references: DataFrame, target: Column) -> DataFrame:
+    """symbol_id, file, line, package, why: references that moving their symbols to the target package affects: those of
+    unexported symbols, and all from a third package."""
+    out = find_references(symbols, references, F.col("ref_package") != target)
+    row = lambda df, why: df.select("symbol_id", "file", "line", F.col("ref_package").alias("package"), F.lit(why).alias("why"))
+    return row(out.where(~F.col("exported")), "unexported").unionAll(row(out, "third package"))
+
+
+def affected_by_rename(symbols: DataFrame, references: DataFrame, name: Column) -> DataFrame:
+    """symbol_id, file, line, package of the references to symbols of a name."""
+    out = find_references(symbols, references, F.col("name") == name)
+    return out.select("symbol_id", "file", "line", F.col("ref_package").alias("package"))
+
+
+def cross_package_edges(symbols: DataFrame, references: DataFrame) -> DataFrame:
+    """src_package (of the symbol), dst_package (of the reference), refs."""
+    out = find_references(symbols, references, F.col("package") != F.col("ref_package"))
+    return out.groupBy(F.col("package").alias("src_package"), F.col("ref_package").alias("dst_package")).agg(F.count("*").alias("refs"))
+
+
 def facade(symbols: DataFrame) -> DataFrame:
     """The re-exports of each package."""
     word = F.when(F.col("kind").isin("SMALL", "MEDIUM"), "var").when(F.col("kind") == "LARGE", "const").otherwise("type")

@@ -30,6 +30,17 @@ def conflicts(changes: DataFrame) -> DataFrame:
     return _pairs(changes, "(a_start <= b_start and b_start < a_end) or (b_start <= a_start and a_start < b_end)")
 
 
+def innermost(positions: DataFrame, spans: DataFrame) -> DataFrame:
+    """file, pos_id, span: the narrowest span (file, seq, start, end) around each position (file, pos_id, p), of equally
+    narrow ones the first by seq; a position's own span doesn't count. Spans are dealt to the stretches that they touch."""
+    cells = F.explode(F.sequence(F.floor(F.col("start") / STRETCH), F.floor(F.col("end") / STRETCH))).alias("cell")
+    dealt = spans.where("end >= start").select("file", "seq", "start", "end", cells)
+    at = positions.withColumn("cell", F.floor(F.col("p") / STRETCH))
+    met = at.join(dealt, ["file", "cell"]).where("start <= p and p < end and seq <> pos_id")
+    best = F.min_by("seq", F.struct(F.col("end") - F.col("start"), "seq"))
+    return met.groupBy("file", "pos_id").agg(best.alias("span"))
+
+
 def merged(changes: DataFrame) -> DataFrame:
     """Overlapping or adjacent changes of a file as one: islands between gaps."""
     order = Window.partitionBy("file").orderBy("start", "end", "seq")

@@ -184,6 +184,18 @@ def extract_function(ws: Workspace, file: str, first_line: int, last_line: int,
     return changes(ws.nodes.sparkSession.createDataFrame(rows, EDIT), f"extract {name}")
 
 
+def extract_block(ws: Workspace, file: str, line: int, name: str, types: dict[str, str] | None = None) -> DataFrame:
+    """Put the statements of the innermost block around a line (of an if, a loop or a clause) into a function."""
+    body = _body(ws, file, (F.col("line") <= line) & (F.col("body_end_line") >= line))
+    inner = [n for n in body.nodes if n["kind"] in ("BlockStmt", "CaseClause", "CommClause") and n["line"] <= line <= n["end_line"] and n["parent_id"] != body.head["func_node"] and body.children(n, "stmt")]
+    inner = [n for n in inner if not any(k["kind"] in ("CaseClause", "CommClause") for k in body.children(n, "stmt"))]
+    if not inner:
+        raise RefactorError(f"line {line} lies in no block inside a function")
+    block = min(inner, key=lambda n: n["end"] - n["start"])
+    stmts = body.children(block, "stmt")
+    return extract_function(ws, file, stmts[0]["line"], stmts[-1]["end_line"], name, types)
+
+
 def extract_method(ws: Workspace, file: str, first_line: int, last_line: int, name: str, types: dict[str, str] | None = None) -> DataFrame:
     """Statements of a method as a method of the same type."""
     return extract_function(ws, file, first_line, last_line, name, types, as_method=True)
@@ -207,23 +219,64 @@ def extract_variable(ws: Workspace, file: str, line: int, expression: str, name:
 
 
 def inline_function(ws: Workspace, package: str, name: str) -> DataFrame:
-    """Put a function's single returned expression in place of every call, arguments for parameters. The function
-    stays; its calls must be told by name, so it is no method. Arguments used more than once must be names or literals."""
-    file = facts.functions(ws).where((F.col("name") == name) & F.col("recv").isNull()).join(ws.files.where(F.col("dir") == package).select("file_path"), "file_path", "left_semi").first()
+    """Put a function's single returned expression in place of every call, arguments for parameters; of a function of
+    several statements, these stand in place of calls that are statements of their own. The function stays. Arguments
+    used more than once must be names or literals."""
+    own = ws.files.where(F.col("dir") == package).select("file_path")
+    file = facts.functions(ws).where((F.col("name") == name) & F.col("recv").isNull()).join(own, "file_path", "left_semi").first()
     if file is None:
         raise RefactorError(f"{package} has no function {name}")
-    body = _body(ws, file["file_path"], F.col("func_node") == file["func_node"])
-    block = next(n for n in body.nodes if n["edge"] == "body" and n["parent_id"] == file["func_node"])
+    calls = facts.references(ws).where((F.col("dir") == package) & (F.col("name") == name) & (F.col("kind") == "Function")).select("file_path", F.col("end").alias("fun_end"))
+    return _inlined(ws, name, file, calls, None)
+
+
+def inline_method(ws: Workspace, package: str, recv: str, name: str, file: str | None = None) -> DataFrame:
+    """The same for a method of a type: what calls are selected from stands for the receiver. Calls are those of the
+    name, in one file or all, on a name whose declaration in its function tells the type (a receiver or parameter of
+    it, `T{}`, `&T{}` or `new(T)`); other calls stay, and none at all is an error."""
+    own = ws.files.where(F.col("dir") == package).select("file_path")
+    decl = facts.functions(ws).where((F.col("name") == name) & (F.col("recv") == recv)).join(own, "file_path", "left_semi").first()
+    if decl is None:
+        raise RefactorError(f"{package} has no method {recv}.{name}")
+    calls = facts.method_calls(ws).where((F.col("name") == name) & (F.col("type_dir") == package) & (F.col("type") == recv))
+    calls = calls.where(F.col("file_path") == file) if file else calls
+    if not calls.limit(1).count():
+        raise RefactorError(f"no call of {recv}.{name} tells its receiver's type")
+    receiver = next((k["text"] for k in _body(ws, decl["file_path"], F.col("func_node") == decl["func_node"]).nodes if k["edge"] == "name" and k["kind"] == "Ident" and k["start"] < decl["name_start"]), None)
+    return _inlined(ws, name, decl, calls.select("file_path", "fun_end"), receiver or "_")
+
+
+def _inlined(ws: Workspace, name: str, decl: Row, calls: DataFrame, receiver: str | None) -> DataFrame:
+    """Edits of calls (file_path, fun_end). receiver: the receiver's name for methods."""
+    body = _body(ws, decl["file_path"], F.col("func_node") == decl["func_node"])
+    block = next(n for n in body.nodes if n["edge"] == "body" and n["parent_id"] == decl["func_node"])
     stmts = body.children(block, "stmt")
     results = body.children(stmts[0], "result") if len(stmts) == 1 and stmts[0]["kind"] == "ReturnStmt" else []
-    if len(results) != 1:
-        raise RefactorError(f"{name} is more than one returned expression")
-    params, value = list(file["params"]), results[0]
-    spots = sorted((n["start"], n["end"], params.index(n["text"])) for n in body.below(value) if n["kind"] == "Ident" and n["edge"] not in ("sel", "key") and n["text"] in params)
-    calls = facts.references(ws).where((F.col("dir") == package) & (F.col("name") == name) & (F.col("kind") == "Function")).select("file_path", F.col("end").alias("fun_end"))
-    fun = ws.nodes.where("edge = 'fun'").select("file_path", F.col("parent_id").alias("node_id"), F.col("end").alias("fun_end"))
-    whole = calls.join(fun, ["file_path", "fun_end"]).join(ws.nodes.where("kind = 'CallExpr'").select("file_path", "node_id", "start", "end", "edge"), ["file_path", "node_id"])
+    params = ([receiver] if receiver else []) + list(decl["params"])
+    whole_body = len(results) != 1
+    if whole_body:
+        inside = [n for s in stmts for n in body.below(s)]
+        if not stmts or any(n["kind"] == "ReturnStmt" for n in inside) or any(n["kind"] == "DeferStmt" for n in inside):
+            raise RefactorError(f"{name} is neither one returned expression nor statements without a return")
+        if [x for x, at, _ in _names(body) if at > block["start"]]:
+            raise RefactorError(f"{name} declares names of its own, which could meet those around a call")
+    first, last = (stmts[0], stmts[-1]) if whole_body else (results[0], results[0])
+    value = {"start": first["start"], "end": last["end"]}
+    below = [n for s in (stmts if whole_body else results) for n in body.below(s)]
+    set_ = {k["text"] for n in below if n["kind"] == "AssignStmt" for k in body.children(n, "lhs")} | {k["text"] for n in below if n["kind"] == "IncDecStmt" for k in body.kids[n["node_id"]]}
+    if set_ & set(params):
+        raise RefactorError(f"{name} sets its parameters")
+    spots = sorted((n["start"], n["end"], params.index(n["text"])) for n in below if n["kind"] == "Ident" and n["edge"] not in ("sel", "key") and n["text"] in params)
+    fun = ws.nodes.where("edge = 'fun'").select("file_path", F.col("parent_id").alias("node_id"), F.col("node_id").alias("fun_id"), F.col("end").alias("fun_end"))
+    call = ws.nodes.where("kind = 'CallExpr'").select("file_path", "node_id", F.col("parent_id").alias("up_id"), "start", "end", "edge")
+    up = ws.nodes.select("file_path", F.col("node_id").alias("up_id"), F.col("kind").alias("up_kind"))
+    whole = calls.distinct().join(fun, ["file_path", "fun_end"]).join(call, ["file_path", "node_id"]).join(up, ["file_path", "up_id"])
+    if whole_body and whole.where("up_kind <> 'ExprStmt'").limit(1).count():
+        raise RefactorError(f"a call of {name} is no statement of its own")
     args = ws.nodes.where("edge = 'arg'").select("file_path", F.col("parent_id").alias("node_id"), "ord", "kind", F.col("start").alias("a"), F.col("end").alias("b"))
+    if receiver:
+        of = ws.nodes.where("edge = 'x'").select("file_path", F.col("parent_id").alias("fun_id"), "kind", F.col("start").alias("a"), F.col("end").alias("b"))
+        args = args.unionByName(of.join(whole.select("file_path", "fun_id", "node_id"), ["file_path", "fun_id"]).select("file_path", "node_id", F.lit(0).alias("ord"), "kind", "a", "b"))
     text = facts.source_text(ws.files, args.join(whole.select("file_path", "node_id"), ["file_path", "node_id"], "left_semi"), "a", "b", "t")
     held = F.when(F.col("kind").isin(*SIMPLE), F.col("t")).otherwise(F.concat(F.lit("("), "t", F.lit(")")))
     given = text.groupBy("file_path", "node_id").agg(F.array_sort(F.collect_list(F.struct("ord", held.alias("t"), F.col("kind").isin("Ident", "BasicLit").alias("plain")))).alias("args"))
@@ -240,7 +293,8 @@ def inline_function(ws: Workspace, package: str, name: str) -> DataFrame:
         at = e
     pieces.append(F.lit(body.content[at : value["end"]].decode()))
     new = F.concat(*pieces)
-    new = new if value["kind"] in SIMPLE else F.when(F.col("edge").isin("rhs", "arg", "result", "value"), new).otherwise(F.concat(F.lit("("), new, F.lit(")")))
+    if not whole_body and results[0]["kind"] not in SIMPLE:
+        new = F.when(F.col("edge").isin("rhs", "arg", "result", "value"), new).otherwise(F.concat(F.lit("("), new, F.lit(")")))
     return changes(facts.source_text(ws.files, rows, "start", "end", "old_text").withColumn("new_text", new), f"inline {name}")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from codeloom.golang import analyze, facts
 from codeloom.golang.lexer import KEYWORDS
+from codeloom.golang.scope import around
 from codeloom.operators import imports as imports_of
 from codeloom.plans.apply import changes
 from codeloom.sources.workspace import Workspace
@@ -100,20 +101,76 @@ def _declaration(ws: Workspace, package: str, name: str) -> DataFrame:
     return facts.source_text(ws.files, rows, "start", "end", "old_text")
 
 
+def add_imports(ws: Workspace, wanted: DataFrame, dropped: DataFrame | None = None) -> DataFrame:
+    """Edits that import a path in each file (file_path, path) that doesn't yet: into its first block of imports, after
+    its first single one, or after the package clause. Imports that go (dropped: file_path, start, end of their
+    specifications) are no place to put others."""
+    missing = wanted.distinct().join(facts.imports(ws).select("file_path", "path"), ["file_path", "path"], "left_anti")
+    paths = missing.groupBy("file_path").agg(F.array_sort(F.collect_set("path")).alias("p"))
+    decl = ws.nodes.where("kind = 'GenDecl' and tok = 'import'").select("file_path", "node_id", "start", "end")
+    if dropped is not None:
+        spec = ws.nodes.where("kind = 'ImportSpec'").select("file_path", F.col("parent_id").alias("node_id"), "start", "end")
+        gone = spec.join(dropped.withColumn("gone", F.lit(True)), ["file_path", "start", "end"], "left").groupBy("file_path", "node_id").agg(F.count("*").alias("n"), F.count("gone").alias("k"))
+        decl = decl.join(gone.where("n = 1 and k = 1"), ["file_path", "node_id"], "left_anti")
+    decl = decl.groupBy("file_path").agg(F.min_by(F.struct("start", "end"), "start").alias("d"))
+    top = ws.nodes.where("kind = 'File'").select("file_path", F.col("node_id").alias("parent_id"))
+    clause = ws.nodes.where("edge = 'name'").join(top, ["file_path", "parent_id"]).select("file_path", F.col("end").alias("clause_end"))
+    rows = paths.join(clause, "file_path").join(decl, "file_path", "left")
+    rows = facts.source_text(ws.files, rows.withColumn("a", F.coalesce("d.start", F.lit(0))).withColumn("b", F.coalesce("d.end", F.lit(0))), "a", "b", "block")
+    lines = F.array_join(F.transform("p", lambda x: F.concat(F.lit('\n\t"'), x, F.lit('"'))), "")
+    single = F.array_join(F.transform("p", lambda x: F.concat(F.lit('\nimport "'), x, F.lit('"'))), "")
+    grouped = F.col("block").contains("(")
+    at = F.when(F.col("d").isNull(), F.col("clause_end")).when(grouped, F.col("a") + F.locate("(", F.col("block"))).otherwise(F.col("b"))
+    new = F.when(F.col("d").isNull(), F.concat(F.lit("\n"), single)).when(grouped, lines).otherwise(single)
+    return rows.select("file_path", at.alias("start"), at.alias("end"), F.lit("").alias("old_text"), new.alias("new_text"))
+
+
+def with_margins(ws: Workspace, decl: DataFrame) -> DataFrame:
+    """Declarations (file_path, start, end) with the comments right before them and one blank line behind them:
+    file_path, start, end (of the declaration), stop, text (up to the end), old_text (up to stop)."""
+    rows = decl.select("file_path", "start", "end").distinct().join(ws.files.select("file_path", "content"), "file_path")
+    before = F.decode(F.expr("substring(content, 1, start)"), "ISO-8859-1")
+    lead = F.octet_length(F.regexp_extract(before, r"((?:(?<=\n)|^)(?:[ \t]*//[^\n]*\n)+)$", 1))
+    rows = rows.withColumn("start", F.col("start") - lead)
+    after = F.octet_length(F.regexp_extract(F.decode(F.expr("substring(content, end + 1)"), "ISO-8859-1"), r"^([ \t]*\n?\n?)", 1))
+    rows = rows.withColumn("stop", F.col("end") + after)
+    text = lambda a, b: F.decode(F.expr(f"substring(content, {a} + 1, {b} - {a})"), "UTF-8")
+    return rows.select("file_path", "start", "end", "stop", text("start", "end").alias("text"), text("start", "stop").alias("old_text"))
+
+
 def safe_delete(ws: Workspace, package: str, name: str, force: bool = False) -> DataFrame:
-    """Delete a declaration that nothing refers to; `force` deletes it all the same."""
+    """Delete a declaration that nothing refers to. `force` deletes it all the same, with the statements that refer to
+    it; a reference outside statements, in another declaration, stands in the way."""
     decl = _declaration(ws, package, name)
     if not decl.limit(1).count():
         raise RefactorError(f"{package} has no {name} with a declaration of its own")
-    used = facts.references(ws).where((F.col("dir") == package) & (F.col("name") == name) & (F.col("kind") != "Method")).count()
-    if used and not force:
-        raise RefactorError(f"{name} has {used} references")
-    return changes(decl.withColumn("new_text", F.lit("")), f"delete {name}")
+    own = with_margins(ws, decl)
+    gone = own.select("file_path", "start", F.col("stop").alias("end"), "old_text", F.lit("").alias("new_text"))
+    used = facts.references(ws).where((F.col("dir") == package) & (F.col("name") == name) & (F.col("kind") != "Method"))
+    # Uses inside the declaration itself go with it.
+    inside = used.join(own.select("file_path", F.col("start").alias("a"), F.col("stop").alias("b")), "file_path").where("a <= pos and pos < b").select("file_path", "pos")
+    used = used.join(inside, ["file_path", "pos"], "left_anti")
+    n = used.count()
+    if n and not force:
+        raise RefactorError(f"{name} has {n} references")
+    if n:
+        spans = ws.nodes.where("edge = 'stmt' and kind not in ('BlockStmt', 'CaseClause', 'CommClause')").select("file_path", "start", "end")
+        met = around(used.select("file_path", "pos"), spans)
+        narrow = met.groupBy("file_path", "pos").agg(F.min_by(F.struct("start", "end"), F.col("end") - F.col("start")).alias("s"))
+        if narrow.count() < used.select("file_path", "pos").distinct().count():
+            raise RefactorError(f"{name} is used outside statements")
+        whole = narrow.select("file_path", "s.start", "s.end").distinct()
+        outer = whole.select("file_path", F.col("start").alias("a"), F.col("end").alias("b"))
+        whole = whole.join(whole.join(outer, "file_path").where("a <= start and end <= b and (a < start or end < b)").select("file_path", "start", "end"), ["file_path", "start", "end"], "left_anti")
+        gone = gone.unionByName(facts.source_text(ws.files, whole, "start", "end", "old_text").withColumn("new_text", F.lit("")).select(*gone.columns))
+    return changes(gone, f"delete {name}")
 
 
 def add_context_parameter(ws: Workspace, package: str, name: str) -> DataFrame:
-    """Give a function a first parameter `ctx context.Context`, and its calls `context.TODO()`."""
-    return add_parameter(ws, package, name, "ctx", "context.Context", "context.TODO()", 0)
+    """Give a function a first parameter `ctx context.Context`, its calls `context.TODO()`, and their files the import."""
+    plan = add_parameter(ws, package, name, "ctx", "context.Context", "context.TODO()", 0)
+    wanted = plan.select(F.col("file").alias("file_path"), F.lit("context").alias("path")).distinct()
+    return plan.unionByName(changes(add_imports(ws, wanted), f"add ctx to {name}"))
 
 
 def add_parameter(ws: Workspace, package: str, name: str, param: str, kind: str, default: str, position: int) -> DataFrame:
@@ -163,10 +220,10 @@ def standardise_imports(ws: Workspace, rules: list[tuple[str, str]]) -> DataFram
 
 
 def organise_imports(ws: Workspace, prefixes: list[tuple[str, int]] | None = None) -> DataFrame:
-    """Sort each file's single import block by tier, then path: the standard library, others, then the given prefixes."""
+    """Sort each file's single import block by tier, then path: C, the standard library, others, then the given prefixes."""
     rows = facts.imports(ws)
     outside = F.when(F.element_at(F.split("path", "/"), 1).contains("."), 1).otherwise(0)
-    tier = F.greatest(outside, imports_of.tier(F.col("path"), prefixes or [], 0))
+    tier = F.when(F.col("path") == "C", -1).otherwise(F.greatest(outside, imports_of.tier(F.col("path"), prefixes or [], 0)))
     blocks = ws.nodes.where("kind = 'GenDecl' and tok = 'import'").select("file_path", F.col("start").alias("b_start"), F.col("end").alias("b_end"))
     only = blocks.withColumn("n", F.count("*").over(Window.partitionBy("file_path"))).where("n = 1").drop("n")
     line = F.concat(F.lit("\t"), F.when(F.col("given").isNotNull(), F.concat("given", F.lit(" "))).otherwise(""), F.lit('"'), "path", F.lit('"'))
@@ -177,16 +234,26 @@ def organise_imports(ws: Workspace, prefixes: list[tuple[str, int]] | None = Non
     return changes(rows.where(F.col("old_text").startswith("import (")).withColumn("new_text", new).where("old_text <> new_text"), "organise imports")
 
 
-def extract_constant(ws: Workspace, file: str, func: str, literal: str, name: str) -> DataFrame:
-    """Put a literal that a function uses into a constant before the function."""
+def extract_constant(ws: Workspace, file: str, func: str, literal: str, name: str, scope: str = "function") -> DataFrame:
+    """Put a literal that a function uses into a constant before the function. scope: equal literals of the `function`,
+    of all functions of the `file` or of the `package` get the name."""
     _identifier(name)
     f = facts.functions(ws).where((F.col("file_path") == file) & (F.col("name") == func))
     head = f.first()
     if head is None:
         raise RefactorError(f"{file} has no {func}")
-    uses = ws.nodes.where((F.col("file_path") == file) & (F.col("func_id") == head["func_node"]) & (F.col("kind") == "BasicLit") & (F.col("text") == literal)).select("file_path", "start", "end", F.lit(literal).alias("old_text"), F.lit(name).alias("new_text"))
-    if not uses.limit(1).count():
+    folder = ws.files.where(F.col("file_path") == file).first()["dir"]
+    own = ws.files.where(F.col("dir") == folder).select("file_path")
+    if _symbol(ws, folder, name).limit(1).count():
+        raise RefactorError(f"{folder} already has {name}")
+    lits = ws.nodes.where((F.col("kind") == "BasicLit") & (F.col("text") == literal) & F.col("func_id").isNotNull() & (F.col("edge") != "tag"))
+    here = (F.col("file_path") == file) & (F.col("func_id") == head["func_node"])
+    if not lits.where(here).limit(1).count():
         raise RefactorError(f"{func} has no {literal}")
+    scopes = {"function": lits.where(here), "file": lits.where(F.col("file_path") == file), "package": lits.join(own, "file_path", "left_semi")}
+    if scope not in scopes:
+        raise RefactorError(f"no scope {scope}")
+    uses = scopes[scope].select("file_path", "start", "end", F.lit(literal).alias("old_text"), F.lit(name).alias("new_text"))
     made = ws.nodes.sparkSession.createDataFrame([(file, head["start"], head["start"], "", f"const {name} = {literal}\n\n")], "file_path string, start int, end int, old_text string, new_text string")
     return changes(uses.unionByName(made), f"extract {name}")
 

@@ -20,9 +20,10 @@ def symbols(spark: SparkSession, folder: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("symbol_id"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"), F.col("p_brand").alias("package"), F.col("p_size").alias("size"), (F.col("p_retailprice") >= EXPORTED_PRICE).alias("exported"))
 
 
-def references(spark: SparkSession, folder: str) -> DataFrame:
-    """symbol_id, package (of the occurrence), file, line."""
-    rows = table(spark, folder, "lineitem").where("l_returnflag = 'R' and l_linenumber = 1 and l_quantity < 10")
+def references(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+    """symbol_id, package (of the occurrence), file, line: few lineitems, so that some symbols are unused, or all."""
+    rows = table(spark, folder, "lineitem")
+    rows = rows if whole else rows.where("l_returnflag = 'R' and l_linenumber = 1 and l_quantity < 10")
     s = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
     n = table(spark, folder, "nation").select("n_nationkey", "n_name")
     rows = rows.select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber").join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(n, F.col("s_nationkey") == F.col("n_nationkey"))
@@ -34,8 +35,9 @@ def declarations(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "lineitem").where("l_returnflag = 'N' and l_linenumber = 2 and l_quantity < 4").select(F.col("l_partkey").alias("symbol_id")).distinct()
 
 
-def package_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """src, dst, weight: where customers of one nation buy from suppliers of another, the strongest edges of each."""
+def package_edges(spark: SparkSession, folder: str, most: int | None = EDGES_PER_PACKAGE) -> DataFrame:
+    """src, dst, weight: where customers of one nation buy from suppliers of another, the strongest edges of each, or
+    all (None)."""
     c = table(spark, folder, "customer").select("c_custkey", F.col("c_nationkey").alias("src"))
     o = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     s = table(spark, folder, "supplier").select("s_suppkey", F.col("s_nationkey").alias("dst"))
@@ -43,7 +45,7 @@ def package_edges(spark: SparkSession, folder: str) -> DataFrame:
     rows = lines.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
     counted = rows.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
     place = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))
-    top = counted.withColumn("place", place).where(F.col("place") <= EDGES_PER_PACKAGE)
+    top = counted if most is None else counted.withColumn("place", place).where(F.col("place") <= most)
     name = lambda c: F.concat(F.lit("NATION_"), F.col(c).cast("string")).alias(c)
     return top.select(name("src"), name("dst"), "weight", F.col("src").alias("src_key"), F.col("dst").alias("dst_key"))
 
@@ -99,8 +101,9 @@ def functions(spark: SparkSession, folder: str) -> DataFrame:
     return line.select(F.col("l_orderkey").alias("func_id"), (F.col("l_returnflag") != "N").alias("branch"), F.col("l_linenumber").alias("depth"), F.col("l_returnflag").alias("kind"), "l_suppkey")
 
 
-def methods(spark: SparkSession, folder: str) -> DataFrame:
-    """type, method: distinct."""
-    line = table(spark, folder, "lineitem").where("l_quantity < 3").select("l_suppkey", "l_partkey")
+def methods(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+    """type, method: distinct, of few lineitems or of all."""
+    line = table(spark, folder, "lineitem")
+    line = (line if whole else line.where("l_quantity < 3")).select("l_suppkey", "l_partkey")
     part = table(spark, folder, "part").select("p_partkey", "p_type")
     return line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("type"), F.col("p_type").alias("method")).distinct()
