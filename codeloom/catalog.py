@@ -66,10 +66,10 @@ def q03_symbols_by_kind(spark, d):
     return S.count_by(P.symbols(spark, d), "kind")
 
 
-@query(f"WITH {SYM}, {REF} SELECT symbol_id, name, ref.package AS ref_package, file, line FROM ref JOIN sym USING (symbol_id) WHERE exported OR size % 2 = 0")
+@query(f"WITH {SYM}, {REF} SELECT symbol_id, name, ref.package AS ref_package, file, line, CASE WHEN exported THEN 'public' ELSE 'internal' END AS visibility FROM ref JOIN sym USING (symbol_id)")
 def q04_find_references(spark, d):
-    out = S.find_references(P.symbols(spark, d), P.references(spark, d), F.col("exported") | (F.col("size") % 2 == 0))
-    return out.select("symbol_id", "name", "ref_package", "file", "line")
+    out = S.find_references(S.symbol_table(P.symbols(spark, d)), P.references(spark, d), F.lit(True))
+    return out.select("symbol_id", "name", "ref_package", "file", "line", "visibility")
 
 
 @query(f"WITH {SYM}, {REF} SELECT sym.symbol_id, name, count(ref.symbol_id) AS reference_count, count(DISTINCT ref.package) AS ref_packages FROM sym LEFT JOIN ref ON sym.symbol_id = ref.symbol_id GROUP BY 1, 2")
@@ -121,14 +121,14 @@ def q11_package_coupling(spark, d):
 
 @query(f"WITH {EDGE} SELECT dst AS package, weight FROM edge WHERE src = '{TARGET}'")
 def q12_direct_deps(spark, d):
-    return P.package_edges(spark, d).where(F.col("src") == TARGET).select(F.col("dst").alias("package"), "weight")
+    return G.dependencies(P.package_edges(spark, d), TARGET).select("package", "weight")
 
 
 @query(f"WITH {EDGE}, t AS (SELECT dst AS t, count(*) AS n FROM edge GROUP BY 1 ORDER BY n DESC, t LIMIT 1) SELECT src AS package, weight FROM edge WHERE dst = (SELECT t FROM t)")
 def q13_dependents(spark, d):
     e = P.package_edges(spark, d)
     most = e.groupBy("dst").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dst").limit(1)
-    return e.join(most, "dst", "left_semi").select(F.col("src").alias("package"), "weight")
+    return G.dependents(e, most).select("package", "weight")
 
 
 @query(f"WITH RECURSIVE {REACH} SELECT src, dst FROM reach WHERE src <> dst")
@@ -155,9 +155,7 @@ def q17_levels(spark, d):
 
 @query(f"WITH RECURSIVE {WALK} SELECT node, level, row_number() OVER (ORDER BY level DESC, node) AS place FROM lev")
 def q18_topo_order(spark, d):
-    levels = G.levels(P.dag_edges(spark, d))
-    place = F.row_number().over(Window.orderBy(F.desc("level"), "node")).cast("long")
-    return levels.select("node", "level", place.alias("place"))
+    return G.topological_order(P.dag_edges(spark, d))
 
 
 METRICS = f"{DEGREES}, al AS (SELECT n_name AS node FROM nation), m AS (SELECT count(*) AS total_nodes, CAST(sum(coalesce(outgoing, 0)) AS BIGINT) AS total_edges, round(avg(coalesce(outgoing, 0)), 6) AS average_deps, max(coalesce(outgoing, 0)) AS max_deps, count(*) FILTER (WHERE coalesce(outgoing, 0) = 0) AS nodes_without_deps FROM al LEFT JOIN deg USING (node))"
@@ -175,21 +173,17 @@ def q20_import_metrics(spark, d):
 
 @query(f"WITH {SYM}, {REF} SELECT sym.package AS src_package, ref.package AS dst_package, count(*) AS refs FROM ref JOIN sym USING (symbol_id) WHERE sym.package <> ref.package GROUP BY 1, 2")
 def q21_cross_package_edges(spark, d):
-    out = S.find_references(P.symbols(spark, d), P.references(spark, d), F.col("package") != F.col("ref_package"))
-    return out.groupBy(F.col("package").alias("src_package"), F.col("ref_package").alias("dst_package")).agg(F.count("*").alias("refs"))
+    return S.cross_package_edges(P.symbols(spark, d), P.references(spark, d))
 
 
 @query(f"WITH {SYM}, {REF}, j AS (SELECT symbol_id, exported, file, line, ref.package AS p FROM ref JOIN sym USING (symbol_id)) SELECT symbol_id, file, line, p AS package, 'unexported' AS why FROM j WHERE NOT exported AND p <> '{TARGET}' UNION ALL SELECT symbol_id, file, line, p, 'third package' FROM j WHERE p <> '{TARGET}'")
 def q22_affected_by_move(spark, d):
-    out = S.find_references(P.symbols(spark, d), P.references(spark, d), F.col("ref_package") != TARGET)
-    row = lambda df, why: df.select("symbol_id", "file", "line", F.col("ref_package").alias("package"), F.lit(why).alias("why"))
-    return row(out.where(~F.col("exported")), "unexported").unionAll(row(out, "third package"))
+    return S.affected_by_move(P.symbols(spark, d), P.references(spark, d), F.lit(TARGET))
 
 
 @query(f"WITH {SYM}, {REF} SELECT symbol_id, file, line, ref.package AS package FROM ref JOIN sym USING (symbol_id) WHERE name = 'small ring'")
 def q23_affected_by_rename(spark, d):
-    out = S.find_references(P.symbols(spark, d), P.references(spark, d), F.col("name") == "small ring")
-    return out.select("symbol_id", "file", "line", F.col("ref_package").alias("package"))
+    return S.affected_by_rename(P.symbols(spark, d), P.references(spark, d), F.lit("small ring"))
 
 
 @query(f"WITH {EDGE} SELECT src, dst, weight FROM edge WHERE src <> '{TARGET}' AND dst <> '{TARGET}'")
@@ -227,19 +221,13 @@ def q29_context_lines(spark, d):
 
 @query(f"WITH {LINE}, t AS (SELECT file, unnest(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)', 1)) AS name FROM line) SELECT name, count(*) AS occurrences, count(DISTINCT file) AS files FROM t GROUP BY name")
 def q30_inverted_index(spark, d):
-    return T.inverted_index(P.lines(spark, d))
+    return T.inverted_index(P.files(spark, d))
 
 
-@query(f"WITH {CHG}, pos AS (SELECT file, seq AS pos_id, start AS p FROM chg WHERE seq % 5 = 0), e AS (SELECT pos.file, pos_id, seq, row_number() OVER (PARTITION BY pos_id ORDER BY \"end\" - start, seq) AS r FROM pos JOIN chg ON pos.file = chg.file AND start <= p AND p < \"end\" AND seq <> pos_id) SELECT file, pos_id, seq AS span FROM e WHERE r = 1")
+@query(f"WITH {CHG}, pos AS (SELECT file, seq AS pos_id, start AS p FROM chg), e AS (SELECT pos.file, pos_id, seq, row_number() OVER (PARTITION BY pos_id ORDER BY \"end\" - start, seq) AS r FROM pos JOIN chg ON pos.file = chg.file AND start <= p AND p < \"end\" AND seq <> pos_id) SELECT file, pos_id, seq AS span FROM e WHERE r = 1")
 def q31_enclosing_span(spark, d):
     spans = P.changes(spark, d)
-    # Spans are shorter than seven bytes here and in general dealt to each stretch that they touch.
-    cells = F.explode(F.sequence(F.floor(F.col("start") / C.STRETCH), F.floor(F.col("end") / C.STRETCH))).alias("cell")
-    dealt = spans.select("file", "seq", "start", "end", cells)
-    at = spans.where("seq % 5 = 0").select("file", F.col("seq").alias("pos_id"), F.col("start").alias("p"), F.floor(F.col("start") / C.STRETCH).alias("cell"))
-    met = at.join(dealt, ["file", "cell"]).where("start <= p and p < end and seq <> pos_id")
-    rank = F.row_number().over(Window.partitionBy("pos_id").orderBy(F.col("end") - F.col("start"), "seq"))
-    return met.withColumn("r", rank).where("r = 1").select("file", "pos_id", F.col("seq").alias("span"))
+    return C.innermost(spans.select("file", F.col("seq").alias("pos_id"), F.col("start").alias("p")), spans)
 
 
 @query(f"WITH {IMP}, a AS (SELECT file, left(alias, 1) AS alias, path FROM imp) SELECT file, alias, count(DISTINCT path) AS paths FROM a GROUP BY file, alias HAVING count(DISTINCT path) > 1")
@@ -259,8 +247,11 @@ def q34_standardise_imports(spark, d):
 
 @query(f"WITH {IMP}, u AS (SELECT doc_id AS file, unnest(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)', 1)) AS alias FROM documents) SELECT file, ord, path, alias FROM imp WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.file = imp.file AND u.alias = imp.alias)")
 def q35_unused_imports(spark, d):
-    used = P.files(spark, d).select("file", F.explode(F.regexp_extract_all("content", F.lit(f"({T.IDENTIFIER})"), F.lit(1))).alias("alias")).distinct()
-    return I.unused(P.imports(spark, d), used)
+    imports = P.imports(spark, d)
+    # Only files that import something are looked at, and each identifier of theirs once.
+    files = P.files(spark, d).join(imports.select("file").distinct(), "file", "left_semi")
+    names = F.array_distinct(F.regexp_extract_all("content", F.lit(f"({T.IDENTIFIER})"), F.lit(1)))
+    return I.unused(imports, files.select("file", F.explode(names).alias("alias")))
 
 
 @query(f"WITH {CHG} SELECT a.file, a.seq AS a_seq, b.seq AS b_seq FROM chg a JOIN chg b ON a.file = b.file AND a.seq < b.seq AND a.start < b.\"end\" AND b.start < a.\"end\"")
@@ -293,10 +284,13 @@ def q41_preview_text(spark, d):
     return P.files(spark, d).select("file", T.preview(F.col("content")).alias("preview"))
 
 
-@query(f"WITH {LINE}, s AS (SELECT * FROM line WHERE trim(text, ' ') <> ''), o AS (SELECT file, line, text AS old_text FROM s WHERE file % 2 = 0), n AS (SELECT file - 1 AS file, line, text AS new_text FROM s WHERE file % 2 = 1) SELECT file, line, old_text, new_text FROM o FULL JOIN n USING (file, line) WHERE old_text IS DISTINCT FROM new_text")
+@query(f"WITH {LINE}, s AS (SELECT * FROM line WHERE trim(text, ' ') <> ''), o AS (SELECT file, line, text AS old_text FROM s WHERE file + 1 IN (SELECT doc_id FROM documents)), n AS (SELECT file - 1 AS file, line, text AS new_text FROM s WHERE file - 1 IN (SELECT doc_id FROM documents)) SELECT file, line, old_text, new_text FROM o FULL JOIN n USING (file, line) WHERE old_text IS DISTINCT FROM new_text")
 def q42_line_diff(spark, d):
-    lines = P.lines(spark, d)
-    return C.line_diff(lines.where("file % 2 = 0"), lines.where("file % 2 = 1").withColumn("file", F.col("file") - 1))
+    """Each document against the next, where there is one."""
+    lines, ids = P.lines(spark, d), P.files(spark, d).select("file")
+    old = lines.join(ids.select((F.col("file") - 1).alias("file")), "file", "left_semi")
+    new = lines.join(ids.select((F.col("file") + 1).alias("file")), "file", "left_semi").withColumn("file", F.col("file") - 1)
+    return C.line_diff(old, new)
 
 
 @query(f"WITH {CHG} SELECT file, count(*) AS change_count FROM chg GROUP BY file")
@@ -397,3 +391,51 @@ def q59_facade_exports(spark, d):
 @query("WITH t AS (SELECT doc_id AS file, regexp_replace(text, '(^|[^A-Za-z0-9_])the([^A-Za-z0-9_])', '\\1Renamed\\2', 'g') AS a FROM documents WHERE contains(text, 'the')), u AS (SELECT file, regexp_replace(a, '(^|[^A-Za-z0-9_])the([^A-Za-z0-9_])', '\\1Renamed\\2', 'g') AS a FROM t) SELECT file, regexp_replace(a, '(^|[^A-Za-z0-9_])the$', '\\1Renamed') AS content FROM u")
 def q60_rename_apply(spark, d):
     return P.files(spark, d).where(F.col("content").contains("the")).select("file", T.rename_token(F.col("content"), "the", "Renamed").alias("content"))
+
+
+# The same reports over all edges and rows, which the projections above cut as the survey's catalogue has them.
+
+REF_ALL = REF.replace(" WHERE l_returnflag = 'R' AND l_linenumber = 1 AND l_quantity < 10", "")
+MET_ALL = MET.replace(" WHERE l_quantity < 3", "")
+EDGE_ALL = EDGE.replace(f" WHERE r <= {P.EDGES_PER_PACKAGE}", "")
+
+
+@query(DEGREES.replace(EDGE, EDGE_ALL) + " SELECT node AS package, incoming AS incoming_deps, outgoing AS outgoing_deps FROM deg")
+def q61_coupling_all_edges(spark, d):
+    deg = G.degrees(P.package_edges(spark, d, None))
+    return deg.select(F.col("node").alias("package"), F.col("incoming").alias("incoming_deps"), F.col("outgoing").alias("outgoing_deps"))
+
+
+@query(f"WITH {SYM}, {REF_ALL} SELECT sym.symbol_id, name, count(ref.symbol_id) AS reference_count, count(DISTINCT ref.package) AS ref_packages FROM sym LEFT JOIN ref ON sym.symbol_id = ref.symbol_id GROUP BY 1, 2")
+def q62_reference_counts_all_rows(spark, d):
+    return S.reference_counts(P.symbols(spark, d), P.references(spark, d, whole=True))
+
+
+@query(f"WITH {SYM}, {REF_ALL} SELECT sym.package AS src_package, ref.package AS dst_package, count(*) AS refs FROM ref JOIN sym USING (symbol_id) WHERE sym.package <> ref.package GROUP BY 1, 2")
+def q63_cross_package_edges_all_rows(spark, d):
+    return S.cross_package_edges(P.symbols(spark, d), P.references(spark, d, whole=True))
+
+
+@query(f"WITH RECURSIVE {EDGE_ALL}, reach AS (SELECT src, dst FROM edge UNION SELECT r.src, e.dst FROM reach r JOIN edge e ON r.dst = e.src), m AS (SELECT a.src AS node, min(a.dst) AS cycle FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY 1) SELECT cycle, string_agg(node, ',' ORDER BY node) AS members, count(*) AS size FROM m GROUP BY cycle")
+def q64_cycles_all_edges(spark, d):
+    return G.cycles(P.package_edges(spark, d, None))
+
+
+@query(METRICS.replace("WITH", "WITH RECURSIVE", 1).replace(EDGE, EDGE_ALL) + ", reach AS (SELECT src, dst FROM edge UNION SELECT r.src, e.dst FROM reach r JOIN edge e ON r.dst = e.src) SELECT m.*, (SELECT count(*) FROM edge e WHERE EXISTS (SELECT 1 FROM reach r WHERE r.src = e.dst AND r.dst = e.src)) AS cyclical_edges FROM m")
+def q65_import_metrics_all_edges(spark, d):
+    return G.import_metrics(P.package_edges(spark, d, None), P.table(spark, d, "nation").select(F.col("n_name").alias("node")))
+
+
+@query(SHARED.replace(REF, REF_ALL) + " SELECT * FROM sh")
+def q66_shared_symbols_all_rows(spark, d):
+    return S.shared(P.references(spark, d, whole=True))
+
+
+@query(f"WITH {MET_ALL} SELECT type, count(DISTINCT method) AS methods FROM met GROUP BY type HAVING count(DISTINCT method) = (SELECT count(DISTINCT p_type) FROM part)")
+def q67_interface_impls_all_rows(spark, d):
+    return S.implementations(P.methods(spark, d, whole=True), P.table(spark, d, "part").select(F.col("p_type").alias("method")))
+
+
+@query(f"WITH {EDGE_ALL}, {LAY} SELECT src, dst, a.tier AS src_tier, b.tier AS dst_tier FROM edge JOIN lay a ON src = a.package JOIN lay b ON dst = b.package WHERE b.tier > a.tier AND a.tier >= 0")
+def q68_backwards_deps_all_edges(spark, d):
+    return G.backwards(P.package_edges(spark, d, None), P.layers(spark, d)).select("src", "dst", "src_tier", "dst_tier")

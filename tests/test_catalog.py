@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from codeloom import catalog
+from codeloom import catalog, go_catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -25,14 +25,14 @@ def plain(v):
 
 
 def test_every_query_has_sql():
-    assert set(catalog.SQL) == set(catalog.QUERIES) and len(catalog.QUERIES) == 60
+    assert set(catalog.SQL) == set(catalog.QUERIES) and len(catalog.QUERIES) == 68
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES | go_catalog.QUERIES))
 def test_query_equals_sql(spark, duck, name):
-    df = catalog.QUERIES[name](spark, SF)
-    found = duck.sql(catalog.SQL[name])
+    df = (catalog.QUERIES | go_catalog.QUERIES)[name](spark, SF)
+    found = duck.sql((catalog.SQL | go_catalog.SQL)[name])
     order = sorted(df.columns)
     assert order == sorted(found.columns)
     got = sorted(tuple(plain(r[c]) for c in order) for r in df.collect())
