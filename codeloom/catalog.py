@@ -264,7 +264,7 @@ def q37_conflict_rule_b(spark, d):
     return C.conflicts(P.changes(spark, d))
 
 
-@query(f"WITH {CHG}, f AS (SELECT *, CASE WHEN start > max(\"end\") OVER (PARTITION BY file ORDER BY start, \"end\", seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 WHEN row_number() OVER (PARTITION BY file ORDER BY start, \"end\", seq) = 1 THEN 1 ELSE 0 END AS new FROM chg), i AS (SELECT *, sum(new) OVER (PARTITION BY file ORDER BY start, \"end\", seq) AS island FROM f) SELECT file, min(start) AS start, max(\"end\") AS \"end\", count(*) AS changes FROM i GROUP BY file, island")
+@query(f"WITH {CHG}, f AS (SELECT *, CASE WHEN start > max(\"end\") OVER (PARTITION BY file ORDER BY start, \"end\", seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 WHEN row_number() OVER (PARTITION BY file ORDER BY start, \"end\", seq) = 1 THEN 1 ELSE 0 END AS new FROM chg), i AS (SELECT *, sum(new) OVER (PARTITION BY file ORDER BY start, \"end\", seq) AS island FROM f) SELECT file, min(start) AS start, max(\"end\") AS \"end\", count(*) AS changes, string_agg(description, '; ' ORDER BY start, \"end\", seq) AS description FROM i GROUP BY file, island")
 def q38_merge_changes(spark, d):
     return C.merged(P.changes(spark, d))
 

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.golang import analyze, diagnostics, facts, resolve, scope
+from codeloom.operators import graph
 from codeloom.operators import imports as imports_of
-from codeloom.plans import apply, execute, extract, facades, fixes, move, refactor, signature, wide
+from codeloom.plans import apply, changes, execute, extract, facades, fixes, move, refactor, signature, wide
 from codeloom.sources import workspace
 from codeloom.sources.workspace import Workspace
 
@@ -692,3 +693,78 @@ def g66_steps(ws):
     steps = '[{"operation": "rename_symbol", "package": ".", "old": "Double", "new": "Twofold"}, {"operation": "safe_delete", "package": ".", "name": "unused"}, {"operation": "clean_aliases"}]'
     new, _ = execute.run_steps(ws, execute.parsed_steps(steps), refactor.OPERATIONS)
     return new.files.where("file_path = 'main.go'").select(F.col("file_path").alias("file"), F.decode("content", "UTF-8").alias("content"))
+
+
+# Renaming a function and deleting it meet at its name.
+@query(WORK, "file VARCHAR, a_step BIGINT, b_step BIGINT, conflicts BIGINT", [("main.go", 0, 1, 1)])
+def g67_step_conflicts(ws):
+    plan = refactor.batch(ws, [("rename_symbol", {"package": ".", "old": "unused", "new": "used"}), ("safe_delete", {"package": ".", "name": "unused"})])
+    return changes.step_conflicts(plan)
+
+
+@query(LOOP, "total_packages BIGINT, external_packages BIGINT, total_imports BIGINT, max_imports BIGINT, cyclical_imports BIGINT", [(4, 0, 6, 3, 3)])
+def g68_import_metrics(ws):
+    return resolve.import_metrics(ws)
+
+
+@query(DEPOT, "package VARCHAR, internal_imports BIGINT, external_imports BIGINT, imported_by BIGINT", [(".", 1, 2, 0), ("report", 1, 0, 0), ("stock", 0, 0, 2)])
+def g69_package_metrics(ws):
+    return resolve.package_metrics(ws)
+
+
+@query(LOOP, "src VARCHAR, dst VARCHAR", [("c", "d")])
+def g70_would_create_cycle(ws):
+    edges = facts.import_edges(ws).select("src", "dst")
+    return graph.would_create_cycle(edges, ws.nodes.sparkSession.createDataFrame([("c", "d"), ("d", "e"), ("e", "a")], "src string, dst string"))
+
+
+@query(DEPOT, "node VARCHAR, level BIGINT, place BIGINT", [(".", 1, 1), ("report", 1, 2), ("stock", 0, 3)])
+def g71_topological_order(ws):
+    return graph.topological_order(facts.import_edges(ws).select("src", "dst"))
+
+
+@query(DEPOT, "interface_dir VARCHAR, interface VARCHAR", [("stock", "Counter")])
+def g72_interfaces_for_method(ws):
+    return resolve.interfaces_for_method(ws, "stock", "Shelf", "Count")
+
+
+@query(DEPOT, "name VARCHAR, type_dir VARCHAR, type VARCHAR", [("c", "stock", "Counter")])
+def g73_identifier_type(ws):
+    return resolve.identifier_type(ws, "main.go", DEPOT["main.go"].index("c.Count()"))
+
+
+@query(DEPOT, "kind VARCHAR, place BIGINT", [("block", 1), ("function", 2), ("file", 3)])
+def g74_scope_at(ws):
+    rows = scope.scope_at(ws, "main.go", DEPOT["main.go"].index("show(s)"))
+    return rows.select("kind", F.row_number().over(Window.orderBy(F.col("end") - F.col("start"), F.desc("scope_id"))).alias("place"))
+
+
+@query(DEPOT, "name VARCHAR, level VARCHAR", [("s", "local"), ("limit", "package"), ("main", "package"), ("twice", "package"), ("show", "package"), ("orphan", "package"), ("fmt", "import"), ("os", "import"), ("stock", "import")])
+def g75_visible_names(ws):
+    return scope.visible(ws, "main.go", DEPOT["main.go"].index("show(s)"))
+
+
+@query(CHECKS, "fix VARCHAR, file VARCHAR, line BIGINT, edits BIGINT", [("fix_boolean_branching", "checks.go", 9, 3), ("fix_deep_if_else", "checks.go", 37, 1), ("fix_error_wrapping", "checks.go", 14, 2), ("fix_if_init", "checks.go", 16, 1)])
+def g76_fix_results(ws):
+    return fixes.results(ws)
+
+
+@query(DEPOT, "path VARCHAR, importers BIGINT", [("fmt", 1), ("os", 1)])
+def g77_external_dependencies(ws):
+    return resolve.external_dependencies(ws)
+
+
+@changed(WORK, files={"main.go": [("\tx := 10\n\ty := 20\n\tsum := x + y\n\tfmt.Println(sum)\n\treturn Double(x) + rate\n", "\treturn inner()\n"), ("func main() {", "func inner() int {\n\tx := 10\n\ty := 20\n\tsum := x + y\n\tfmt.Println(sum)\n\treturn Double(x) + rate\n}\n\nfunc main() {")]})
+def g78_extract_returning(ws):
+    return extract.extract_function(ws, "main.go", 17, 21, "inner")
+
+
+@query(WORK, "problem VARCHAR, report VARCHAR", [("SymbolNotFound", "SymbolNotFound: symbol 'Grete' not found in tools\n  Suggestions:\n    - Did you mean 'Greet' (Function in .)?\n    - Did you mean 'rate' (Constant in .)?\n    - Available: Limit, Up")])
+def g79_formatted_error(ws):
+    rows = diagnostics.resolution_failure(ws, "tools", "Grete")
+    return diagnostics.formatted(rows).crossJoin(rows.select("problem"))
+
+
+@query(WORK, "line BIGINT, text VARCHAR", [(10, "10: const rate = 7"), (11, "11: "), (12, "12: func Double(n int) int {")])
+def g80_file_lines(ws):
+    return workspace.numbered_lines(ws, "main.go", 10, 12)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from dataclasses import dataclass
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +22,6 @@ SEVERITIES = ("critical", "warning", "info")
 # Parameter names that stand for an environment, and messages that say nothing.
 ENV_NAMES = tuple("istest isprod isproduction isdev isdevelopment islocal isstaging isdebug testmode devmode debugmode prodmode production debug testing".split())
 GENERIC = ("", "error", "err", "failed", "failure", "fail", "something went wrong", "unexpected error")
-#: Nesting of conditions beyond which a file is refused rather than read in part.
-MOST_OPERATORS = 10_000
 
 
 def _in_code(ws: Workspace) -> DataFrame:
@@ -129,27 +131,68 @@ def error_wrapping(ws: Workspace, severity: str = "critical") -> DataFrame:
     return rows.select(F.col("file_path").alias("file"), "line", F.col("col").alias("column"), F.col("function").alias("function_name"), "violation_type", "current_code", hint.alias("context_suggestion"), "severity", F.col("r_start").alias("start"), F.col("r_end").alias("end"), fixed.alias("new_text"))
 
 
+@dataclass
+class Nest:
+    """An if statement with else, and what nests in it."""
+
+    node: dict
+    depth: int
+    happy_depth: int
+    else_lines: int
+    error_branches: int
+
+
+def nests(nodes: list[dict], most: int, else_lines: int) -> list[Nest]:
+    """The outermost if statements of a function that nest deeper than `most` and have `else_lines` lines of else. An if
+    nests in another as a statement of its body or of its else block, or as its else, and counts if it has an else
+    itself; lines and branches that return are counted along bodies and chains of else-if."""
+    kids: dict[int, list[dict]] = defaultdict(list)
+    for n in nodes:
+        kids[n["parent_id"]].append(n)
+    edge = lambda n, e: next((k for k in kids[n["node_id"]] if k["edge"] == e), None)
+    inner = lambda block, kind: [k for k in kids[block["node_id"]] if k["edge"] == "stmt" and k["kind"] == kind] if block is not None else []
+    size = lambda block: block["end_line"] - block["line"] + 1
+    found: dict[int, Nest] = {}
+    # Nodes are numbered from the outside in, so what nests in an if is known before it.
+    for n in sorted((n for n in nodes if n["kind"] == "IfStmt"), key=lambda n: -n["node_id"]):
+        other, body = edge(n, "else"), edge(n, "body")
+        in_body = [found[k["node_id"]] for k in inner(body, "IfStmt")]
+        chained = found[other["node_id"]] if other is not None and other["kind"] == "IfStmt" else None
+        block = other if other is not None and chained is None else None
+        counted = [x for x in [*in_body, *([chained] if chained else []), *(found[k["node_id"]] for k in inner(block, "IfStmt"))] if edge(x.node, "else") is not None]
+        lines = 0
+        if other is not None:
+            lines = (size(block) if block else size(edge(other, "body")) + chained.else_lines) + sum(x.else_lines for x in in_body)
+        errors = int(bool(inner(block, "ReturnStmt"))) + (chained.error_branches if chained else 0) + sum(x.error_branches for x in in_body)
+        happy = [x.happy_depth for x in in_body if edge(x.node, "else") is not None]
+        found[n["node_id"]] = Nest(n, 1 + max((x.depth for x in counted), default=0), 1 + max(happy, default=0), lines, errors)
+    out: list[Nest] = []
+    for _, nest in sorted(found.items()):
+        n = nest.node
+        hit = edge(n, "else") is not None and nest.depth > most and nest.else_lines >= else_lines
+        if hit and not (out and n["start"] < out[-1].node["end"]):
+            out.append(nest)
+    return out
+
+
 def deep_if_else(ws: Workspace, most: int = MAX_NESTING, else_lines: int = MIN_ELSE_LINES) -> DataFrame:
-    """If statements with else that nest deeper than `most` such ifs: file, line, column, function_name, nesting_depth,
-    error_branches, complexity_reduction_estimate. Only the outermost of a nest is reported."""
-    nodes = _in_code(ws)
-    other = nodes.where("edge = 'else'").select("file_path", F.col("parent_id").alias("node_id"), F.col("node_id").alias("else_id"), F.col("kind").alias("else_kind"), (F.col("end_line") - F.col("line") + 1).alias("lines"))
-    ifs = nodes.where("kind = 'IfStmt'").join(other, ["file_path", "node_id"]).select("file_path", "node_id", "line", "col", "func_id", "else_id", "else_kind", "lines", "start", "end")
-    returning = nodes.where("kind = 'ReturnStmt'").select("file_path", F.col("parent_id").alias("else_id")).distinct().withColumn("returns", F.lit(1))
-    ifs = ifs.join(returning, ["file_path", "else_id"], "left")
-    # Ifs with else that lie in one another, by their spans within a function.
-    inner = ifs.select("file_path", "func_id", F.col("node_id").alias("in_id"), F.col("start").alias("in_start"), F.col("end").alias("in_end"), F.col("lines").alias("in_lines"), F.coalesce("returns", F.lit(0)).alias("in_returns"))
-    pairs = ifs.join(inner, ["file_path", "func_id"]).where("in_start >= start and in_end <= end")
-    above = pairs.groupBy("file_path", "in_id").agg(F.count("*").alias("level"))
-    pairs = pairs.join(above, ["file_path", "in_id"])
-    own = above.select("file_path", F.col("in_id").alias("node_id"), F.col("level").alias("own_level"))
-    deep = pairs.groupBy("file_path", "func_id", "node_id", "line", "col", "start", "end").agg(F.max("level").alias("lowest"), F.sum("in_lines").alias("all_lines"), F.sum("in_returns").alias("error_branches")).join(own, ["file_path", "node_id"])
-    deep = deep.withColumn("depth", F.col("lowest") - F.col("own_level") + 1).where((F.col("depth") > most) & (F.col("all_lines") >= else_lines))
-    outer = deep.select("file_path", "func_id", F.col("node_id").alias("o_id"), F.col("start").alias("o_start"), F.col("end").alias("o_end"))
-    hidden = deep.join(outer, ["file_path", "func_id"]).where("o_id <> node_id and o_start <= start and end <= o_end").select("file_path", "node_id").distinct()
-    rows = deep.join(hidden, ["file_path", "node_id"], "left_anti").join(_named(ws), ["file_path", "func_id"], "left")
+    """If statements that nest deeper than `most`: file, line, column, function_name, nesting_depth, happy_path_depth,
+    error_branches, complexity_reduction_estimate, suggestion. Only functions with enough else branches are looked into,
+    each in one piece; of a nest the outermost is reported."""
+    nodes = _in_code(ws).where("func_id is not null")
+    enough = nodes.where("edge = 'else'").groupBy("file_path", "func_id").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    rows = nodes.where("kind in ('IfStmt', 'BlockStmt', 'ReturnStmt')").join(enough, ["file_path", "func_id"], "left_semi")
+    rows = rows.select("file_path", "func_id", "node_id", "parent_id", "edge", "kind", "start", "end", "line", "col", "end_line")
+
+    def find(part: pd.DataFrame) -> pd.DataFrame:
+        file, func = part["file_path"].iloc[0], part["func_id"].iloc[0]
+        out = [(file, func, x.node["line"], x.node["col"], x.depth, x.happy_depth, x.error_branches) for x in nests(part.to_dict("records"), most, else_lines)]
+        return pd.DataFrame(out, columns=["file_path", "func_id", "line", "col", "depth", "happy", "errors"])
+
+    found = rows.groupBy("file_path", "func_id").applyInPandas(find, "file_path string, func_id int, line int, col int, depth int, happy int, errors int")
+    found = found.join(_named(ws), ["file_path", "func_id"], "left")
     gain = F.floor((F.col("depth") - 1) * 100 / F.col("depth")).cast("int")
-    return rows.select(F.col("file_path").alias("file"), "line", F.col("col").alias("column"), F.col("function").alias("function_name"), F.col("depth").alias("nesting_depth"), "error_branches", gain.alias("complexity_reduction_estimate"), F.lit("return early instead of nesting").alias("suggestion"))
+    return found.select(F.col("file_path").alias("file"), "line", F.col("col").alias("column"), F.col("function").alias("function_name"), F.col("depth").alias("nesting_depth"), F.col("happy").alias("happy_path_depth"), F.col("errors").alias("error_branches"), gain.alias("complexity_reduction_estimate"), F.lit("return early instead of nesting").alias("suggestion"))
 
 
 def environment_booleans(ws: Workspace, least: int = MIN_DEPTH) -> DataFrame:

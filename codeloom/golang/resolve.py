@@ -171,3 +171,27 @@ def shortened(kind: Column, own: str, aliases: dict[str, str]) -> Column:
     for path, alias in sorted(aliases.items(), key=lambda x: -len(x[0])):
         out = F.regexp_replace(out, rf"(?<![\w./-]){quoted(path)}\.", f"{alias}.")
     return F.regexp_replace(out, r"(?<![\w./-])(?:[\w.~-]+/)+([\w-]+)\.", "$1.")
+
+
+def import_metrics(ws: Workspace) -> DataFrame:
+    """One row over the tree's imports outside tests: total_packages, external_packages (distinct paths that lead out of
+    the tree), total_imports (distinct pairs of a package and a path), average_imports, max_imports and
+    cyclical_imports (members of import cycles)."""
+    rows = facts.imports(ws).join(ws.files.where(~F.col("is_test")).select("file_path", "dir"), "file_path").select("dir", "path").distinct()
+    inside = ws.packages.select(F.col("import_path").alias("path"), F.lit(True).alias("own"))
+    rows = cut(rows.join(inside, "path", "left"))
+    each = ws.packages.select("dir").join(rows.groupBy("dir").agg(F.count("*").alias("n")), "dir", "left").fillna(0)
+    counts = each.agg(F.count("*").alias("total_packages"), F.sum("n").alias("total_imports"), F.round(F.avg("n"), 6).alias("average_imports"), F.max("n").alias("max_imports"))
+    outside = rows.where("own is null").agg(F.countDistinct("path").alias("external_packages"))
+    loops = cycle_report(ws).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("cyclical_imports"))
+    return counts.crossJoin(outside).crossJoin(loops).select("total_packages", "external_packages", "total_imports", "average_imports", "max_imports", "cyclical_imports")
+
+
+def package_metrics(ws: Workspace) -> DataFrame:
+    """package, internal_imports, external_imports, imported_by: distinct paths outside tests."""
+    rows = facts.imports(ws).join(ws.files.where(~F.col("is_test")).select("file_path", "dir"), "file_path").select("dir", "path").distinct()
+    to = ws.packages.select(F.col("import_path").alias("path"), F.col("dir").alias("target"))
+    rows = cut(rows.join(to, "path", "left"))
+    out = rows.groupBy("dir").agg(F.count("target").alias("internal_imports"), F.count_if(F.col("target").isNull()).alias("external_imports"))
+    into = rows.where("target is not null").groupBy(F.col("target").alias("dir")).agg(F.countDistinct("dir").alias("imported_by"))
+    return ws.packages.select("dir").join(out, "dir", "left").join(into, "dir", "left").fillna(0).withColumnRenamed("dir", "package")

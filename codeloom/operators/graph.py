@@ -28,6 +28,7 @@ def _fits(edges: DataFrame) -> bool:
 def _in_task(edges: DataFrame, find: Callable[[Adjacent], Iterator[tuple]], schema: str) -> DataFrame:
     """The rows that `find` makes of all edges, by source, in one task."""
     names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [{"string": pa.string(), "long": pa.int64()}[x.split()[1]] for x in schema.split(", ")]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: Adjacent = {}
@@ -37,7 +38,7 @@ def _in_task(edges: DataFrame, find: Callable[[Adjacent], Iterator[tuple]], sche
                 out.setdefault(b, [])
         found = list(find(out))
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names)
 
     return edges.select("src", "dst").repartition(1).mapInArrow(run, schema)
 
@@ -175,8 +176,8 @@ def would_create_cycle(edges: DataFrame, candidates: DataFrame) -> DataFrame:
     return candidates.join(back, ["src", "dst"], "left_semi")
 
 
-def _levels(out: Adjacent) -> Iterator[tuple[str, int]]:
-    """(node, level): a node is settled once all that it leads to is."""
+def _levels(out: Adjacent) -> Iterator[tuple[str, int | None]]:
+    """(node, level): a node is settled once all that it leads to is; those that never are have no level."""
     into: Adjacent = {n: [] for n in out}
     waiting = {n: len(ends) for n, ends in out.items()}
     for n, ends in out.items():
@@ -190,15 +191,18 @@ def _levels(out: Adjacent) -> Iterator[tuple[str, int]]:
             waiting[above] -= 1
             if not waiting[above]:
                 todo.append(above)
-    if len(todo) < len(out):
-        raise ValueError("the graph has a cycle")
-    yield from level.items()
+    yield from ((n, level[n] if not waiting[n] else None) for n in out)
 
 
 def levels(edges: DataFrame) -> DataFrame:
     """(node, level): leaves are 0, others one above their highest dependency; a cycle is an error."""
     edges = cut(edges.select("src", "dst").distinct())
-    return cut(_in_task(edges, _levels, "node string, level long")) if _fits(edges) else _levels_in_rounds(edges)
+    if not _fits(edges):
+        return _levels_in_rounds(edges)
+    found = cut(_in_task(edges, _levels, "node string, level long"))
+    if found.where("level is null").limit(1).count():
+        raise ValueError("the graph has a cycle")
+    return found
 
 
 def _levels_in_rounds(edges: DataFrame) -> DataFrame:

@@ -42,12 +42,17 @@ def innermost(positions: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def merged(changes: DataFrame) -> DataFrame:
-    """Overlapping or adjacent changes of a file as one: islands between gaps."""
+    """Overlapping or adjacent changes of a file as one, islands between gaps: file, start, end, changes, and where
+    changes have descriptions these, joined in the changes' order."""
     order = Window.partitionBy("file").orderBy("start", "end", "seq")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     flagged = changes.withColumn("new", F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0))
     islands = flagged.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return islands.groupBy("file", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("changes")).drop("island")
+    made = [F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("changes")]
+    if "description" in changes.columns:
+        told = F.array_sort(F.collect_list(F.struct("start", "end", "seq", "description")))
+        made.append(F.array_join(F.transform(told, lambda x: x["description"]), "; ").alias("description"))
+    return islands.groupBy("file", "island").agg(*made).drop("island")
 
 
 def apply_order(changes: DataFrame) -> DataFrame:
@@ -70,3 +75,11 @@ def line_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     solid = lambda df, name: df.where(F.trim("text") != "").select("file", "line", F.col("text").alias(name))
     both = solid(old, "old_text").join(solid(new, "new_text"), ["file", "line"], "full_outer")
     return both.where(~F.col("old_text").eqNullSafe(F.col("new_text")))
+
+
+def step_conflicts(changes: DataFrame) -> DataFrame:
+    """file, a_step, b_step, conflicts: how many changes (file, start, end, step) of two steps of a batch overlap."""
+    numbered = changes.withColumn("seq", F.xxhash64("file", "start", "end", "step", "new_text") if "new_text" in changes.columns else F.col("seq"))
+    step = lambda end: numbered.select("file", F.col("seq").alias(f"{end}_seq"), F.col("step").alias(f"{end}_step")).distinct()
+    rows = overlaps(numbered).join(step("a"), ["file", "a_seq"]).join(step("b"), ["file", "b_seq"]).where("a_step <> b_step")
+    return rows.groupBy("file", F.least("a_step", "b_step").alias("a_step"), F.greatest("a_step", "b_step").alias("b_step")).agg(F.count("*").alias("conflicts"))

@@ -61,7 +61,7 @@ def by_function(ws: Workspace, chosen: DataFrame, edits: Callable[[Function], It
     """(file_path, start, end, old_text, new_text) that `edits` yields for each chosen function (file_path, func_id).
     A function's nodes meet in one task, its file's content once among them."""
     nodes = ws.nodes.join(chosen.distinct(), ["file_path", "func_id"], "left_semi")
-    nodes = nodes.select("file_path", "func_id", "node_id", "parent_id", "edge", "kind", "tok", "start", "end", "line", "text")
+    nodes = nodes.select("file_path", "func_id", "node_id", "parent_id", "edge", "kind", "tok", "start", "end", "line", "col", "end_line", "text")
     head = ws.files.select("file_path", "content").withColumn("kind", F.lit("FuncDecl"))
     rows = nodes.join(head, ["file_path", "kind"], "left")
 
@@ -145,14 +145,12 @@ def fix_deep_if_else(ws: Workspace, most: int = analyze.MAX_NESTING, else_lines:
     its else block, and what the innermost if does follows them. Chains of another form stay."""
 
     def edits(f: Function) -> Iterator[Edit]:
-        done = -1
-        for n in f.nodes:
-            if n["kind"] != "IfStmt" or n["edge"] != "stmt" or n["start"] < done:
-                continue
+        for nest in analyze.nests(f.nodes, most, else_lines):
+            n = nest.node
             guards, happy = chain(f, n)
-            if len(guards) <= most:
+            if not guards or n["edge"] != "stmt":
                 continue
-            done, lead = n["end"], f.indent(n["start"])
+            lead = f.indent(n["start"])
             out = "".join(f"if {cond} {{\n{_indented(f, block, lead)}{lead}}}\n{lead}" for cond, block in guards)
             yield n["start"], n["end"], out + (_indented(f, happy, lead).replace(f"\n{lead}\t", f"\n{lead}").removeprefix(f"{lead}\t").rstrip("\n"))
 

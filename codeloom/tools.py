@@ -25,6 +25,7 @@ REPORTS: dict[str, Tool] = analyze.ANALYZERS | {
     "implementations": resolve.implementations,
     "layer_breaks": resolve.layer_breaks,
     "method_sets": resolve.method_sets,
+    "package_metrics": resolve.package_metrics,
     "references": facts.references,
     "external_dependencies": resolve.external_dependencies,
     "facades": facades.detected,
@@ -32,6 +33,7 @@ REPORTS: dict[str, Tool] = analyze.ANALYZERS | {
     "identifier_type": resolve.identifier_type,
     "impact": execute.impact,
     "import_error": diagnostics.import_error,
+    "import_metrics": resolve.import_metrics,
     "interfaces_for_method": resolve.interfaces_for_method,
     "issues": lambda ws, plan: execute.checked(ws, plan)[0],
     "resolution_failure": diagnostics.resolution_failure,

@@ -425,3 +425,49 @@ def test_forced_delete(spark):
     bad = made(spark, {"main.go": text + "\nvar y = old()\n"})
     with pytest.raises(RefactorError, match="outside statements"):
         tools.run(bad, "safe_delete", package=".", name="old", force=True)
+
+
+NESTS = """package p
+
+func loops(a int) int {
+	if a > 0 {
+		for {
+			if a > 1 {
+				if a > 2 {
+					return 1
+				} else {
+					return 2
+				}
+			} else {
+				return 3
+			}
+		}
+	} else {
+		return 4
+	}
+}
+
+func chained(a int) int {
+	if a > 0 {
+		return 1
+	} else if a > 1 {
+		return 2
+	} else if a > 2 {
+		return 3
+	} else {
+		if a > 3 {
+			a++
+		} else {
+			a--
+		}
+	}
+	return a
+}
+"""
+
+
+def test_what_counts_as_nesting(spark):
+    """A loop between two ifs parts them; else-if and else blocks nest."""
+    (r,) = analyze.deep_if_else(made(spark, {"p.go": NESTS})).collect()
+    assert (r.function_name, r.line, r.nesting_depth, r.happy_path_depth, r.error_branches, r.complexity_reduction_estimate) == ("chained", 22, 4, 1, 0, 75)
+    assert analyze.deep_if_else(made(spark, {"p.go": NESTS}), most=1).count() == 2
