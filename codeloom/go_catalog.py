@@ -151,21 +151,21 @@ func Double(n int) int {
 }
 
 func run() int {
-	x := 10
-	y := 20
-	sum := x + y
-	fmt.Println(sum)
+	x := 12
+	y := 30
+	total := x - y
+	fmt.Println(total)
 	return Double(x) + rate
 }
 
 func main() {
 	c := &calc.Calc{}
 	c.Add(5)
-	fmt.Println(run(), c.Square(4), tools.Up("a"), Greet("Bo"))
+	fmt.Println(run(), c.Cube(4), tools.Up("a"), Sign("Bo"))
 }
 
-func Greet(name string) string {
-	text := "Hello, " + name
+func Sign(name string) string {
+	text := "Yours, " + name
 	return text
 }
 
@@ -184,12 +184,12 @@ type Calc struct {
 }
 
 func (c *Calc) Add(n int) {
-	sum := n + 1
-	c.value += sum
+	total := n + 1
+	c.value += total
 }
 
-func (c *Calc) Square(n int) int {
-	return n * n
+func (c *Calc) Cube(n int) int {
+	return n * n * n
 }
 """,
     "tools/tools.go": """package tools
@@ -505,9 +505,9 @@ def g31_rename_symbol(ws):
     return refactor.rename_symbol(ws, ".", "Double", "Twofold")
 
 
-@changed(WORK, files={"main.go": [("c.Square(", "c.Power(")], "calc/calc.go": [(") Square(", ") Power(")]})
+@changed(WORK, files={"main.go": [("c.Cube(", "c.Power(")], "calc/calc.go": [(") Cube(", ") Power(")]})
 def g32_rename_method(ws):
-    return refactor.rename_symbol(ws, "calc", "Square", "Power", "Calc")
+    return refactor.rename_symbol(ws, "calc", "Cube", "Power", "Calc")
 
 
 @changed(WORK, files={"main.go": [("c.Add(", "c.Plus(")], "calc/calc.go": [("Add(n int)", "Plus(n int)")]})
@@ -520,7 +520,7 @@ def g34_rename_package(ws):
     return refactor.rename_package(ws, "calc", "count")
 
 
-@changed(WORK, files={"main.go": [("func Double(n int) int {\n\treturn n * 2\n}\n\n", ""), ("Double(x)", "calc.Double(x)")], "calc/calc.go": [("\treturn n * n\n}\n", "\treturn n * n\n}\n\n// Double was moved from example.org/work\nfunc Double(n int) int {\n\treturn n * 2\n}\n")]})
+@changed(WORK, files={"main.go": [("func Double(n int) int {\n\treturn n * 2\n}\n\n", ""), ("Double(x)", "calc.Double(x)")], "calc/calc.go": [("\treturn n * n * n\n}\n", "\treturn n * n * n\n}\n\n// Double was moved from example.org/work\nfunc Double(n int) int {\n\treturn n * 2\n}\n")]})
 def g35_move_symbol(ws):
     return move.move_symbol_to(ws, ".", "Double", "calc")
 
@@ -535,12 +535,12 @@ def g37_move_dir(ws):
     return wide.move_dir(ws, "calc", "lib")
 
 
-@changed(WORK, files={"main.go": [("\tsum := x + y\n\tfmt.Println(sum)\n", "\tcomputeSum(x, y)\n"), ("\treturn Double(x) + rate\n}\n", "\treturn Double(x) + rate\n}\n\nfunc computeSum(x int, y int) {\n\tsum := x + y\n\tfmt.Println(sum)\n}\n")]})
+@changed(WORK, files={"main.go": [("\ttotal := x - y\n\tfmt.Println(total)\n", "\tshowTotal(x, y)\n"), ("\treturn Double(x) + rate\n}\n", "\treturn Double(x) + rate\n}\n\nfunc showTotal(x int, y int) {\n\ttotal := x - y\n\tfmt.Println(total)\n}\n")]})
 def g38_extract_function(ws):
-    return extract.extract_function(ws, "main.go", 19, 20, "computeSum")
+    return extract.extract_function(ws, "main.go", 19, 20, "showTotal")
 
 
-@changed(WORK, files={"calc/calc.go": [("\tsum := n + 1\n\tc.value += sum\n}\n", "\tc.grow(n)\n}\n\nfunc (c *Calc) grow(n int) {\n\tsum := n + 1\n\tc.value += sum\n}\n")]})
+@changed(WORK, files={"calc/calc.go": [("\ttotal := n + 1\n\tc.value += total\n}\n", "\tc.grow(n)\n}\n\nfunc (c *Calc) grow(n int) {\n\ttotal := n + 1\n\tc.value += total\n}\n")]})
 def g39_extract_method(ws):
     return extract.extract_method(ws, "calc/calc.go", 12, 13, "grow")
 
@@ -550,12 +550,12 @@ def g40_extract_variable(ws):
     return extract.extract_variable(ws, "main.go", 21, "Double(x)", "big")
 
 
-@changed(WORK, files={"main.go": [("func run() int {\n\tx := 10\n", "const ten = 10\n\nfunc run() int {\n\tx := ten\n")]})
+@changed(WORK, files={"main.go": [("func run() int {\n\tx := 12\n", "const dozen = 12\n\nfunc run() int {\n\tx := dozen\n")]})
 def g41_extract_constant(ws):
-    return refactor.extract_constant(ws, "main.go", "run", "10", "ten")
+    return refactor.extract_constant(ws, "main.go", "run", "12", "dozen")
 
 
-@changed(WORK, files={"calc/shape.go": "package calc\n\ntype Shape interface {\n\tAdd(n int)\n\tSquare(n int) int\n}\n"})
+@changed(WORK, files={"calc/shape.go": "package calc\n\ntype Shape interface {\n\tAdd(n int)\n\tCube(n int) int\n}\n"})
 def g42_extract_interface(ws):
     return refactor.extract_interface(ws, "calc", "Calc", "Shape", "calc/shape.go")
 
@@ -565,14 +565,14 @@ def g43_inline_function(ws):
     return extract.inline_function(ws, ".", "Double")
 
 
-@changed(WORK, files={"main.go": [("c.Square(4)", "4 * 4")]})
+@changed(WORK, files={"main.go": [("c.Cube(4)", "4 * 4 * 4")]})
 def g44_inline_method(ws):
-    return extract.inline_method(ws, "calc", "Calc", "Square")
+    return extract.inline_method(ws, "calc", "Calc", "Cube")
 
 
-@changed(WORK, files={"main.go": [('\ttext := "Hello, " + name\n\treturn text\n', '\treturn ("Hello, " + name)\n')]})
+@changed(WORK, files={"main.go": [('\ttext := "Yours, " + name\n\treturn text\n', '\treturn ("Yours, " + name)\n')]})
 def g45_inline_variable(ws):
-    return refactor.inline_variable(ws, "main.go", "Greet", "text")
+    return refactor.inline_variable(ws, "main.go", "Sign", "text")
 
 
 @changed(WORK, files={"main.go": [("const rate = 7", ""), ("+ rate", "+ 7")]})
@@ -580,19 +580,19 @@ def g46_inline_constant(ws):
     return extract.inline_constant(ws, ".", "rate")
 
 
-@changed(WORK, files={"main.go": [('Greet("Bo")', 'Greet("Hi", "Bo")'), ("func Greet(name string) string", "func Greet(greeting string, name string) string")]})
+@changed(WORK, files={"main.go": [('Sign("Bo")', 'Sign("Dear", "Bo")'), ("func Sign(name string) string", "func Sign(prefix string, name string) string")]})
 def g47_change_signature(ws):
-    return signature.change_signature(ws, ".", "Greet", [("greeting", "string"), ("name", "string")], defaults={"greeting": '"Hi"'})
+    return signature.change_signature(ws, ".", "Sign", [("prefix", "string"), ("name", "string")], defaults={"prefix": '"Dear"'})
 
 
-@changed(WORK, files={"calc/calc.go": [("Add(n int)", "Add(n int, by string) error"), ("c.value += sum\n}", "c.value += sum\n\treturn nil\n}")], "main.go": [("c.Add(5)", 'c.Add(5, "")')]})
+@changed(WORK, files={"calc/calc.go": [("Add(n int)", "Add(n int, by string) error"), ("c.value += total\n}", "c.value += total\n\treturn nil\n}")], "main.go": [("c.Add(5)", 'c.Add(5, "")')]})
 def g48_change_method_signature(ws):
     return signature.change_signature(ws, "calc", "Add", [("n", "int"), ("by", "string")], ["error"], recv="Adder")
 
 
-@changed(WORK, files={"main.go": [("import (\n", 'import (\n\t"context"\n'), ('Greet("Bo")', 'Greet(context.TODO(), "Bo")'), ("func Greet(name string)", "func Greet(ctx context.Context, name string)")]})
+@changed(WORK, files={"main.go": [("import (\n", 'import (\n\t"context"\n'), ('Sign("Bo")', 'Sign(context.TODO(), "Bo")'), ("func Sign(name string)", "func Sign(ctx context.Context, name string)")]})
 def g49_add_context_parameter(ws):
-    return refactor.add_context_parameter(ws, ".", "Greet")
+    return refactor.add_context_parameter(ws, ".", "Sign")
 
 
 @changed(WORK, files={"main.go": [('\nfunc unused() string {\n\treturn "never"\n}\n', "\n")]})
@@ -605,9 +605,9 @@ def g51_clean_aliases(ws):
     return refactor.clean_aliases(ws)
 
 
-@changed(WORK, files={"main.go": [('"example.org/work/calc"', 'sums "example.org/work/calc"'), ("&calc.Calc", "&sums.Calc")]})
+@changed(WORK, files={"main.go": [('"example.org/work/calc"', 'totals "example.org/work/calc"'), ("&calc.Calc", "&totals.Calc")]})
 def g52_standardise_imports(ws):
-    return refactor.standardise_imports(ws, [("work/calc", "sums")])
+    return refactor.standardise_imports(ws, [("work/calc", "totals")])
 
 
 @changed(LOOP, files={"d/d.go": [('q "example.org/l/c"', 'q2 "example.org/l/c"')]})
@@ -667,12 +667,12 @@ def g61_result_cycles(ws):
 
 @query(WORK, "kind VARCHAR, name VARCHAR, direct BOOLEAN", [("file", "calc/calc.go", True), ("file", "main.go", True), ("package", "calc", True), ("package", ".", True)])
 def g62_impact(ws):
-    return execute.impact(ws, refactor.rename_symbol(ws, "calc", "Square", "Power", "Calc"))
+    return execute.impact(ws, refactor.rename_symbol(ws, "calc", "Cube", "Power", "Calc"))
 
 
-@query(WORK, "file VARCHAR, old VARCHAR, new VARCHAR", [("calc/calc.go", "Square", "Power"), ("main.go", "Square", "Power")])
+@query(WORK, "file VARCHAR, old VARCHAR, new VARCHAR", [("calc/calc.go", "Cube", "Power"), ("main.go", "Cube", "Power")])
 def g63_preview(ws):
-    return apply.previewed(refactor.rename_symbol(ws, "calc", "Square", "Power", "Calc"))
+    return apply.previewed(refactor.rename_symbol(ws, "calc", "Cube", "Power", "Calc"))
 
 
 @query(WORK, "name VARCHAR, kind VARCHAR, dir VARCHAR", [("Limit", "Constant", "tools"), ("Up", "Function", "tools"), ("Late", "Function", "new")])
@@ -683,7 +683,7 @@ def g64_refresh(ws):
 
 @query(WORK, "file VARCHAR, content VARCHAR", [("calc/calc.go", WORK["calc/calc.go"]), ("main.go", WORK["main.go"]), ("tools/tools.go", WORK["tools/tools.go"])])
 def g65_undo(ws):
-    plan = refactor.rename_symbol(ws, "calc", "Square", "Power", "Calc")
+    plan = refactor.rename_symbol(ws, "calc", "Cube", "Power", "Calc")
     back = execute.after(execute.after(ws, plan), execute.reverse(ws, plan))
     return back.files.select(F.col("file_path").alias("file"), F.decode("content", "UTF-8").alias("content"))
 
@@ -754,14 +754,14 @@ def g77_external_dependencies(ws):
     return resolve.external_dependencies(ws)
 
 
-@changed(WORK, files={"main.go": [("\tx := 10\n\ty := 20\n\tsum := x + y\n\tfmt.Println(sum)\n\treturn Double(x) + rate\n", "\treturn inner()\n"), ("func main() {", "func inner() int {\n\tx := 10\n\ty := 20\n\tsum := x + y\n\tfmt.Println(sum)\n\treturn Double(x) + rate\n}\n\nfunc main() {")]})
+@changed(WORK, files={"main.go": [("\tx := 12\n\ty := 30\n\ttotal := x - y\n\tfmt.Println(total)\n\treturn Double(x) + rate\n", "\treturn inner()\n"), ("func main() {", "func inner() int {\n\tx := 12\n\ty := 30\n\ttotal := x - y\n\tfmt.Println(total)\n\treturn Double(x) + rate\n}\n\nfunc main() {")]})
 def g78_extract_returning(ws):
     return extract.extract_function(ws, "main.go", 17, 21, "inner")
 
 
-@query(WORK, "problem VARCHAR, report VARCHAR", [("SymbolNotFound", "SymbolNotFound: symbol 'Grete' not found in tools\n  Suggestions:\n    - Did you mean 'Greet' (Function in .)?\n    - Did you mean 'rate' (Constant in .)?\n    - Available: Limit, Up")])
+@query(WORK, "problem VARCHAR, report VARCHAR", [("SymbolNotFound", "SymbolNotFound: symbol 'Sgin' not found in tools\n  Suggestions:\n    - Did you mean 'Sign' (Function in .)?\n    - Did you mean 'main' (Function in .)?\n    - Available: Limit, Up")])
 def g79_formatted_error(ws):
-    rows = diagnostics.resolution_failure(ws, "tools", "Grete")
+    rows = diagnostics.resolution_failure(ws, "tools", "Sgin")
     return diagnostics.formatted(rows).crossJoin(rows.select("problem"))
 
 

@@ -34,13 +34,13 @@ MATH = """package main
 
 import "example.org/m/pkg/target"
 
-// Multiply multiplies.
-func Multiply(a, b int) int {
-	return a * b
+// Scale scales.
+func Scale(a, b int) int {
+	return b * a
 }
 
 func main() {
-	_ = Multiply(2, 3)
+	_ = Scale(2, 3)
 	_ = target.Greet()
 }
 """
@@ -49,9 +49,9 @@ TARGET = 'package target\n\nfunc Greet() string {\n\treturn "hello"\n}\n'
 
 def test_move_function(spark):
     ws = made(spark, {"source.go": MATH, "pkg/target/target.go": TARGET})
-    out = result(ws, move.move_symbol_to(ws, ".", "Multiply", "pkg/target"))
-    assert out["source.go"] == 'package main\n\nimport "example.org/m/pkg/target"\n\nfunc main() {\n\t_ = target.Multiply(2, 3)\n\t_ = target.Greet()\n}\n'
-    assert out["pkg/target/target.go"] == TARGET + "\n// Multiply was moved from example.org/m\n// Multiply multiplies.\nfunc Multiply(a, b int) int {\n\treturn a * b\n}\n"
+    out = result(ws, move.move_symbol_to(ws, ".", "Scale", "pkg/target"))
+    assert out["source.go"] == 'package main\n\nimport "example.org/m/pkg/target"\n\nfunc main() {\n\t_ = target.Scale(2, 3)\n\t_ = target.Greet()\n}\n'
+    assert out["pkg/target/target.go"] == TARGET + "\n// Scale was moved from example.org/m\n// Scale scales.\nfunc Scale(a, b int) int {\n\treturn b * a\n}\n"
 
 
 def test_move_type_with_methods_and_imports(spark):
@@ -67,7 +67,7 @@ def test_move_type_with_methods_and_imports(spark):
 
 @pytest.mark.parametrize(
     "package, name, target, why",
-    [(".", "Multiply", ".", "no other"), (".", "Nothing", "pkg/target", "has no"), (".", "hidden", "pkg/target", "not exported"), (".", "Uses", "pkg/target", "not exported"), ("pkg/target", "Own", ".", "import each other"), (".", "Shape", "pkg/target", "doesn't move"), (".", "Greet", "pkg/target", "already")],
+    [(".", "Scale", ".", "no other"), (".", "Nothing", "pkg/target", "has no"), (".", "hidden", "pkg/target", "not exported"), (".", "Uses", "pkg/target", "not exported"), ("pkg/target", "Own", ".", "import each other"), (".", "Shape", "pkg/target", "doesn't move"), (".", "Greet", "pkg/target", "already")],
 )
 def test_moves_refused(spark, package, name, target, why):
     more = "\nfunc hidden() {}\n\nfunc Uses() { hidden() }\n\ntype Shape interface{ Area() }\n\nfunc Greet() {}\n\nfunc call() { hidden(); _ = target.Greet() }\n"
@@ -77,15 +77,15 @@ def test_moves_refused(spark, package, name, target, why):
         move.move_symbol_to(ws, package, name, target).count()
 
 
-GREET = 'package main\n\nimport "fmt"\n\nfunc Greet(name string) string {\n\treturn "Hello, " + name\n}\n\nfunc main() {\n\tfmt.Println(Greet("Alice"))\n\tfmt.Println(Greet(Greet("Bob")))\n}\n'
+GREET = 'package main\n\nimport "fmt"\n\nfunc Greet(name string) string {\n\treturn "Item " + name\n}\n\nfunc main() {\n\tfmt.Println(Greet("Ann"))\n\tfmt.Println(Greet(Greet("Ben")))\n}\n'
 
 
 def test_add_parameter(spark):
     ws = made(spark, {"main.go": GREET})
-    out = result(ws, signature.change_signature(ws, ".", "Greet", [("greeting", "string"), ("name", "string")], defaults={"greeting": '"Hello"'}))["main.go"]
-    assert "func Greet(greeting string, name string) string {" in out and 'Greet("Hello", "Alice")' in out and 'Greet("Hello", Greet("Hello", "Bob"))' in out
+    out = result(ws, signature.change_signature(ws, ".", "Greet", [("label", "string"), ("name", "string")], defaults={"label": '"Box"'}))["main.go"]
+    assert "func Greet(label string, name string) string {" in out and 'Greet("Box", "Ann")' in out and 'Greet("Box", Greet("Box", "Ben"))' in out
     out = result(ws, signature.change_signature(ws, ".", "Greet", [("name", "string"), ("n", "int"), ("p", "*T")]))["main.go"]
-    assert 'Greet("Alice", 0, nil)' in out
+    assert 'Greet("Ann", 0, nil)' in out
 
 
 SHAPES = """package main
@@ -137,14 +137,14 @@ FORMATS = """package main
 import "fmt"
 
 func handle(format string) {
-	isJSON := format == "json"
-	isXML := format == "xml"
+	plain := format == "txt"
+	rich := format == "rtf"
 
-	if isJSON {
-		fmt.Println("json")
+	if plain {
+		fmt.Println("txt")
 		fmt.Println("more")
-	} else if isXML {
-		fmt.Println("xml")
+	} else if rich {
+		fmt.Println("rtf")
 	} else {
 		fmt.Println("unknown")
 	}
@@ -163,7 +163,7 @@ func kept(x string) {
 def test_boolean_branching(spark):
     ws = made(spark, {"main.go": FORMATS})
     out = result(ws, fixes.fix_boolean_branching(ws))["main.go"]
-    want = 'func handle(format string) {\n\n\tswitch format {\n\tcase "json":\n\t\tfmt.Println("json")\n\t\tfmt.Println("more")\n\tcase "xml":\n\t\tfmt.Println("xml")\n\tdefault:\n\t\tfmt.Println("unknown")\n\t}\n}\n'
+    want = 'func handle(format string) {\n\n\tswitch format {\n\tcase "txt":\n\t\tfmt.Println("txt")\n\t\tfmt.Println("more")\n\tcase "rtf":\n\t\tfmt.Println("rtf")\n\tdefault:\n\t\tfmt.Println("unknown")\n\t}\n}\n'
     assert want in out and "a || b" in out
     assert fixes.fix_boolean_branching(made(spark, {"main.go": GREET})).count() == 0
 
@@ -235,10 +235,10 @@ def test_execution(spark, tmp_path):
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_text(content)
     ws = workspace.load(spark, str(tmp_path))
-    plan = move.move_symbol_to(ws, ".", "Multiply", "pkg/target")
+    plan = move.move_symbol_to(ws, ".", "Scale", "pkg/target")
     new = execute.execute(ws, plan, write=True, backup=True)
-    assert "target.Multiply(2, 3)" in (tmp_path / "source.go").read_text() and (tmp_path / "source.go.backup").read_text() == MATH
-    assert {(r.dir, r.name) for r in facts.symbols(new).where("kind = 'Function'").collect()} == {(".", "main"), ("pkg/target", "Greet"), ("pkg/target", "Multiply")}
+    assert "target.Scale(2, 3)" in (tmp_path / "source.go").read_text() and (tmp_path / "source.go.backup").read_text() == MATH
+    assert {(r.dir, r.name) for r in facts.symbols(new).where("kind = 'Function'").collect()} == {(".", "main"), ("pkg/target", "Greet"), ("pkg/target", "Scale")}
     assert execute.restore(ws) == ["pkg/target/target.go", "source.go"] and (tmp_path / "source.go").read_text() == MATH
     assert not list(tmp_path.rglob("*.backup"))
     undone = execute.execute(new, execute.reverse(ws, plan))
