@@ -33,13 +33,20 @@ _CHAR_IN_WORD = W.WORD & W.CODE_POINT
 def grams(data: np.ndarray, offsets: np.ndarray, bits: int = BUCKET_BITS, size: int = GRAM, most: int = W.BATCH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, bucket) of each run of `size` bytes within one row, at most `most` of them at a time."""
     for a in range(0, len(data) - size + 1, most):
-        at = np.arange(a, min(a + most, len(data) - size + 1))
-        row = np.searchsorted(offsets, at, side="right") - 1
-        inside = at + size <= offsets[row + 1]
-        x = np.zeros(len(at), np.uint64)
+        b = min(a + most, len(data) - size + 1)
+        first, last = int(np.searchsorted(offsets, a, side="right")) - 1, int(np.searchsorted(offsets, b - 1, side="right"))
+        rows = np.arange(first, last)
+        start = np.clip(offsets[rows], a, b)
+        end = np.clip(np.maximum(offsets[rows + 1] - size + 1, offsets[rows]), start, b)
+        x = np.zeros(b - a, np.uint64)
         for i in range(size):
-            x |= data[a + i : a + i + len(at)].astype(np.uint64) << np.uint64(8 * i)
-        yield row[inside], ((x[inside] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+            x |= data[a + i : b + i].astype(np.uint64) << np.uint64(8 * i)
+        bucket = ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+        inside = np.zeros(b - a + 1, np.int8)
+        # A row without grams opens and closes at one place.
+        np.add.at(inside, start - a, 1)
+        np.add.at(inside, end - a, -1)
+        yield np.repeat(rows, end - start), bucket[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
 
 
 def repeated(keys: np.ndarray) -> np.ndarray:
