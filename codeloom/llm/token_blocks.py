@@ -207,11 +207,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, id_col: str
         encode, writer, first, path, nth = encoder(tokenizer), None, (None, 0), "", 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in C.batches(parts):
-            ids, keys = batch.column("doc_id").to_pylist(), batch.column("key").to_pylist()
-            for doc_id, key, raw in zip(ids, keys, encode(batch.column("text").to_pylist()), strict=True):
+            ids, keys = batch.column("doc_id").to_pylist(), batch.column("key")
+            for i, (doc_id, raw) in enumerate(zip(ids, encode(batch.column("text").to_pylist()), strict=True)):
                 if writer is None:
                     path, stream = C.write_shared(folder, "tokens")
-                    writer, first = BlockWriter(stream), (doc_id, key)
+                    writer, first = BlockWriter(stream), (doc_id, keys[i].as_py())
                 writer.add(doc_id, np.frombuffer(raw + end, "<u4"))
                 if writer.total >= file_ids:
                     yield closed(writer, path, first, nth)
