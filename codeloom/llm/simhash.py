@@ -7,7 +7,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -226,6 +226,12 @@ def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return nodes.join(first, "root", "left").select("fingerprint", "root", component.alias("component_id"), "least")
 
 
+def _done(spark: SparkSession, known: int, *names: str) -> None:
+    """Delete this thread's tables of some names that came after the first `known`, and what shuffles left of them."""
+    C.delete_folders(spark, [f for f in C.folders()[known:] if any(f"/{n}-" in f for n in names)])
+    C.release(spark)
+
+
 def one_of_each(docs: DataFrame, text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows of docs, all columns, one for each group of near copies: pairs of a five-word Jaccard similarity of 0.8
     or more are near, and groups are what such pairs join. The one with the smallest doc_id stays (of a group of null
@@ -236,6 +242,8 @@ def one_of_each(docs: DataFrame, text_col: str = "text", radius: int = RADIUS) -
     so sets that share one of their rarest shingles are linked as well, which misses none. All that is linked is
     verified on whole sets.
     """
+    spark = docs.sparkSession
+    known = len(C.folders())
     key = F.xxhash64("doc_id", text_col)
     narrow = docs.select("doc_id", F.col(text_col).alias("text"), key.alias("key"))
     marked = C.cut(N.with_sets(narrow), "sets")
@@ -247,9 +255,14 @@ def one_of_each(docs: DataFrame, text_col: str = "text", radius: int = RADIUS) -
     of = lambda end: prints.select(F.col("fingerprint").alias(end), F.col("a").alias(f"s_{end}"))
     close = close.distinct().join(of("a"), "a").join(of("b"), "b").select(F.col("s_a").alias("a"), F.col("s_b").alias("b"))
     near = C.cut(components(N.rare_links(narrow, distinct.select("s", "n")).unionByName(equal).unionByName(close)), "candidates")
+    del equal, close, prints
+    _done(spark, known, "shingles", "prefixes", "buckets", "edges")
     chosen = distinct.select("s", "key").join(near.withColumnRenamed("node", "s"), "s")
     texts = C.cut(narrow.select("key", "text").join(chosen, "key").dropDuplicates(["s"]).select("s", "component", "text"), "candidate-texts")
-    linked = components(N.verified(texts))
+    del chosen
+    C.release(spark)
+    linked = C.cut(components(N.verified(texts)), "components")
+    _done(spark, known, "candidate-texts", "candidates", "edges")
     nodes = distinct.join(linked.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("component", "s"))
     stay = nodes.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "s")).alias("m")).select("m.s", "m.least")
     met = marked.join(stay, "s").where(F.col("doc_id").eqNullSafe(F.col("least")))
