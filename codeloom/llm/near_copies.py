@@ -24,8 +24,11 @@ from codeloom.llm import _words as W
 SHINGLE = 5
 #: Least similarity, as a fraction: numerator and denominator.
 LEAST = (4, 5)
-#: Hash ranges in which shingles are counted: each meets in one task.
+#: Hash ranges in which shingles are counted, at least, and bytes (sixteen for each shingle of each set) that a range
+#: and that a task holds, about: a larger corpus is dealt to more of both.
 PACKS = 1024
+PACK_BYTES = 8 << 20
+TASK_BYTES = 64 << 20
 #: Candidate groups with more sets are cut into chunks, and each two chunks are compared by a task's group of their own.
 CHUNK = 2048
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -89,14 +92,17 @@ def with_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "key", "text").mapInArrow(made, T.StructType(kinds))
 
 
-def shared_shingles(docs: DataFrame) -> DataFrame:
-    """(s, h, df) of each set's shingles that df > 1 different sets hold."""
+def shared_shingles(docs: DataFrame, total: int) -> DataFrame:
+    """(s, h, df) of each set's shingles that df > 1 different sets hold; total: shingles of all different sets."""
+    packs = 1 << max(PACKS, total * 16 // PACK_BYTES).bit_length() - 1
+    shift = np.uint64(65 - packs.bit_length())
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total * 16 // TASK_BYTES))
 
     def packed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.batches(parts, W.BATCH):
             row, h = shingles(*C.flat(batch.column(0)))
             ids, _ = set_ids(row, h, batch.num_rows)
-            pack = (h >> np.uint64(54)).astype(np.int32)
+            pack = (h >> shift).astype(np.int32)
             order = np.argsort(pack, kind="stable")
             pack, both = pack[order], np.stack([h, ids[row]], axis=1)[order]
             cuts = np.flatnonzero(np.diff(pack, prepend=-1))
@@ -114,7 +120,7 @@ def shared_shingles(docs: DataFrame) -> DataFrame:
         yield from _shared(held)
 
     rows = docs.select("text").mapInArrow(packed, "pack int, both binary")
-    return rows.repartition("pack").sortWithinPartitions("pack").mapInArrow(counted, "s long, h long, df long")
+    return rows.repartition(tasks, "pack").sortWithinPartitions("pack").mapInArrow(counted, "s long, h long, df long")
 
 
 def _shared(held: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +148,8 @@ def prefix(n):
 
 def rare_links(docs: DataFrame, sizes: DataFrame) -> DataFrame:
     """Links (a, b) between sets that share a prefix shingle. `sizes` has (s, n) of each distinct set."""
-    shared = C.cut(shared_shingles(docs), "shingles")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    shared = C.cut(shared_shingles(docs, total), "shingles")
     C.release(docs.sparkSession)
     a, b = LEAST
     # Shingles of one set alone are rarest: only what they leave of the prefix can meet another set.

@@ -21,7 +21,7 @@ SEED = 42
 #: Buckets with more fingerprints are cut into chunks, and each two chunks are compared by a task's group of their own.
 CHUNK = 4096
 #: Words of members that queries are compared with at a time.
-TASKS = 1 << 16
+TASKS = 1 << 13
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -205,11 +205,15 @@ def _whole_groups(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
 
 
 def _links(group: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (member, smallest member) of the links within each group of adjacent rows."""
+    """A spanning forest (member, smallest member) of the links within each group of adjacent rows. Links are settled
+    as they are found: a group whose members are all near one another holds far more of them than members."""
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(group)]]))
-    found = list(Planes(prints).pairs(np.repeat(starts + sizes, sizes), radius))
-    label = forest(len(group), *(np.concatenate(x) for x in zip(*found))) if found else np.arange(len(group))
+    label = np.arange(len(group))
+    for a, b in Planes(prints).pairs(np.repeat(starts + sizes, sizes), radius):
+        apart = label[a] != label[b]
+        if apart.any():
+            label = forest(len(group), label[a[apart]], label[b[apart]])[label]
     linked = np.flatnonzero(label != np.arange(len(group)))
     return linked, label[linked]
 
