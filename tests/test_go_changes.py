@@ -67,12 +67,12 @@ def test_move_type_with_methods_and_imports(spark):
 
 @pytest.mark.parametrize(
     "package, name, target, why",
-    [(".", "Scale", ".", "no other"), (".", "Nothing", "pkg/target", "has no"), (".", "hidden", "pkg/target", "not exported"), (".", "Uses", "pkg/target", "not exported"), ("pkg/target", "Own", ".", "import each other"), (".", "Shape", "pkg/target", "doesn't move"), (".", "Greet", "pkg/target", "already")],
+    [(".", "Scale", ".", "no other"), (".", "Nothing", "pkg/target", "has no"), (".", "hidden", "pkg/target", "not exported"), (".", "Uses", "pkg/target", "not exported"), (".", "Far", "pkg/target", "import each other"), (".", "Shape", "pkg/target", "doesn't move"), (".", "Greet", "pkg/target", "already")],
 )
 def test_moves_refused(spark, package, name, target, why):
-    more = "\nfunc hidden() {}\n\nfunc Uses() { hidden() }\n\ntype Shape interface{ Area() }\n\nfunc Greet() {}\n\nfunc call() { hidden(); _ = target.Greet() }\n"
+    more = "\nfunc hidden() {}\n\nfunc Uses() { hidden() }\n\ntype Shape interface{ Area() }\n\nfunc Greet() {}\n\nfunc call() { hidden(); _ = target.Greet() }\n\nconst Limit = 1\n\nfunc Far() int { return Limit }\n\nfunc again() int { return Far() }\n"
     far = 'package far\n\nimport m "example.org/m/pkg/target"\n\nvar X = m.Greet()\n'
-    ws = made(spark, {"source.go": MATH + more, "pkg/target/target.go": TARGET + '\nfunc Own() string { return Greet() }\n', "far/far.go": far})
+    ws = made(spark, {"source.go": MATH + more, "pkg/target/target.go": TARGET, "far/far.go": far})
     with pytest.raises(RefactorError, match=why):
         move.move_symbol_to(ws, package, name, target).count()
 
